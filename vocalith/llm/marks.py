@@ -10,9 +10,11 @@ from pyspark.sql import Column, functions as F
 
 # Hesitations of the languages of the corpus, as whole tokens.
 FILLERS = [
-    "u+h+", "u+m+", "u+h+m+", "h+m+", "e+r+", "e+r+m+", "m+h?m+", "a+h+m*", "hum", "euh+", "heu+", "e+h+", "este",
+    "u+h+", "u+m+", "u+h+m+", "h+m+", "e+r+", "e+r+m+", "m+h?m+", "a+h+m*", "euh+", "heu+", "e+h+",
     "[äÄ]+h+m*", "[öÖ]+h+m*", "嗯+", "呃+", "额+", "額+", "唔+", "えっと", "えーと", "ええと", "あのー?", "うーん+", "어+", "음+", "으음+",
 ]
+# Hesitations that are also words, so only before a comma or stop.
+PAUSED_FILLERS = ["hum", "este"]
 # Words before a speaker's letters.
 SPEAKER_WORDS = ["speaker", "spkr", "spk", "unknown", "说话人", "說話人", "話者", "화자", "sprecher", "locuteur", "locutor"]
 
@@ -29,11 +31,13 @@ SOUND = (
 )
 _WORDS = "|".join(SPEAKER_WORDS)
 SPEAKER = (
-    rf"^\s*(?:\[([A-Z]{{1,3}})\]|\((?i:(?:{_WORDS}))\s+([A-Za-z]{{1,3}})\)"
+    rf"^\s*(?:\[([A-Z]{{1,2}})\]|\((?i:(?:{_WORDS}))\s+([A-Za-z]{{1,3}})\)"
     rf"|(?:>>\s?)?(?i:(?:{_WORDS}))[\s_-]*([A-Za-z]{{1,3}})(?:\s?[:：>]|\s-(?=\s|$))"
     r"|(?:>>\s?)?([A-Z]{1,3})(?:\s?[:：>]))"
 )
-FILLER = rf"(?<![\p{{L}}\p{{N}}])(?i:(?:{'|'.join(FILLERS)}))(?![\p{{L}}\p{{N}}])"
+FILLER = rf"(?<![\p{{L}}\p{{N}}])(?i:(?:{'|'.join(FILLERS)})(?![\p{{L}}\p{{N}}])|(?:{'|'.join(PAUSED_FILLERS)})(?=\s?[,.，、…]))"
+#: All white space, that beyond ASCII too (``\s`` differs between Java and Python).
+SPACE = r"[\s\p{Z}\x{200B}\x{FEFF}]+"
 #: A label as a whole: an optional word and the letters.
 LABEL = rf"^(?:(?:{'|'.join(w.upper() for w in SPEAKER_WORDS)})[\s_-]*)?([A-Z]{{1,3}})\s*[:>]?$"
 _WIDE = "".join(chr(0xFF21 + i) for i in range(26)) + "".join(chr(0xFF41 + i) for i in range(26)) + "：　"
@@ -52,7 +56,7 @@ def split_marks(text: Column) -> tuple[Column, Column, Column]:
 
     Marks go in the order tags, times, speaker, sounds, fillers; a text of only these and punctuation is no speech.
     """
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), TAG, " ")
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "), TAG, " ")
     bare = F.regexp_replace(F.regexp_replace(bare, TIME, " "), LEAD_TIME, " ")
     bare = F.regexp_replace(bare, r"^(?:\s|♪)+", "")
     named = F.upper(F.concat(*[F.coalesce(F.regexp_extract(bare, SPEAKER, i), F.lit("")) for i in range(1, 5)]))

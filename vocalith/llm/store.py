@@ -1,0 +1,18 @@
+"""Cutting lineage in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back, so that no later loss recomputes what came before.
+
+    The folder is the session's spark.checkpoint.dir; only where none is set, as in tests, a temporary one is taken.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
