@@ -6,6 +6,8 @@ same text serves ``regexp_replace`` in the JVM and ``re`` in Arrow batches.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Hesitations of the languages of the corpus, as whole tokens.
@@ -26,8 +28,8 @@ TIME = (
 )
 LEAD_TIME = r"^\s*[0-9]{1,6}:[0-9]{2} -(?=\s|$)"
 SOUND = (
-    r"\(\([^()]{0,60}\)\)|\([^()]{0,60}\)|（[^（）]{0,60}）|【[^【】]{0,60}】|［[^［］]{0,60}］|\[[^\[\]]{0,60}\]"
-    r"|\{[^{}]{0,60}\}|\*[^*\n]{1,40}\*|<[^<>\n]{1,40}>|♪"
+    r"\(\([^()\n]{0,60}\)\)|\([^()\n]{0,80}\)|（[^（）\n]{0,60}）|【[^【】\n]{0,60}】|［[^［］\n]{0,60}］|\[[^\[\]\n]{0,60}\]"
+    r"|\{[^{}\n]{0,60}\}|\*[^*\n]{1,40}\*|<[^<>\n]{1,40}>|♪"
 )
 _WORDS = "|".join(SPEAKER_WORDS)
 SPEAKER = (
@@ -64,3 +66,30 @@ def split_marks(text: Column) -> tuple[Column, Column, Column]:
     clean = F.regexp_replace(body, FILLER + r"(?:\.{3}|[,，、…]+)?", " ")
     clean = F.trim(F.regexp_replace(clean, r"[\s 　]+", " "))
     return F.when(named != "", named), clean, clean.rlike(r"[\p{L}\p{N}]")
+
+
+#: The wrapping of a JSON result line, up to its text, and what follows the text.
+JSON_WRAP = r'^\s*\{(?:"[a-z_]+":\s?[-0-9.a-z]+,\s?){0,6}"text":\s?"|"(?:,"[a-z_]+":[^{}\n]{0,80})?\}\s*$|\\[nrt"]'
+_JSON = re.compile(JSON_WRAP, re.M)
+# Each branch begins with a fixed set of characters, which makes the search fast.
+_ANY = re.compile(rf"{TAG}|{TIME}|{SOUND}")
+_HEAD = re.compile(
+    rf"^[^\S\n]*(?:[0-9]{{1,6}}:[0-9]{{2}} -[^\S\n]*)?(?:>>[^\S\n]?)?(?:(?i:{_WORDS})[^\S\n_-]*[_-]?[A-Za-z]{{1,3}}(?:[^\S\n]?[:：>]|[^\S\n]-(?=\s|$))|[A-Z]{{1,3}}[^\S\n]?[:：>]|>>)", re.M
+)
+_FILL = re.compile(FILLER.replace(r"[\p{L}\p{N}]", r"[^\W_]"))
+
+
+def _spaces(found: re.Match) -> str:
+    return " " * (found.end() - found.start())
+
+
+def blanked(text: str) -> str:
+    """``text`` with marks overwritten by spaces, so that positions and line feeds stay as they are."""
+    if '{"' in text:
+        text = _JSON.sub(_spaces, text)
+    return _HEAD.sub(_spaces, _ANY.sub(_spaces, text))
+
+
+def without_fillers(text: str) -> str:
+    """``text`` with fillers overwritten by spaces."""
+    return _FILL.sub(_spaces, text)

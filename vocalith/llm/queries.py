@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import runs, splitting, turns
+from . import clusters, encoding, language, leaks, runs, splitting, turns
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -35,8 +35,53 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select("job_id", "start_sample", "end_sample")
 
 
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(_read(spark, d, "documents"), _read(spark, d, "segment_records"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_labels(_languages(spark, d))
+
+
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, every line of a mixed document and every segment with its language and a confidence."""
+    rows = _languages(spark, d).where("kind <> 'line' or mixed").groupBy("kind", "ref", "part_no")
+    return rows.agg(F.min("language").alias("language"), F.max("confidence").alias("confidence"))
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    windows = _read(spark, d, "speaker_embedding_windows").select("vector_id", F.col("embedding").cast("array<double>").alias("v"))
+    return windows.unionByName(_read(spark, d, "anonymous_speaker_clusters").select("vector_id", F.col("centroid").alias("v")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.similarity_groups(_vectors(spark, d), "vector_id", "v", alone=False).select("group_id", "vector_id")
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each group with its size and most typical members."""
+    return clusters.described(clusters.similarity_groups(_vectors(spark, d), "vector_id", "v"))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode_texts(_read(spark, d, "documents"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(_read(spark, d, "documents"), _read(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents without the leaked passages."""
+    docs = _read(spark, d, "documents")
+    return leaks.without_leaks(docs, leaks.leaked(docs, _read(spark, d, "eval_items"))).select("doc_id", "text")
+
+
+_QUERIES = (p1_found, p1_runs, p2_found, p2_records, p3_found, p4_found, p4_languages, p5_found, p5_groups, p6_ids, p7_found, p7_clean)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_records, p3_found)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 _RUNS = r"""
