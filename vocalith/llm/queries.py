@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import clusters, encoding, language, leaks, runs, splitting, turns
+from . import clusters, encoding, language, leaks, pii, runs, splitting, turns
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -77,7 +77,16 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without_leaks(docs, leaks.leaked(docs, _read(spark, d, "eval_items"))).select("doc_id", "text")
 
 
-_QUERIES = (p1_found, p1_runs, p2_found, p2_records, p3_found, p4_found, p4_languages, p5_found, p5_groups, p6_ids, p7_found, p7_clean)
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.mentions(_read(spark, d, "documents")).select("doc_id", "kind", "start_char")
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with a placeholder for each piece of personal data."""
+    return pii.redacted(_read(spark, d, "documents"))
+
+
+_QUERIES = (p1_found, p1_runs, p2_found, p2_records, p3_found, p4_found, p4_languages, p5_found, p5_groups, p6_ids, p7_found, p7_clean, p8_found, p8_clean)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
