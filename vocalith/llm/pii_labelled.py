@@ -189,6 +189,9 @@ I live at {addr:255 Fennel Lane, Kettlemoor}.
 Please ship it to {addr:68 Tarn Close} before Friday.
 Please ship it to {addr:Flat 8B, 103 Hazelmere Row, Kettlemoor} before Friday.
 Please ship it to {addr:15 Gorse Court, East Orrowby QX7 03ZZ} before Friday.
+{addr:82 Tarn Close} is where the van should stop.
+{addr:128 Lantern Avenue} is where the van should stop.
+{addr:37 Upper Quay Street} is where the van should stop.
 {addr:57 Hazelmere Row, Saint Dunmere} is where the van should stop.
 {addr:Flat 9C, 248 Old Kiln Road, Port Wexling} is where the van should stop.
 {addr:134 Lantern Ave, Port Wexling QX9 07ZZ} is where the van should stop.
@@ -207,6 +210,9 @@ El aparato va a {addr:avenida de las Grullas, 208}.
 我住在{addr:白鹭大街8号3栋201室}。
 录音笔请寄到{addr:云汀县柳汀路15号2栋504室}。
 录音笔请寄到{addr:石磬巷7号}。
+录音笔请寄到{addr:白鹭大街6号}。
+我住在{addr:柳汀路98号}。
+The callback line was {phone:０７６－５５５０１２９}, she said.
 我住喺{addr:雲崗道18號翠桐閣9樓C室}。
 我住喺{addr:石磬里7號}。
 部機寄去{addr:鷺灘街22號}就得喇。
@@ -384,6 +390,27 @@ Speaker A: Yes. *sighs*
 说话人C：对。
 """
 
+# Sentences about roles and things, which are nobody's name; each is taken with each word of its list.
+ROLES = {
+    "総務の人 運転手さん 夜勤の担当者 指揮の先生 電話のお客様 うちの研修生 新しい編集者": [
+        "{}がミラハ端子をつなぎ間違えて、保管フォルダーは交換されました。", "{}によると、納品書はもう一度処理が必要です。", "だから、{}が左チャンネルを港の事務所に置いたと思います。", "雑音フィルターはまだ順番を待っていますと{}に伝えてください。"],
+    "字幕ファイル バックアップのドライブ 学習データ 会議室のマイク 保管フォルダー 雑音フィルター 二本目の録音 納品書 左チャンネル 朝の速報 合唱団のテープ あの長いインタビュー 要約の下書き": [
+        "火曜日に{}は途中で切れました。", "昼食の前にもう一度{}を聞いてみましょう。", "どうして{}が制限時間を超えましたのか、まだ分かりません。"],
+    "전화한_손님 우리_인턴 합창단_지휘자 새_편집자 야간_담당자 총무팀_직원 운전기사": [
+        "{} 말로는 왼쪽 채널 쪽이 먹먹하게 들려요.", "{}분이 포비라 단자를 잘못 꽂아서 두 번째 녹음 쪽이 중간에 끊겼어요.", "그리고 {}께 학습 자료 이야기를 전해 주세요."],
+    "夜班值班员 新来的编辑 司机 合唱团指挥 后勤的同事 来电的客人 我们的实习生 现场经理": [
+        "{}把ND 56型号的转接头插错了，所以讲座的信号突然断了。", "{}说早间简报已经换掉了。", "我觉得{}把备份硬盘放在港口办公室了。", "请你告诉{}，摘要草稿超过了时长限制。", "因为字幕文件一直没有上传，{}只好重新开始。"],
+    "夜班值班員 新來的編輯 司機 合唱團指揮 後勤的同事 來電的客人 我們的實習生 現場經理": ["{}說早間簡報已經換掉了。", "我覺得{}把備份硬碟放在副樓裡了。", "請你告訴{}，送貨單一直沒有上傳。"],
+    "打嚟嘅客人 夜更嗰位同事 合唱團指揮 後勤嗰邊 新嚟嘅編輯 我哋個實習生 司機": ["{}插錯咗BH-4嗰個轉接頭，搞到字幕檔突然斷咗。", "{}話會議室嗰支咪已經整返好咗喎。", "我諗{}將送貨單擺咗喺碼頭寫字樓。", "唔該你同{}講，訓練資料睇落冇問題。"],
+    "the_night_operator someone_from_facilities the_van_driver the_new_editor our_intern the_site_manager the_caller the_choir_director": [
+        "{} said that the lecture feed sounds muffled.", "{} wants the archive folder and the left channel sorted out before lunch.", "I think {} left the printed agenda in the annex last week."],
+    "Der_Rauschfilter Der_Lieferschein Der_Entwurf Der_Archivordner Der_linke_Kanal Das_Mikrofon_im_Sitzungszimmer Das_Chorband Das_Backup Das_lange_Interview Die_Untertiteldatei Die_zweite_Aufnahme": [
+        "{} hat die Grenze überschritten, und zwar heute früh.", "{} wartet noch in der Schlange, und zwar letzte Woche.", "{} klingt dumpf, und niemand hat es gemerkt.", "{} braucht noch einen Durchgang."],
+    "Der_Fahrer Unser_Praktikant Jemand_von_der_Haustechnik Die_neue_Redakteurin Die_Anruferin Die_Nachtschicht": ["{} sagt, der Entwurf ist ausgefallen.", "Ich glaube, {} war heute früh neben der Laderampe."],
+    "Le_chauffeur Notre_stagiaire Quelqu'un_des_services_généraux La_nouvelle_rédactrice La_personne_au_téléphone L'équipe_de_nuit": ["{} a dit que le brouillon est revenu propre.", "Je crois que {} a laissé la sauvegarde au bureau du port."],
+    "El_conductor Nuestra_becaria Alguien_de_mantenimiento La_nueva_editora La_persona_que_llamó El_turno_de_noche": ["{} dijo que el fichero de subtítulos pasó del límite.", "Creo que {} dejó la segunda grabación junto al muelle."],
+}
+
 # Given names and family names for exchange, besides those above.
 GIVEN = "Mirelda Tavira Ketra Nerith Pellam Oswinne Elisko Bramwin Corvane Sabrel Jorun Isbeth Fennaly Lunden Zevrin Quillan Ardeth Thandor".split()
 FAMILY = "Vellacrest Quarrowby Wenlocke-Pry Oldenmoor Kallowby Tarnfeld Druskine Haldwyke O'Thrale Pemberlyn Varrickson Mossgrave Ashquill Bexholmer van_der_Quist".split()
@@ -421,7 +448,7 @@ def _name(old: str, context: str, r: random.Random) -> str:
         middle = f"{chr(65 + r.randint(0, 25))}. " if r.random() < 0.12 else ""
         name = f"{given} {middle}{family}"
         case = r.random()
-        return name.upper() if case < 0.12 else name.lower() if case < 0.24 else name
+        return name.upper() if case < 0.12 else name.lower() if case < 0.3 else name
     if script == "ko":
         return r.choice(HANGUL_FAMILY) + r.choice(HANGUL_GIVEN)
     japanese = " " in old or "ヶ" in old or any("぀" <= c <= "ヿ" for c in context)
@@ -486,11 +513,13 @@ def expanded(times: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int,
     """(text, [(start, end, kind)]): each sentence ``times`` over, the first as it stands, the others with pieces exchanged and leads put before."""
     r = random.Random(seed)
     out = []
-    for line in SENTENCES.strip().split("\n"):
+    plain_lines = [f.format(w.replace("_", " ")) for words, forms in ROLES.items() for w in words.split() for f in forms]
+    ready = set(plain_lines)
+    for line in SENTENCES.strip().split("\n") + plain_lines:
         found = MARKUP.findall(line)
         plain = MARKUP.sub(lambda m: "\0", line)
         language = "ko" if _script(line) == "ko" else "ja" if _script(line) == "ja" else "han" if _script(line) == "han" else None
-        for k in range(times if found else max(2, times // 2)):
+        for k in range(times if found else 4 if line in ready else max(2, times // 2)):
             text, spans = "", []
             if k and not line.startswith(("{name:", '{"id')) or k and r.random() < 0.3:
                 lead = r.choice(LEADS)
