@@ -221,7 +221,8 @@ class Field:
     def decode(self, tokens: Tokens) -> np.ndarray:
         """The likeliest label of each token; sentences are decoded together with those of like length.
 
-        A sentence each of whose tokens is likelier outside than any transitions could make up for is outside without decoding.
+        A piece of a kind gains at most what its best beginning and all that could go on in the sentence gain against outside, with the
+        best moves; a sentence in which this is for no kind above 0 is outside without decoding.
         """
         n = len(tokens.start)
         labels = np.zeros(n, np.int8)
@@ -230,7 +231,10 @@ class Field:
         emit = np.zeros((n, LABELS), np.float32)
         for f in tokens.features():
             emit += self.weights[f]
-        open_ = np.maximum.reduceat((emit[:, 1:] + self.moved[1:]).max(1) - emit[:, 0], tokens.first) > 0
+        more = emit[:, 1:] - emit[:, :1] + self.moved[1:]
+        begun = np.maximum.reduceat(more[:, 0::2], tokens.first, axis=0)
+        going = np.add.reduceat(np.maximum(more[:, 1::2], 0), tokens.first, axis=0)
+        open_ = (begun + going > 0).any(1)
         every = np.diff(np.r_[tokens.first, n])
         kept = np.flatnonzero(np.repeat(open_, every))
         emit = emit[kept]
