@@ -20,7 +20,7 @@ from .store import settle
 
 SEED = 20_240_501
 #: Chance that two vectors of one group, near the lower bound, share the cell of one rotation (measured, rounded down).
-SHARED = 0.3
+SHARED = 0.24
 #: Rows compared at once; bounds the memory of a task.
 BLOCK = 4096
 

@@ -69,7 +69,7 @@ def split_marks(text: Column) -> tuple[Column, Column, Column]:
 
 
 #: The wrapping of a JSON result line, up to its text, and what follows the text.
-JSON_WRAP = r'^\s*\{(?:"[a-z_]+":\s?[-0-9.a-z]+,\s?){0,6}"text":\s?"|"(?:,"[a-z_]+":[^{}\n]{0,80})?\}\s*$|\\[nrt"]'
+JSON_WRAP = r'^[^\S\n]*\{(?:"[a-z_]+":\s?[-0-9.a-z]+,\s?){0,6}"text":\s?"|"(?:,"[a-z_]+":[^{}\n]{0,80})?\}[^\S\n]*$|\\[nrt"]'
 _JSON = re.compile(JSON_WRAP, re.M)
 # Each branch begins with a fixed set of characters, which makes the search fast.
 _ANY = re.compile(rf"{TAG}|{TIME}|{SOUND}")
@@ -80,7 +80,8 @@ _FILL = re.compile(FILLER.replace(r"[\p{L}\p{N}]", r"[^\W_]"))
 
 
 def _spaces(found: re.Match) -> str:
-    return " " * (found.end() - found.start())
+    text = found[0]
+    return re.sub(r"[^\n]", " ", text) if "\n" in text else " " * len(text)
 
 
 def blanked(text: str) -> str:
