@@ -23,6 +23,8 @@ SEED = 20_240_501
 SHARED = 0.24
 #: Rows compared at once; bounds the memory of a task.
 BLOCK = 4096
+#: Rows of one cell of the first table that one task takes, on average.
+SHARE_ROWS = 100_000
 
 
 def _rotation(dim: int, table: int) -> np.ndarray:
@@ -169,7 +171,9 @@ def similarity_groups(
 
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     thinned = rows.mapInArrow(local, "cell long, id long, v binary, members array<long>")
-    placed = settle(thinned.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(gathered, "cell long, id long, head long, v binary, members array<long>"))
+    # The first table only thins further, so its cells may be cut into shares; what is apart there meets in the other tables.
+    shares = max(1, -(-vectors.count() // (2 * dim * SHARE_ROWS)))
+    placed = settle(thinned.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(shares))).sortWithinPartitions("cell", "id").mapInArrow(gathered, "cell long, id long, head long, v binary, members array<long>"))
     heads = placed.where("id = head").select("id", "v")
     n = heads.count()
     depth = 1

@@ -119,6 +119,13 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": base + "SELECT job_id, start_sample, end_sample FROM runs WHERE n_regions >= 2",
         "p1_runs": base + "SELECT job_id, speaker, start_sample, end_sample, n_regions, end_sample - start_sample AS duration FROM runs",
+        # Brute force over all pairs; groups being cliques, the least like vector names the group.
+        "p5_found": """
+WITH a AS (SELECT vector_id, embedding::DOUBLE[] AS v FROM speaker_embedding_windows UNION ALL SELECT vector_id, centroid FROM anonymous_speaker_clusters),
+u AS (SELECT vector_id AS id, any_value(v) AS v FROM a WHERE vector_id IS NOT NULL AND len(v) = 192 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND list_sum(list_transform(v, lambda x: abs(x))) > 0 GROUP BY vector_id),
+n AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))::FLOAT[192] AS v FROM u)
+SELECT min(b.id) AS group_id, a.id AS vector_id FROM n a JOIN n b ON array_inner_product(a.v, b.v) >= 0.675 GROUP BY a.id HAVING count(*) > 1""",
         "p3_found": """
 WITH RECURSIVE sizes AS (SELECT id AS job_id, max(total_samples) AS size FROM transcription_jobs WHERE id IS NOT NULL GROUP BY id HAVING max(total_samples) > 4800000),
 spans AS (SELECT DISTINCT job_id, start_sample AS s, end_sample AS e FROM segment_records SEMI JOIN sizes USING (job_id)),
