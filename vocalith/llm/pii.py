@@ -295,7 +295,7 @@ def train(examples: list[tuple[str, list[tuple[int, int, str]]]], passes: int =
     gold, feats = _labels(tokens, shifted), np.stack(tokens.features(), 1)
     used, index = np.unique(feats, return_inverse=True)
     feats = index.reshape(feats.shape)
-    weights, moves = np.zeros((len(used), LABELS)), np.zeros((LABELS, LABELS))
+    weights, moves = np.zeros((len(used), LABELS), np.float32), np.zeros((LABELS, LABELS), np.float32)
     length = np.diff(np.r_[tokens.first, len(gold)])
     rng = np.random.default_rng(seed)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, moves)]
@@ -310,16 +310,16 @@ def train(examples: list[tuple[str, list[tuple[int, int, str]]]], passes: int =
             place = first[:, None] + np.minimum(np.arange(steps), size[:, None] - 1)
             on = np.arange(steps) < size[:, None]
             emit = weights[feats[place]].sum(2)
-            gate = np.where(_ALLOWED, moves, -1e9)
-            alpha, beta = np.zeros((steps, m, LABELS)), np.zeros((steps, m, LABELS))
-            alpha[0] = np.where(_BEGIN, emit[:, 0], -1e9)
+            gate = np.where(_ALLOWED, moves, np.float32(-1e9))
+            alpha, beta = np.zeros((steps, m, LABELS), np.float32), np.zeros((steps, m, LABELS), np.float32)
+            alpha[0] = np.where(_BEGIN, emit[:, 0], np.float32(-1e9))
             for t in range(1, steps):
                 x = alpha[t - 1][:, :, None] + gate
                 top = x.max(1)
                 alpha[t] = np.where(on[:, t, None], top + np.log(np.exp(x - top[:, None]).sum(1)) + emit[:, t], alpha[t - 1])
             top = alpha[-1].max(1, keepdims=True)
             whole = top + np.log(np.exp(alpha[-1] - top).sum(1, keepdims=True))
-            moved = np.zeros((LABELS, LABELS))
+            moved = np.zeros((LABELS, LABELS), np.float32)
             for t in range(steps - 2, -1, -1):
                 x = gate + (emit[:, t + 1] + beta[t + 1])[:, None]
                 top = x.max(2)
@@ -333,7 +333,7 @@ def train(examples: list[tuple[str, list[tuple[int, int, str]]]], passes: int =
             np.subtract.at(moved, (truth[:, :-1][pairs], truth[:, 1:][pairs]), 1)
             rows, inverse = np.unique(feats[place[on]], return_inverse=True)
             inverse, delta = inverse.reshape(-1, feats.shape[1]), share[on]
-            grad = np.zeros((len(rows), LABELS))
+            grad = np.zeros((len(rows), LABELS), np.float32)
             for label in range(LABELS):
                 grad[:, label] = np.bincount(inverse.ravel(), np.repeat(delta[:, label], feats.shape[1]), minlength=len(rows))
             step += 1
