@@ -4,12 +4,13 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 
 def _plain(v):
     if isinstance(v, (list, tuple, np.ndarray)):
         return "[" + ",".join(map(_plain, v)) + "]"
-    if v is None or v != v or str(v) in ("NaT", "<NA>"):
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
         return "~"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))

@@ -21,10 +21,12 @@ def along(
     prev, next: the value of the neighbour row (NULL at the ends); total: the running sum, top: the running maximum,
     both including the row; top_before: the running maximum of the rows before; last: the latest value that is not NULL of the rows
     before. ``order`` must be unique within a key for a defined result; its first column is numeric and gives the chunk. Rows
-    with a NULL key or first order column stay, as one chunk. Names given must not be among the columns of ``df``.
+    with a NULL key or first order column belong to no order and are dropped. Names given must not be among the columns of ``df``.
+    The join of the carried rows is on (key, chunk), by which the windows have already partitioned the rows.
     """
     prev, next, total, top, top_before, last = (x or {} for x in (prev, next, total, top, top_before, last))
     columns = df.columns
+    df = df.where(F.col(key).isNotNull() & F.col(order[0]).isNotNull())
     df = df.withColumn("__c", F.floor(F.col(order[0]) / F.lit(span)).cast("long"))
     inner = Window.partitionBy(key, "__c").orderBy(*order)
     so_far, before = inner.rowsBetween(Window.unboundedPreceding, 0), inner.rowsBetween(Window.unboundedPreceding, -1)
@@ -74,8 +76,8 @@ def along(
         carried[f"__o_{k}"] = F.max(e(k)).over(past)
     for k in last:
         carried[f"__o_{k}"] = F.last(e(k), True).over(past)
-    chunks = chunks.withColumns(carried).select(F.col(key).alias("__ck"), F.col("__c").alias("__cd"), *carried)
-    out = df.join(chunks, F.col(key).eqNullSafe(F.col("__ck")) & F.col("__c").eqNullSafe(F.col("__cd")))
+    chunks = chunks.withColumns(carried).select(key, "__c", *carried)
+    out = df.join(chunks, [key, "__c"])
     i, o = (lambda k: F.col(f"__i_{k}")), (lambda k: F.col(f"__o_{k}"))
     made: dict[str, Column] = {}
     for k in (*prev, *next):
