@@ -21,6 +21,11 @@ Mrs {name:Ketra van der Quist} asked for the transcript.
 Ms {name:Ardeth K. Tarnfeld} asked for the transcript.
 Thanks, {name:Corvane Ashquill}, that helps.
 The caller gave the name {name:Pellam Quarrowby} twice.
+The caller gave the name {name:zevrin druskine} twice.
+Thanks, {name:bramwin tarnfeld}, that helps.
+Thanks, {name:ketra vellacrest}, that helps. It took 42 minutes to find the left channel in the annex.
+{name:quillan vellacrest} apportera l'appareil.
+{name:jorun haldwyke} will bring the recorder.
 Was it {name:Tavira O'Thrale} who signed for the tapes?
 {name:Isbeth Haldwyke} will bring the recorder.
 {name:Jorun Wenlocke-Pry} will bring the recorder.
@@ -121,6 +126,8 @@ Text {phone:+1 (062) 555-0104} when the upload is done.
 Call me back on {phone:+999 78 555 0171} after six.
 Call me back on {phone:313.555.0130} after six.
 Call me back on {phone:six two three five five five zero one eight four} after six.
+Call me back on {phone:oh six two, five five five oh one one two} after six.
+Text {phone:nine one five, five five five, zero one two one} when the upload is done.
 The callback number is {phone:020 555 0150}.
 {phone:+1 (359) 555-0199} is the best way to reach us.
 {phone:709.555.0193} is the best way to reach us.
@@ -198,9 +205,13 @@ Please ship it to {addr:15 Gorse Court, East Orrowby QX7 03ZZ} before Friday.
 Ich wohne in der Anschrift {addr:Ginsterweg 176, 00929 Altfelden}.
 Ich wohne in der Anschrift {addr:Alte Salzgasse 215}.
 Das Gerät geht an: {addr:Möwenallee 111}.
+Ich wohne in der Anschrift {addr:Möwenallee 4}.
 Das Gerät geht an: {addr:Alte Salzgasse 223, 00309 Altfelden}.
 J'habite au {addr:160 allée des Hérons}.
 J'habite au {addr:45 rue des Tamaris, 00353 Valmérac}.
+J'habite au {addr:98 bis rue des Tamaris}.
+L'appareil part au {addr:17 bis rue des Tamaris}.
+J'habite au {addr:20 bis impasse du Vieux Four}. Nous ne savons pas encore pourquoi le brouillon est revenu propre.
 L'appareil part au {addr:250 bis allée des Hérons}.
 L'appareil part au {addr:67 impasse du Vieux Four, 00535 Valmérac}.
 Vivo en {addr:calle del Arrayán, 236, 00459 Valdeorilla}.
@@ -459,7 +470,7 @@ def _name(old: str, context: str, r: random.Random) -> str:
 
 # Digits as words.
 DIGIT_WORDS = {
-    "en": "zero one two three four five six seven eight nine", "de": "null eins zwei drei vier fünf sechs sieben acht neun",
+    "en": "zero one two three four five six seven eight nine", "en_spoken": "oh", "de": "null eins zwei drei vier fünf sechs sieben acht neun",
     "fr": "zéro un deux trois quatre cinq six sept huit neuf", "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
     "han": "零 一 二 三 四 五 六 七 八 九", "ko": "공 일 이 삼 사 오 육 칠 팔 구", "ja": "ゼロ いち に さん よん ご ろく なな はち きゅう",
 }
@@ -488,7 +499,12 @@ def _phone(old: str, language: str, r: random.Random) -> str:
     a, b = n(3), "01" + n(2)
     if not re.search(r"[0-9０-９]", old):
         words = DIGIT_WORDS[language].split()
-        return ("" if language in ("han", "ko", "ja") else " ").join(words[int(c)] for c in a + "555" + b)
+        if language in ("han", "ko", "ja"):
+            return "".join(words[int(c)] for c in a + "555" + b)
+        if language == "en" and r.random() < 0.4:
+            words[0] = "oh"
+        groups = [" ".join(words[int(c)] for c in part) for part in (a, "555", b)]
+        return groups[0] + r.choice([" ", ", "]) + groups[1] + r.choice([" ", ", "]) + groups[2]
     wide = "".join(chr(0xFF10 + int(c)) for c in a) + "－" + "".join(chr(0xFF10 + int(c)) for c in "555" + b)
     return r.choice([f"({a}) 555 {b}", f"{a}-555-{b}", f"{a}.555.{b}", f"{a} 555 {b}", f"+999 {n(2)} 555 {b}", f"00999{a}555{b}", f"+1 ({a}) 555-{b}", wide])
 
