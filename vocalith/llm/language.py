@@ -138,7 +138,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = 2, smooth: float = 0.
     return weights
 
 
-_ADDRESS = re.compile(r"[A-Za-z0-9_.+'-]+ ?[@＠] ?[A-Za-z0-9_.-]+|[A-Za-z0-9_.+-]+(?: \[?(?:at|dot|underscore)\]? [A-Za-z0-9_+-]+)+")
+_ADDRESS = re.compile(r"(?<![A-Za-z0-9_.+'-])[A-Za-z0-9_.+'-]+ ?[@＠] ?[A-Za-z0-9_.-]+|(?<![A-Za-z0-9_.+-])[A-Za-z0-9_.+-]+(?: \[?(?:at|dot|underscore)\]? [A-Za-z0-9_+-]+)+")
 
 
 def speech(text: str) -> str:

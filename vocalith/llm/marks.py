@@ -94,3 +94,18 @@ def blanked(text: str) -> str:
 def without_fillers(text: str) -> str:
     """``text`` with fillers overwritten by spaces."""
     return _FILL.sub(_spaces, text)
+
+
+_SPACE = re.compile(r"[\s\u200B\uFEFF]+")
+_TAG, _TIME, _LEAD_TIME, _SOUND, _NAMED = (re.compile(x) for x in (TAG, TIME, LEAD_TIME, SOUND, SPEAKER))
+_PAUSED = re.compile(_FILL.pattern + r"(?:\.{3}|[,，、…]+)?")
+_SPOKEN = re.compile(r"[^\W_]")
+
+
+def split_text(text: str | None) -> tuple[str | None, str, bool]:
+    """What ``split_marks`` gives, for one text; many times faster in Arrow batches than the expressions are in the JVM."""
+    bare = _LEAD_TIME.sub(" ", _TIME.sub(" ", _TAG.sub(" ", _SPACE.sub(" ", text or "")))).lstrip(" ♪")
+    named = _NAMED.match(bare)
+    body = _SOUND.sub(" ", bare[named.end() :] if named else bare)
+    clean = _SPACE.sub(" ", _PAUSED.sub(" ", body)).strip()
+    return next(g for g in named.groups() if g).upper() if named else None, clean, _SPOKEN.search(clean) is not None

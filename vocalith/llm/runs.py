@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import marks
+from .store import settle
 
 #: Samples a chunk of the clock spans: 10,000 seconds at 16 kHz.
 CHUNK_SAMPLES = 160_000_000
@@ -35,35 +36,39 @@ def collapse_runs(
     seen = (
         base.withColumn("prev", F.lag("l").over(inside))
         .withColumn("p", F.row_number().over(inside))
-        .withColumn("fresh", F.col("prev").isNull() | (F.col("prev") != F.col("l")))
-        .withColumn("b", F.sum(F.col("fresh").cast("long")).over(upto))
+        .withColumn("first_l", F.first("l").over(upto))
+        .withColumn("is_last", F.lead("s").over(inside).isNull())
+        .withColumn("b", F.sum((F.col("prev").isNull() | (F.col("prev") != F.col("l"))).cast("long")).over(upto))
         .withColumn("m", F.max(F.struct("b", "e")).over(before))
+        .withColumn("own", F.when(F.col("m.b") == F.col("b"), F.col("m.e")))
+        .withColumn("edge", F.col("own").isNull() | (F.col("s") > F.col("own") + gap))
+    )
+    # Only boundary rows go on, and the last row of each chunk. What came before the chunk can undo a boundary, not make one.
+    kept = settle(
+        seen.where("edge or is_last").select(
+            "k", "c", "l", "s", "p", "b", "edge", "own", F.col("m.b").alias("mb"), F.col("m.e").alias("me"), "first_l", F.when(F.col("is_last"), F.greatest("own", "e")).alias("tail")
+        )
     )
 
     # One row a chunk, and what reaches it from the chunks before.
-    chunks = seen.groupBy("k", "c").agg(
-        F.min_by("l", "p").alias("first_l"), F.max_by("l", "p").alias("last_l"), F.max("b").alias("blocks"),
-        F.max(F.struct("b", "e"))["e"].alias("tail"), F.count("*").alias("n"),
-    )
     along = Window.partitionBy("k").orderBy("c")
     past = along.rowsBetween(Window.unboundedPreceding, -1)
     chunks = (
-        chunks.withColumn("in_l", F.lag("last_l").over(along))
+        kept.where("tail is not null").select("k", "c", "first_l", F.col("l").alias("last_l"), F.col("b").alias("blocks"), "tail", F.col("p").alias("n"))
+        .withColumn("in_l", F.lag("last_l").over(along))
         .withColumn("group", F.sum(((F.col("blocks") > 1) | ~F.col("in_l").eqNullSafe(F.col("first_l"))).cast("long")).over(along))
         .withColumn("in_e", F.max(F.struct("group", "tail")).over(past)["tail"])
         .withColumn("in_n", F.coalesce(F.sum("n").over(past), F.lit(0)))
         .withColumn("out_e", F.max(F.struct("group", "tail")).over(along)["tail"])
     )
-    carried = chunks.select("k", "c", "in_l", "in_e", "in_n", F.col("in_l").eqNullSafe(F.col("first_l")).alias("joined"))
+    carried = chunks.select("k", "c", "in_l", "in_e", "in_n")
     totals = chunks.groupBy("k").agg(F.max_by(F.struct((F.col("in_n") + F.col("n") + 1).alias("g"), F.col("out_e").alias("prior")), "c").alias("last"))
 
-    placed = seen.join(carried, ["k", "c"])
-    own = F.when(F.col("m.b") == F.col("b"), F.col("m.e"))
+    placed = kept.where("edge").join(carried, ["k", "c"])
     inherited = F.when((F.col("b") == 1) & (F.col("in_l") == F.col("l")), F.col("in_e"))
-    reach = F.greatest(own, inherited)
-    prior = F.when(F.col("m").isNull(), F.col("in_e")).otherwise(
-        F.greatest(F.col("m.e"), F.when((F.col("m.b") == 1) & F.col("joined"), F.col("in_e")))
-    )
+    reach = F.greatest("own", inherited)
+    joined = F.col("in_l") == F.col("first_l")
+    prior = F.when(F.col("mb").isNull(), F.col("in_e")).otherwise(F.greatest("me", F.when((F.col("mb") == 1) & joined, F.col("in_e"))))
     edges = placed.where(reach.isNull() | (F.col("s") > reach + gap)).select("k", "c", "l", "s", (F.col("in_n") + F.col("p")).alias("g"), prior.alias("prior"))
 
     # Boundary rows only from here on: the next boundary gives the count (positions) and the end (its prior end).

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import marks, runs
@@ -17,6 +20,7 @@ SIMILAR = 0.8
 _WORD = re.compile(rf"^(?:{'|'.join(marks.SPEAKER_WORDS)})\b[\s_-]*", re.I)
 
 
+@lru_cache(maxsize=10_000)
 def plain_name(label: str) -> str:
     """The label in capitals, width-folded, without a leading speaker word, punctuation or doubled spaces; '' names nobody."""
     text = unicodedata.normalize("NFKC", label).strip()
@@ -69,6 +73,14 @@ def _clustered(labels: pd.Series) -> pd.Series:
     return labels.map(lambda xs: cluster_labels(list(xs)))
 
 
+def own_label(label: str | None) -> str | None:
+    """The letters a label names, else the label as it stands if it is a name, else None: blank, punctuation or a mere speaker word names nobody."""
+    plain = plain_name(label) if label else ""
+    if not plain:
+        return None
+    return plain if len(plain) <= LETTERS else label.strip()
+
+
 def spoken_records(records: DataFrame) -> DataFrame:
     """(job_id, segment_index, start_sample, end_sample, speaker, text): the records that hold speech and name a speaker.
 
@@ -79,15 +91,23 @@ def spoken_records(records: DataFrame) -> DataFrame:
     once = records.where("job_id is not null and segment_index is not null").groupBy("job_id", "segment_index").agg(
         F.min_by(F.struct(*cols), F.struct(F.coalesce("received_at", F.lit("9999-12-31").cast("timestamp")), *[F.col(c) for c in cols])).alias("r")
     )
-    named, clean, speech = marks.split_marks(F.col("r.text"))
-    # A label such as "Unknown" names nobody; anything else that is no letter label is a name as it stands.
-    own = F.trim(F.translate(F.col("r.anonymous_speaker"), "　 \t\r\n", "     "))
-    nobody = own.isNull() | F.regexp_replace(F.lower(own), rf"^(?:{'|'.join(marks.SPEAKER_WORDS)}|[^\p{{L}}\p{{N}}]+)*$", "").eqNullSafe("")
-    rows = once.select(
-        "job_id", "segment_index", F.col("r.start_sample").alias("start_sample"), F.col("r.end_sample").alias("end_sample"),
-        F.when(nobody, named).otherwise(F.coalesce(marks.label_letters(F.col("r.anonymous_speaker")), own)).alias("label"), clean.alias("text"), speech.alias("spoken"),
-    )
-    rows = rows.where("spoken and label is not null and end_sample > start_sample")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            job, index, start, end, text, who = (batch.column(i) for i in range(6))
+            keep, labels, texts = [], [], []
+            for i, (t, w) in enumerate(zip(text.to_pylist(), who.to_pylist())):
+                named, clean, spoken = marks.split_text(t)
+                label = own_label(w) or named
+                if spoken and label:
+                    keep.append(i)
+                    labels.append(label)
+                    texts.append(clean)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in (job, index, start, end)), pa.array(labels, pa.string()), pa.array(texts, pa.string())], ["job_id", "segment_index", "start_sample", "end_sample", "label", "text"])
+
+    flat = once.select("job_id", "segment_index", "r.*").where("end_sample > start_sample")
+    rows = flat.mapInArrow(run, "job_id string, segment_index long, start_sample long, end_sample long, label string, text string")
     labels = rows.groupBy("job_id").agg(F.collect_set("label").alias("labels")).select("job_id", F.explode(_clustered("labels")).alias("label", "speaker"))
     return rows.join(labels, ["job_id", "label"]).select("job_id", "segment_index", "start_sample", "end_sample", "speaker", "text")
 
