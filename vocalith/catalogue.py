@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import clock, text, vectors
-from .operators import intervals, ledger, markers, matching, packing, segments, spectral
+from .operators import identity, intervals, ledger, markers, matching, packing, segments, spectral
 from .operators.ordered import along
 from .plans import diarization
 from .sources import jsonl
@@ -402,6 +402,34 @@ def job_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.sha2(identity, 256).alias("fingerprint")).distinct()
 
 
+_NAMES = ["chunking_strategy", "include", "known_speaker_ids", "language", "model", "response_format"]
+
+
+@_query(f"""WITH {_LEASES}, j AS (SELECT DISTINCT id, input_lease_id, canonical_options_json AS o, selected_speaker_snapshot AS s, snapshot_sha256, request_fingerprint FROM transcription_jobs),
+p AS (SELECT j.*, l.content_sha256 AS d, CASE WHEN o IS NULL THEN 'no_json' WHEN list_sort(json_keys(o)) <> {_NAMES} THEN 'unknown_key' END AS options_error FROM j LEFT JOIN l ON l.id = input_lease_id),
+f AS (SELECT *, CASE WHEN options_error IS NULL AND regexp_full_match(d, '[0-9a-f]{{64}}') THEN sha256('{{"canonical_options":' || o || ',"input_sha256":"' || d || '","speaker_snapshot_sha256":"' ||
+  sha256(coalesce(s, ''::BLOB)) || '","version":1}}') END AS fingerprint FROM p)
+SELECT id, options_error, snapshot_sha256 IS NOT DISTINCT FROM (CASE WHEN s IS NOT NULL THEN sha256(s) END) AS snapshot_fits, fingerprint, fingerprint = request_fingerprint AS same FROM f""")
+def request_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each job whether its options are canonical, its snapshot has its digest, and the fingerprint made anew from options, input and snapshot."""
+    jobs = _read(spark, d, "transcription_jobs").select("id", "input_lease_id", "canonical_options_json", "selected_speaker_snapshot", "snapshot_sha256", "request_fingerprint").distinct()
+    lease = _leases(spark, d).select(F.col("id").alias("lease"), "content_sha256")
+    options, snapshot = F.col("canonical_options_json"), F.col("selected_speaker_snapshot")
+    rows = jobs.join(lease, F.col("input_lease_id") == F.col("lease"), "left").withColumn("fingerprint", identity.request_fingerprint(options, F.col("content_sha256"), snapshot))
+    fits = F.col("snapshot_sha256").eqNullSafe(F.when(snapshot.isNotNull(), F.sha2(snapshot, 256)))
+    return rows.select("id", identity.options_error(options).alias("options_error"), fits.alias("snapshot_fits"), "fingerprint", (F.col("fingerprint") == F.col("request_fingerprint")).alias("same"))
+
+
+@_query("""WITH j AS (SELECT DISTINCT id, decode(selected_speaker_snapshot) AS s FROM transcription_jobs WHERE selected_speaker_snapshot IS NOT NULL),
+x AS (SELECT id, unnest(generate_series(0, json_array_length(s, '$.speakers')::INT - 1)) AS position, s FROM j)
+SELECT id, position, json_extract_string(s, '$.speakers[' || position || '].id') AS speaker, json_extract_string(s, '$.speakers[' || position || '].name') AS name,
+  octet_length(from_base64(json_extract_string(s, '$.speakers[' || position || '].embedding'))) // 4 AS dimension FROM x""")
+def selected_speakers(spark: SparkSession, d: str) -> DataFrame:
+    jobs = _read(spark, d, "transcription_jobs").select("id", "selected_speaker_snapshot").distinct().withColumnRenamed("id", "job")
+    rows = identity.unpacked(jobs, "selected_speaker_snapshot", ["job"])
+    return rows.select(F.col("job").alias("id"), F.col("position").cast("long").alias("position"), F.col("id").alias("speaker"), "name", F.size("embedding").cast("long").alias("dimension"))
+
+
 @_query(rf"""SELECT id, lower({_strip("name")}) = name_key AS key_fits, length({_strip("name")}) BETWEEN 1 AND 80 AND NOT regexp_full_match({_strip("name")}, '[A-Z]+')
   AND NOT regexp_full_match(lower({_strip("name")}), 'unknown [a-z]+') AS name_fits, octet_length(embedding) = 4 * embedding_dimension AS size_fits, sample_count BETWEEN 2 AND 5 AS samples_fit FROM speaker_profiles""")
 def profile_checks(spark: SparkSession, d: str) -> DataFrame:

@@ -22,7 +22,7 @@ PREFIX = r"\A<\|([^|<>]{1,64})\|><\|([^|<>]{1,64})\|><\|([^|<>]{1,64})\|><\|([^|
 
 def strip(text: Column) -> Column:
     """``text`` without white space at both ends, by the Unicode definition."""
-    return F.regexp_replace(text, rf"\A{WHITE}+|{WHITE}+\z", "")
+    return F.regexp_replace(text, rf"\A{WHITE}+|(?<!{WHITE}){WHITE}+\z", "")
 
 
 def is_blank(text: Column) -> Column:
