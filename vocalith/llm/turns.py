@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import marks, runs
+from .store import settle
 
 #: A label of so few letters stands for itself: `A` and `AB` are two speakers, however alike.
 LETTERS = 3
@@ -81,11 +82,11 @@ def own_label(label: str | None) -> str | None:
     return plain if len(plain) <= LETTERS else label.strip()
 
 
-def spoken_records(records: DataFrame) -> DataFrame:
+def spoken_records(records: DataFrame, with_text: bool = True) -> DataFrame:
     """(job_id, segment_index, start_sample, end_sample, speaker, text): the records that hold speech and name a speaker.
 
     Rows of equal (job_id, segment_index) are one record, the earliest received. The label is that of anonymous_speaker
-    or, if it names nobody, that at the head of the text. Void spans (end <= start) and null keys are dropped.
+    or, if it names nobody, that at the head of the text. Void spans (end <= start) and null keys are dropped. Without ``with_text`` the text is NULL.
     """
     cols = ["start_sample", "end_sample", "text", "anonymous_speaker"]
     once = records.where("job_id is not null and segment_index is not null").groupBy("job_id", "segment_index").agg(
@@ -102,12 +103,13 @@ def spoken_records(records: DataFrame) -> DataFrame:
                 if spoken and label:
                     keep.append(i)
                     labels.append(label)
-                    texts.append(clean)
+                    texts.append(clean if with_text else None)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*(c.take(at) for c in (job, index, start, end)), pa.array(labels, pa.string()), pa.array(texts, pa.string())], ["job_id", "segment_index", "start_sample", "end_sample", "label", "text"])
 
     flat = once.select("job_id", "segment_index", "r.*").where("end_sample > start_sample")
-    rows = flat.mapInArrow(run, "job_id string, segment_index long, start_sample long, end_sample long, label string, text string")
+    # Both the labels and the records below come from here; the texts are split once.
+    rows = settle(flat.mapInArrow(run, "job_id string, segment_index long, start_sample long, end_sample long, label string, text string"))
     labels = rows.groupBy("job_id").agg(F.collect_set("label").alias("labels")).select("job_id", F.explode(_clustered("labels")).alias("label", "speaker"))
     return rows.join(labels, ["job_id", "label"]).select("job_id", "segment_index", "start_sample", "end_sample", "speaker", "text")
 
@@ -118,7 +120,7 @@ def speaker_turns(records: DataFrame, gap: int = 480_000, chunk: int = runs.CHUN
     Spoken records by start: one joins the turn if it has the same speaker and starts at most ``gap`` after the turn's
     latest end. A job that names no speaker has no turns.
     """
-    spoken = spoken_records(records)
+    spoken = spoken_records(records, with_text=False)
     out = runs.collapse_runs(spoken, F.col("job_id"), F.col("speaker"), F.col("start_sample"), F.col("end_sample"), gap, F.col("segment_index"), chunk)
     return out.select(
         F.col("key").alias("job_id"), F.col("label").alias("speaker"), F.col("start").alias("start_sample"), F.col("end").alias("end_sample"), F.col("n_events").alias("n_records")
