@@ -214,17 +214,17 @@ def region_merge(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"""WITH {_SEG}, x AS (SELECT job_id, segment_index, start_sample AS s, end_sample AS e, unnest(generate_series(0, (end_sample - start_sample - 1) // 480000)) AS piece FROM seg WHERE end_sample > start_sample)
 SELECT job_id, segment_index, piece, s + piece * 480000 AS start, least(e, s + (piece + 1) * 480000) AS "end" FROM x""")
 def segment_split(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.split(_spans(_segments(spark, d), "segment_index"))
+    return intervals.split(_spans(_segments(spark, d), "segment_index")).withColumn("piece", F.col("piece").cast("long"))
 
 
 @_query(f"""WITH {_REG}, x AS (SELECT job_id, s, e, unnest(generate_series(s // 9600, (e - 1) // 9600)) AS block FROM reg)
-SELECT job_id, block, count(*) AS n, sum(least(e, (block + 1) * 9600) - greatest(s, block * 9600)) AS samples FROM x GROUP BY ALL""")
+SELECT job_id, block, count(*) AS n, sum(least(e, (block + 1) * 9600) - greatest(s, block * 9600))::BIGINT AS samples FROM x GROUP BY ALL""")
 def region_blocks(spark: SparkSession, d: str) -> DataFrame:
     return intervals.blocks(_regions(spark, d)).groupBy("job_id", "block").agg(F.count("*").alias("n"), F.sum(F.expr("`end` - `start`")).alias("samples"))
 
 
 @_query("""WITH x AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER o <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
-g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM x)
+g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM x)
 SELECT user_id, session, count(*) AS n, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros FROM g GROUP BY ALL""")
 def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     e = _read(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
