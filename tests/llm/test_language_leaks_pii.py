@@ -99,6 +99,12 @@ def test_leaks(spark):
     assert leaks.leaked(docs.where("false"), items).count() == 0 and leaks.leaked(docs, items.where("false")).count() == 0
 
 
+def test_a_short_item_is_found_whole(spark):
+    items = spark.createDataFrame([(1, "seven amber lanterns hung over the bridge"), (2, "two words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Then seven amber lanterns, um, hung over the bridge again."), (2, "two words"), (3, "amber lanterns hung elsewhere")], "doc_id long, text string")
+    assert rows(leaks.leaked(docs, items), "doc_id", "item_id") == [(1, 1)]
+
+
 def test_items_in_blocks_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PASSAGES)], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")

@@ -118,8 +118,16 @@ def test_turns(spark):
     want = [("j", "A", 0, 482_000, 2), ("j", "A", 962_001, 963_000, 1), ("j", "B", 962_500, 981_000, 2), ("j", "D", 990_000, 991_000, 1)]
     for chunk in (1000, 160_000_000):
         assert rows(turns.speaker_turns(df, chunk=chunk), "job_id", "speaker", "start_sample", "end_sample", "n_records") == want
-    clean = {r["segment_index"]: r["text"] for r in turns.spoken_records(df).collect()}
-    assert clean[2] == "no, mine" and clean[6] == "both"
+        texts = rows(turns.turn_texts(df, chunk=chunk), "job_id", "segment_index", "turn", "speaker", "text")
+        assert texts == [("j", 0, 0, "A", "hello"), ("j", 2, 0, "A", "no, mine"), ("j", 3, 3, "A", "later"), ("j", 4, 4, "B", "overlap"), ("j", 5, 4, "B", "yes"), ("j", 6, 6, "D", "both")]
+
+
+def test_both_ways_of_splitting_marks_agree(spark, data):
+    texts = [t for t, _ in SPEECH + HEADS] + ["　 x", "u" * 5000, "(" * 500, "[A]" * 50, "um" * 50, "A: B: C", "<|a|>" * 40, "x\u200b\ufeffy"]
+    more = [r[0] for r in spark.read.parquet(f"{data}/segment_records.parquet").select("text").collect()]
+    df = spark.createDataFrame([(t,) for t in texts + more], "v string")
+    for r in df.select("v", *[c.alias(n) for c, n in zip(marks.split_marks(F.col("v")), "abc")]).collect():
+        assert (r["a"], r["b"], r["c"]) == marks.split_text(r["v"]), r["v"]
 
 
 def test_labels_cluster_by_letters_initials_and_likeness():

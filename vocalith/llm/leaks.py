@@ -99,14 +99,18 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.words = {i: tokens(t)[0] for i, t in items}
+        #: Hits below which a text holds no passage: an eighth of the grams of the shortest item, at most eight.
+        self.least = 8
         long, short = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
         for _, t in items:
             a, b, at = _hashes(t)
             cjk = sum(map(_is_cjk, map(ord, t))) * 2 > len(at)
             if cjk and len(at) >= SHORT:
                 short.append(b[: len(at) - SHORT + 1])
+                self.least = max(1, min(self.least, len(short[-1]) // 8))
             elif not cjk and len(at) >= LONG:
                 long.append(a[: len(at) - LONG + 1])
+                self.least = max(1, min(self.least, len(long[-1]) // 8))
         self.long, self.short = _HashSet(np.concatenate(long)), _HashSet(np.concatenate(short))
         self.at: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for i, words in self.words.items():
@@ -120,7 +124,7 @@ class Items:
         hit = np.concatenate([self.long.places(long), self.short.places(short)])
         ends = np.cumsum([len(t) + 1 for t in texts])
         doc = np.searchsorted(ends, at[hit], "right")
-        return np.flatnonzero(np.bincount(doc, minlength=len(texts)) >= 8).tolist()
+        return np.flatnonzero(np.bincount(doc, minlength=len(texts)) >= self.least).tolist()
 
 
 #: What a changed word costs against a matching one: passages are chained with up to one word in about four changed, then measured.
@@ -223,7 +227,7 @@ def leaked(documents: DataFrame, items: DataFrame, part: float = 0.5, changed: f
     """(doc_id, item_id, start_char, end_char, share, changed): items of which at least ``part`` stands in a document as one passage.
 
     Case, width, spacing, punctuation, marks and fillers do not count; at most ``changed`` of the passage's words differ. Null and
-    empty texts, and items without a word, are in no pair; repeated items count once. Items are broadcast in blocks of at most
+    empty texts are in no pair, nor are items of fewer than 16 letters (7 characters of Han or kana) or 4 words, which are single phrases; repeated items count once. Items are broadcast in blocks of at most
     ``BLOCK_ITEMS`` items, each block against all documents, so what is broadcast does not grow with the items' number.
     """
     spark = documents.sparkSession

@@ -26,8 +26,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return turns.speaker_turns(_read(spark, d, "segment_records")).select("job_id", "speaker", "start_sample", "end_sample")
 
 
-def p2_records(spark: SparkSession, d: str) -> DataFrame:
-    return turns.spoken_records(_read(spark, d, "segment_records"))
+def p2_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The clean text of each spoken record with its turn."""
+    return turns.turn_texts(_read(spark, d, "segment_records"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +87,7 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(_read(spark, d, "documents"))
 
 
-_QUERIES = (p1_found, p1_runs, p2_found, p2_records, p3_found, p4_found, p4_languages, p5_found, p5_groups, p6_ids, p7_found, p7_clean, p8_found, p8_clean)
+_QUERIES = (p1_found, p1_runs, p2_found, p2_turns, p3_found, p4_found, p4_languages, p5_found, p5_groups, p6_ids, p7_found, p7_clean, p8_found, p8_clean)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

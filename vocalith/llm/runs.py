@@ -19,7 +19,7 @@ CHUNK_SAMPLES = 160_000_000
 def collapse_runs(
     rows: DataFrame, key: Column, label: Column, start: Column, end: Column, gap: int, tie: Column | None = None, chunk: int = CHUNK_SAMPLES
 ) -> DataFrame:
-    """Runs (key, label, start, end, n_events, duration) of consecutive events, ordered by (start, end, tie).
+    """Runs (key, label, start, end, n_events, duration, first) of consecutive events, ordered by (start, end, tie); first is the tie of the first event.
 
     An event continues the run if it has the label of the one before and starts at most ``gap`` after the run's
     latest end so far. Rows with a null key, start or end, or end <= start, are void; a null label is a label of
@@ -46,7 +46,7 @@ def collapse_runs(
     # Only boundary rows go on, and the last row of each chunk. What came before the chunk can undo a boundary, not make one.
     kept = settle(
         seen.where("edge or is_last").select(
-            "k", "c", "l", "s", "p", "b", "edge", "own", F.col("m.b").alias("mb"), F.col("m.e").alias("me"), "first_l", F.when(F.col("is_last"), F.greatest("own", "e")).alias("tail")
+            "k", "c", "l", "s", "t", "p", "b", "edge", "own", F.col("m.b").alias("mb"), F.col("m.e").alias("me"), "first_l", F.when(F.col("is_last"), F.greatest("own", "e")).alias("tail")
         )
     )
 
@@ -69,7 +69,7 @@ def collapse_runs(
     reach = F.greatest("own", inherited)
     joined = F.col("in_l") == F.col("first_l")
     prior = F.when(F.col("mb").isNull(), F.col("in_e")).otherwise(F.greatest("me", F.when((F.col("mb") == 1) & joined, F.col("in_e"))))
-    edges = placed.where(reach.isNull() | (F.col("s") > reach + gap)).select("k", "c", "l", "s", (F.col("in_n") + F.col("p")).alias("g"), prior.alias("prior"))
+    edges = placed.where(reach.isNull() | (F.col("s") > reach + gap)).select("k", "c", "l", "s", "t", (F.col("in_n") + F.col("p")).alias("g"), prior.alias("prior"))
 
     # Boundary rows only from here on: the next boundary gives the count (positions) and the end (its prior end).
     step = Window.partitionBy("k", "c").orderBy("g")
@@ -80,7 +80,7 @@ def collapse_runs(
     runs = edges.join(heads, ["k", "c"]).withColumn("next", F.coalesce("next", "over"))
     return runs.select(
         F.col("k").alias("key"), F.when(F.col("l") != "", F.col("l")).alias("label"), F.col("s").alias("start"), F.col("next.prior").alias("end"),
-        (F.col("next.g") - F.col("g")).alias("n_events"), (F.col("next.prior") - F.col("s")).alias("duration"),
+        (F.col("next.g") - F.col("g")).alias("n_events"), (F.col("next.prior") - F.col("s")).alias("duration"), F.col("t").alias("first"),
     )
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..operators.ordered import along
 from . import marks, runs
 from .store import settle
 
@@ -114,14 +115,29 @@ def spoken_records(records: DataFrame, with_text: bool = True) -> DataFrame:
     return rows.join(labels, ["job_id", "label"]).select("job_id", "segment_index", "start_sample", "end_sample", "speaker", "text")
 
 
+def _turns(spoken: DataFrame, gap: int, chunk: int) -> DataFrame:
+    return runs.collapse_runs(spoken, F.col("job_id"), F.col("speaker"), F.col("start_sample"), F.col("end_sample"), gap, F.col("segment_index"), chunk)
+
+
 def speaker_turns(records: DataFrame, gap: int = 480_000, chunk: int = runs.CHUNK_SAMPLES) -> DataFrame:
     """Turns (job_id, speaker, start_sample, end_sample, n_records) of ``segment_records``.
 
     Spoken records by start: one joins the turn if it has the same speaker and starts at most ``gap`` after the turn's
     latest end. A job that names no speaker has no turns.
     """
-    spoken = spoken_records(records, with_text=False)
-    out = runs.collapse_runs(spoken, F.col("job_id"), F.col("speaker"), F.col("start_sample"), F.col("end_sample"), gap, F.col("segment_index"), chunk)
+    out = _turns(spoken_records(records, with_text=False), gap, chunk)
     return out.select(
         F.col("key").alias("job_id"), F.col("label").alias("speaker"), F.col("start").alias("start_sample"), F.col("end").alias("end_sample"), F.col("n_events").alias("n_records")
     )
+
+
+def turn_texts(records: DataFrame, gap: int = 480_000, chunk: int = runs.CHUNK_SAMPLES) -> DataFrame:
+    """(job_id, turn, speaker, segment_index, start_sample, end_sample, text): the clean text of each spoken record with the turn it is in.
+
+    A turn is named by the segment_index of its first record. Texts stay a row a record, as a turn may be as long as its job.
+    """
+    spoken = spoken_records(records)
+    begun = _turns(spoken, gap, chunk).select(F.col("key").alias("job_id"), F.col("first").alias("segment_index"), F.lit(True).alias("begins"))
+    rows = spoken.join(begun, ["job_id", "segment_index"], "left").withColumn("opens", F.when(F.col("begins"), F.col("segment_index")))
+    rows = along(rows, "job_id", ["start_sample", "end_sample", "segment_index"], chunk, last={"open": F.col("opens")})
+    return rows.select("job_id", F.coalesce("opens", "open").alias("turn"), "speaker", "segment_index", "start_sample", "end_sample", "text")
