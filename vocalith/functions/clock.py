@@ -35,3 +35,8 @@ def elapsed_ms(start: Column, end: Column) -> Column:
 def reserved(size: Column) -> Column:
     """A size rounded up to whole quanta of 8 MiB, at least one."""
     return F.greatest(F.lit(QUANTUM), F.ceil(size / F.lit(QUANTUM)) * QUANTUM).cast("long")
+
+
+def due(finished: Column, now: Column, hours: int) -> Column:
+    """Whether something finished at least so many hours before ``now``; what has not finished is never due."""
+    return F.coalesce(F.unix_micros(finished) <= F.unix_micros(now) - hours * 3_600_000_000, F.lit(False))

@@ -46,6 +46,11 @@ def mean_unit(df: DataFrame, keys: list[str], vector: str, dim: int, name: str =
     return sums.select(*keys, F.when(norm(F.col("s")) > 0, unit(mean)).alias(name), "n")
 
 
+def positive_zero(x: Column) -> Column:
+    """A number with negative zero as zero; NULL for what is not finite."""
+    return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), None).when(x == 0, F.lit(0.0)).otherwise(x.cast("double"))
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_blob(blob: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats of a BINARY."""

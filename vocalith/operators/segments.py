@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clock import to_seconds
-from ..functions.text import is_blank, needs_space, strip
+from ..functions.text import is_blank, letters, needs_space, strip
 from .ordered import along
 
 COLUMNS = ["start_sample", "end_sample", "text", "language", "annotations", "anonymous_speaker"]
@@ -100,3 +100,14 @@ def ordinals(segments: DataFrame) -> DataFrame:
     first = segments.where("anonymous_speaker is not null").groupBy("job_id", "anonymous_speaker").agg(F.min("segment_index").alias("at"))
     lists = first.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("at", "anonymous_speaker"))).alias("l"))
     return lists.select("job_id", F.posexplode("l").alias("ordinal", "x")).select("job_id", F.col("x.anonymous_speaker").alias("anonymous_speaker"), F.col("ordinal").cast("long").alias("ordinal"))
+
+
+def mapping_errors(names: DataFrame) -> DataFrame:
+    """(job_id, error): jobs whose mapping (job_id, label, id, name) is refused: repeated (a label twice), not_dense (the labels are not A, B, C up to their number) or two_names (an id has several)."""
+    n = F.count("*")
+    whole = names.groupBy("job_id").agg(n.alias("n"), F.count_distinct("label").alias("m"), F.array_sort(F.collect_set("label")).alias("labels"))
+    # Labels in order of length and then letters are in order of their ordinals.
+    want = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: letters(i))
+    shape = whole.select("job_id", F.when(F.col("n") > F.col("m"), "repeated").when(F.size(F.array_except(want, "labels")) > 0, "not_dense").alias("error")).where("error is not null")
+    twice = names.where("id is not null").groupBy("job_id", "id").agg(F.count_distinct("name").alias("k")).where("k > 1").select("job_id", F.lit("two_names").alias("error")).distinct()
+    return shape.unionByName(twice)
