@@ -130,6 +130,12 @@ def test_both_ways_of_splitting_marks_agree(spark, data):
         assert (r["a"], r["b"], r["c"]) == marks.split_text(r["v"]), r["v"]
 
 
+def test_named_speakers(spark):
+    data = [record("j", 0, 0, 1000, "hello", "Jorun Tarnfeld"), record("j", 1, 1000, 2000, "again", "jorun tarnfeld"), record("j", 2, 2000, 3000, "well", "Jorun  Tarnfelt"), record("j", 3, 3000, 4000, "yes", "Ketra Ashquill"), record("j", 4, 4000, 5000, "no", "B"), record("k", 0, 0, 9, "hi", "JORUN TARNFELD")]
+    got = rows(turns.speaker_turns(spark.createDataFrame(data, RECORD)), "job_id", "speaker", "n_records")
+    assert [g[0] for g in got] == ["j", "j", "j", "k"] and [g[2] for g in got if g[1].startswith("JORUN")] == [3, 1] and ("j", "B", 1) in got and ("j", "KETRA ASHQUILL", 1) in got
+
+
 def test_labels_cluster_by_letters_initials_and_likeness():
     got = turns.cluster_labels(["A", "speaker a", "AB", "Spk_AB", "Jorun Tarnfeld", "jorun  tarnfeld", "Jorun Tarnfelt", "Jane Tucker", "unknown", ""])
     assert got["A"] == got["speaker a"] == "A" and got["AB"] == got["Spk_AB"] == "AB"

@@ -97,22 +97,30 @@ def spoken_records(records: DataFrame, with_text: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             job, index, start, end, text, who = (batch.column(i) for i in range(6))
-            keep, labels, texts = [], [], []
+            keep, speakers, labels, marks_of, texts = [], [], [], [], []
             for i, (t, w) in enumerate(zip(text.to_pylist(), who.to_pylist())):
                 named, clean, spoken = marks.split_text(t)
                 label = own_label(w) or named
                 if spoken and label:
+                    plain = plain_name(label)
+                    lettered = len(plain) <= LETTERS
                     keep.append(i)
-                    labels.append(label)
+                    speakers.append(plain if lettered else None)
+                    labels.append(None if lettered else label)
+                    marks_of.append(None if lettered else _initials(plain))
                     texts.append(clean if with_text else None)
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in (job, index, start, end)), pa.array(labels, pa.string()), pa.array(texts, pa.string())], ["job_id", "segment_index", "start_sample", "end_sample", "label", "text"])
+            made = [pa.array(x, pa.string()) for x in (speakers, labels, marks_of, texts)]
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in (job, index, start, end)), *made], ["job_id", "segment_index", "start_sample", "end_sample", "speaker", "label", "initials", "text"])
 
     flat = once.select("job_id", "segment_index", "r.*").where("end_sample > start_sample")
-    # Both the labels and the records below come from here; the texts are split once.
-    rows = settle(flat.mapInArrow(run, "job_id string, segment_index long, start_sample long, end_sample long, label string, text string"))
-    labels = rows.groupBy("job_id").agg(F.collect_set("label").alias("labels")).select("job_id", F.explode(_clustered("labels")).alias("label", "speaker"))
-    return rows.join(labels, ["job_id", "label"]).select("job_id", "segment_index", "start_sample", "end_sample", "speaker", "text")
+    # Labels of letters are their own speakers; names are clustered below. The texts are split once for both.
+    rows = settle(flat.mapInArrow(run, "job_id string, segment_index long, start_sample long, end_sample long, speaker string, label string, initials string, text string"))
+    cols = ["job_id", "segment_index", "start_sample", "end_sample", "speaker", "text"]
+    named = rows.where("speaker is null").drop("speaker")
+    # Only names of equal initials can be one speaker, so a transcript's names are taken by initials.
+    labels = named.groupBy("job_id", "initials").agg(F.collect_set("label").alias("labels")).select("job_id", F.explode(_clustered("labels")).alias("label", "speaker"))
+    return rows.where("speaker is not null").select(cols).unionByName(named.join(labels, ["job_id", "label"]).select(cols))
 
 
 def _turns(spoken: DataFrame, gap: int, chunk: int) -> DataFrame:
