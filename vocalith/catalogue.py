@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import clock, text, vectors
 from .operators import identity, intervals, ledger, markers, matching, packing, segments, spectral
 from .operators.ordered import along
+from .operators.store import settle
 from .plans import diarization
 from .sources import jsonl
 
@@ -230,7 +231,7 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     e = _read(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     hour = 3_600_000_000.0
     e = along(e, "user_id", ["t", "event_id"], 24 * hour, prev={"p": F.col("t")})
-    e = e.withColumn("f", (F.col("p").isNull() | (F.col("t") - F.col("p") > hour / 2)).cast("long"))
+    e = settle(e.withColumn("f", (F.col("p").isNull() | (F.col("t") - F.col("p") > hour / 2)).cast("long")).drop("p"))
     e = along(e, "user_id", ["t", "event_id"], 24 * hour, total={"session": F.col("f")})
     return e.groupBy("user_id", "session").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("micros"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import SPAN, along
+from .store import settle
 
 WINDOW, HOP = 24_000, 12_000
 LONGEST = 480_000
@@ -23,7 +24,8 @@ def islands(df: DataFrame, key: str = "job_id", span: int = SPAN) -> DataFrame:
     """(key, start, end): the union of a key's intervals as maximal islands; touching intervals join."""
     rows = valid(df, key).select(key, "start", "end").distinct()
     rows = along(rows, key, ["start", "end"], span, top_before={"reach": F.col("end")})
-    rows = rows.withColumn("fresh", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), F.col("start")))
+    # Written once here: a second ordered step on top would run the first one twice.
+    rows = settle(rows.withColumn("fresh", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), F.col("start"))).drop("reach"))
     # The island of a row is the latest start that opened one.
     rows = along(rows, key, ["start", "end"], span, last={"open": F.col("fresh")})
     rows = rows.withColumn("island", F.coalesce("fresh", "open"))
@@ -96,7 +98,7 @@ def merged(df: DataFrame, label: str, key: str = "job_id", within: str | None =
     goes_on = (F.col("__p.end") == F.col("start"))
     for c in same:
         goes_on = goes_on & F.col(f"__p.{c}").eqNullSafe(F.col(c))
-    rows = rows.withColumn("__f", F.when(F.coalesce(goes_on, F.lit(False)), None).otherwise(F.col("start")))
+    rows = settle(rows.withColumn("__f", F.when(F.coalesce(goes_on, F.lit(False)), None).otherwise(F.col("start"))).drop("__p"))
     rows = along(rows, key, ["start", "end"], span, last={"__o": F.col("__f")}).withColumn("__run", F.coalesce("__f", "__o"))
     out = rows.groupBy(key, *same, "__run").agg(F.max("end").alias("end"), F.count("*").alias("n"))
     return out.select(key, *same, F.col("__run").alias("start"), "end", "n")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import letters
 from ..operators import intervals, spectral
 from ..operators.intervals import LONGEST
+from ..operators.store import settle
 
 
 def regions(speech: DataFrame, windows: DataFrame, keep: float = 1.0, low: float = 2.0, gap: float = 0.5) -> DataFrame:
@@ -16,11 +17,12 @@ def regions(speech: DataFrame, windows: DataFrame, keep: float = 1.0, low: float
     nearest its centre, cells are cut with the islands of speech, touching cells of one speaker within an island join, and what
     is longer than 480,000 samples is cut.
     """
-    islands = intervals.islands(speech)
-    ordinals = spectral.by_recording(windows, keep=keep, low=low, gap=gap)
+    # What several steps read is written once.
+    islands = settle(intervals.islands(speech))
+    ordinals = settle(spectral.by_recording(windows, keep=keep, low=low, gap=gap))
     total = islands.groupBy("job_id").agg(F.max("end").alias("total"))
     cells = intervals.cells(ordinals.join(total, "job_id"), "total")
     cells = cells.select("job_id", "ordinal", F.col("cell_start").alias("start"), F.col("cell_end").alias("end"))
-    parts = intervals.overlaps(cells, islands).select("job_id", F.col("l.ordinal").alias("ordinal"), F.col("r.start").alias("island"), "start", "end")
+    parts = settle(intervals.overlaps(cells, islands).select("job_id", F.col("l.ordinal").alias("ordinal"), F.col("r.start").alias("island"), "start", "end"))
     runs = intervals.merged(parts, "ordinal", within="island")
     return intervals.split(runs.select("job_id", "ordinal", "start", "end"), LONGEST).select("job_id", letters(F.col("ordinal")).alias("label"), "start", "end")
