@@ -118,23 +118,34 @@ def fit(texts: list[str], labels: list[str], rounds: int = 2, smooth: float = 0.
     After the first fit each line is given the code it is likeliest in, so that wrong labels and mixed texts are undone.
     A code without any text keeps the smoothed probability of nothing seen, below that of all others.
     """
-    clean = [speech(t) for t in texts]
     bucket, line, owner, base = [], [], [], 0
-    for t, c in zip(clean, labels):
-        b, l, n = _grams(t)
-        bucket.append(b)
-        line.append(l + base)
-        owner += [CODES.index(c)] * len(n)
+    for t, c in zip(texts, labels):
+        b, l, n = _grams(speech(t))
+        bucket.append(b.astype(np.int32))
+        line.append((l + base).astype(np.int32))
+        owner.append(np.full(len(n), CODES.index(c), np.int8))
         base += len(n)
     if not bucket:
         return np.zeros((BUCKETS, len(CODES)), np.float32)
-    b, l, y = np.concatenate(bucket), np.concatenate(line), np.array(owner)
+    b, l, y = np.concatenate(bucket), np.concatenate(line), np.concatenate(owner)
+    del bucket, line, owner
+    # Lines in parts, so that what is held at once stays small.
+    parts = [slice(i, i + 1_000_000) for i in range(0, len(b), 1_000_000)]
     for r in range(rounds + 1):
-        counts = np.stack([np.bincount(b[y[l] == k], minlength=BUCKETS) for k in range(len(CODES))], 1).astype(np.float64)
+        counts = np.zeros(BUCKETS * len(CODES))
+        for p in parts:
+            counts += np.bincount(b[p].astype(np.int64) * len(CODES) + y[l[p]], minlength=len(counts))
+        counts = counts.reshape(BUCKETS, len(CODES))
         total = counts.sum(0)
         weights = (np.log(counts + smooth) - np.log(np.maximum(total, total.max() * 0.01) + smooth * BUCKETS)).astype(np.float32)
         if r < rounds:
-            y = np.stack([np.bincount(l, weights[b, k], minlength=base) for k in range(len(CODES))], 1).argmax(1)
+            scores = np.zeros((base, len(CODES)))
+            for p in parts:
+                low = int(l[p].min())
+                for k in range(len(CODES)):
+                    part = np.bincount(l[p] - low, weights[b[p], k])
+                    scores[low : low + len(part), k] += part
+            y = scores.argmax(1).astype(np.int8)
     return weights
 
 
@@ -250,7 +261,7 @@ def _rows(kind, ref, part, language, confidence, label, mixed, letters) -> pa.Re
     )
 
 
-def languages(documents: DataFrame, segments: DataFrame, sample_rows: int = 4000) -> DataFrame:
+def languages(documents: DataFrame, segments: DataFrame, sample_rows: int = 2500) -> DataFrame:
     """All rows of documents, lines and segments; the model is fitted on a sample bounded by ``sample_rows`` texts of each table (at most twice)."""
     weights = documents.sparkSession.sparkContext.broadcast(fit(*sample(documents, segments, sample_rows)))
     return documents_languages(documents, weights).unionByName(segment_languages(segments, weights))

@@ -23,7 +23,7 @@ LONG, SHORT = 16, 7
 #: Tokens in an n-gram of the second scan.
 WORDS = 4
 #: Items a block of the broadcast set holds at most, and their characters.
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
+BLOCK_ITEMS, BLOCK_CHARS = 2_000, 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿𠀀-𲎯々]|(?:(?![぀-ヿ㐀-鿿豈-﫿𠀀-𲎯々])[^\W_])+")
 
