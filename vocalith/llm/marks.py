@@ -73,8 +73,9 @@ JSON_WRAP = r'^[^\S\n]*\{(?:"[a-z_]+":\s?[-0-9.a-z]+,\s?){0,6}"text":\s?"|"(?:,"
 _JSON = re.compile(JSON_WRAP, re.M)
 # Each branch begins with a fixed set of characters, which makes the search fast.
 _ANY = re.compile(rf"{TAG}|{TIME}|{SOUND}")
+#: Speaker marks at the head of a line; a line put into another's turn has several.
 _HEAD = re.compile(
-    rf"^[^\S\n]*(?:[0-9]{{1,6}}:[0-9]{{2}} -[^\S\n]*)?(?:>>[^\S\n]?)?(?:(?i:{_WORDS})[^\S\n_-]*[_-]?[A-Za-z]{{1,3}}(?:[^\S\n]?[:：>]|[^\S\n]-(?=\s|$))|[A-Z]{{1,3}}[^\S\n]?[:：>]|>>)", re.M
+    rf"^(?:[^\S\n]*(?:[0-9]{{1,6}}:[0-9]{{2}} -[^\S\n]*)?(?:>>[^\S\n]?)?(?:(?i:{_WORDS})[^\S\n_-]*[_-]?[A-Za-z]{{1,3}}(?:[^\S\n]?[:：>]|[^\S\n]-(?=\s|$))|[A-Z]{{1,3}}[^\S\n]?[:：>]|>>))+", re.M
 )
 _FILL = re.compile(FILLER.replace(r"[\p{L}\p{N}]", r"[^\W_]"))
 
