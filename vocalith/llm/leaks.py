@@ -25,7 +25,9 @@ WORDS = 4
 #: Items a block of the broadcast set holds at most, and their characters.
 BLOCK_ITEMS, BLOCK_CHARS = 2_000, 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
-_TOKEN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿𠀀-𲎯々]|(?:(?![぀-ヿ㐀-鿿豈-﫿𠀀-𲎯々])[^\W_])+")
+# Han and kana, character by character.
+_SINGLE = r"[\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\U00020000-\U000323AF\u3005]"
+_TOKEN = re.compile(rf"{_SINGLE}|(?:(?!{_SINGLE})[^\W_])+")
 
 
 def _is_cjk(c: int) -> bool:
