@@ -77,6 +77,12 @@ def tokens(text: str) -> tuple[list[str], list[int]]:
     for m in _TOKEN.finditer(bare):
         words.append(m[0] if m[0].isascii() and m[0].islower() else unicodedata.normalize("NFKC", m[0]).casefold())
         places.append(m.start())
+    # In Han and kana the digits of a number are characters like the others.
+    if any(w.isdecimal() and len(w) > 1 for w in words):
+        single = [_is_cjk(ord(w[0])) for w in words]
+        cut = [w.isdecimal() and len(w) > 1 and (i and single[i - 1] or i + 1 < len(words) and single[i + 1]) for i, w in enumerate(words)]
+        places = [p + k for w, p, c in zip(words, places, cut) for k in (range(len(w)) if c else (0,))]
+        words = [x for w, c in zip(words, cut) for x in (w if c else (w,))]
     return words, places
 
 

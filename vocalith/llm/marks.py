@@ -77,6 +77,7 @@ _ANY = re.compile(rf"{TAG}|{TIME}|{SOUND}")
 _HEAD = re.compile(
     rf"^(?:[^\S\n]*(?:[0-9]{{1,6}}:[0-9]{{2}} -[^\S\n]*)?(?:>>[^\S\n]?)?(?:(?i:{_WORDS})[^\S\n_-]*[_-]?[A-Za-z]{{1,3}}(?:[^\S\n]?[:：>]|[^\S\n]-(?=\s|$))|[A-Z]{{1,3}}[^\S\n]?[:：>]|>>))+", re.M
 )
+_LINE_TIME = re.compile(r"^[^\S\n]*[0-9]{1,6}:[0-9]{2} -(?=\s|$)", re.M)
 _FILL = re.compile(FILLER.replace(r"[\p{L}\p{N}]", r"[^\W_]"))
 
 
@@ -89,7 +90,7 @@ def blanked(text: str) -> str:
     """``text`` with marks overwritten by spaces, so that positions and line feeds stay as they are."""
     if '{"' in text:
         text = _JSON.sub(_spaces, text)
-    return _HEAD.sub(_spaces, _ANY.sub(_spaces, text))
+    return _LINE_TIME.sub(_spaces, _HEAD.sub(_spaces, _ANY.sub(_spaces, text)))
 
 
 def without_fillers(text: str) -> str:
