@@ -102,7 +102,7 @@ def test_leaks(spark):
 def test_numbers_and_times_between_lines(spark):
     item = "雪橇上载着40件纸风筝退休的绘图师吹着口哨走向大理石桥上镇长许诺凡肯在白垩悬崖边上坐等的人都能领到6套琥珀灯笼"
     assert leaks.tokens("着40件 and 12 words")[0] == ["着", "4", "0", "件", "and", "12", "words"]
-    docs = [(1, " ".join(item[:30])), (2, "00:20 - B: " + ITEM[:60] + "\n00:27 - " + ITEM[60:120] + "\n00:34 - " + ITEM[120:])]
+    docs = [(1, " ".join(item[:30])), (2, "00:20 - B: " + " ".join(ITEM.split()[:9]) + "\n00:27 - " + " ".join(ITEM.split()[9:20]) + "\n00:34 - " + " ".join(ITEM.split()[20:]))]
     found = leaks.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, ITEM)], "item_id long, text string"))
     assert rows(found, "doc_id", "item_id", "changed")[0][:2] == (1, 1) and rows(found, "doc_id", "item_id", "changed")[1] == (2, 2, 0.0)
 
