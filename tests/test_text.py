@@ -52,6 +52,12 @@ def test_joined_text(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_long_recordings_have_their_text(spark):
+    data = [("long", 0, 0, 5, "a"), ("long", 1, segments.LONGEST, segments.LONGEST + 1, "b"), ("longer", 0, 0, 10 * segments.LONGEST, "c"), ("short", 0, 0, 5, "d")]
+    df = spark.createDataFrame(data, "job_id string, segment_index long, start_sample long, end_sample long, text string")
+    assert {r["job_id"]: r["text"] for r in segments.joined(df).collect()} == {"long": "a b", "longer": "c", "short": "d"}
+
+
 def test_joining_in_any_chunks_gives_the_same(spark):
     parts = [p or "" for case in CASES for p in case]
     rows = [("j", i, i, i + 1, t, None, None, None) for i, t in enumerate(parts)]

@@ -14,7 +14,7 @@ from ..functions.text import is_blank, letters, needs_space, strip
 from .ordered import along
 
 COLUMNS = ["start_sample", "end_sample", "text", "language", "annotations", "anonymous_speaker"]
-#: No recording is longer (12 hours); text is joined into one value only up to there.
+#: The reference's bound of a recording (12 hours), which the SQL twin of ``joined`` keeps; ``joined`` itself has none.
 LONGEST = 691_200_000
 #: Indices a chunk of ordered work spans.
 SPAN = 4096
@@ -52,10 +52,9 @@ def pieces(segments: DataFrame, span: int = SPAN) -> DataFrame:
     return rows.select("job_id", "segment_index", F.when(F.col("p").isNotNull() & needs_space(F.col("p"), F.substring("t", 1, 1)), F.concat(F.lit(" "), F.col("t"))).otherwise(F.col("t")).alias("piece"))
 
 
-def joined(segments: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(job_id, text): the whole text of each recording up to ``longest`` samples; longer ones are no recordings and are left to ``pieces``."""
-    short = segments.groupBy("job_id").agg(F.max("end_sample").alias("e")).where(F.col("e") <= longest).select("job_id")
-    rows = pieces(segments.join(short, "job_id", "left_semi"))
+def joined(segments: DataFrame) -> DataFrame:
+    """(job_id, text): the whole text of each recording, however long; it is one value, so a task holds the text of its longest recording."""
+    rows = pieces(segments)
     return rows.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_index", "piece"))), lambda x: x["piece"]), "").alias("text"))
 
 
