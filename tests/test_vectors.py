@@ -2,8 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vocalith import catalogue
 from vocalith.functions import vectors as V
 from vocalith.operators import matching, spectral
+from vocalith.plans import diarization
 
 
 def test_usable_and_unit(spark):
@@ -93,3 +95,31 @@ def test_by_recording_leaves_long_recordings_out(spark):
     got = {(r["job_id"], r["start"]): r["ordinal"] for r in spectral.by_recording(df, gap=0.2).collect()}
     assert {k for k, _ in got} == {"short"}
     assert [got["short", i * 12_000] for i in range(16)] == truth.tolist()
+
+
+@pytest.mark.parametrize("sizes,dim,noise,gap", [([40, 30], 16, 0.05, 0.2), ([12, 15, 18], 24, 0.05, 0.2), ([60, 50, 40], 32, 0.05, 0.3), ([90], 16, 0.3, 0.5), ([90], 16, 0.3, 0.2), ([50, 50], 8, 0.4, 0.1)])
+def test_clusters_without_the_matrix_equal_those_with_it(sizes, dim, noise, gap):
+    x, _ = blobs(sizes, dim=dim, noise=noise)
+    values, vectors, degree = spectral.spectrum(spectral.affinity(x))
+    product = spectral.Product(x)
+    assert np.allclose(product.degree, degree)
+    for s in np.r_[values[0] - 1e-6, (values[1:] + values[:-1])[np.diff(values) > 1e-9] / 2]:
+        assert product.below(s) == (values < s).sum()
+    k = spectral.count(values, degree, gap=gap)
+    assert product.count(2.0, gap) == k
+    if k > 1:
+        y = product.lowest(k)
+        assert np.allclose(y @ y.T, vectors[:, :k] @ vectors[:, :k].T, atol=1e-8)
+    assert np.array_equal(spectral.clustered(x, gap=gap, dense=2), spectral.clustered(x, gap=gap))
+
+
+def test_long_recordings_are_clustered_and_have_regions(spark, tmp_path):
+    x, truth = blobs([8, 8], dim=192)
+    data = [("long", spectral.LONGEST + i * 12_000, spectral.LONGEST + i * 12_000 + 24_000, v.tolist()) for i, v in enumerate(x)]
+    windows = spark.createDataFrame(data, "job_id string, start_sample long, end_sample long, embedding array<double>")
+    windows.write.parquet(f"{tmp_path}/speaker_embedding_windows.parquet")
+    got = {r["start"]: r["ordinal"] for r in catalogue.queries()["recording_clusters"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [r[1] for r in data]
+    speech = spark.createDataFrame([("long", spectral.LONGEST, spectral.LONGEST + 204_000)], "job_id string, start long, end long")
+    made = diarization.regions(speech, windows, gap=0.2).collect()
+    assert sum(r["end"] - r["start"] for r in made) == 204_000 and {r["label"] for r in made} == {"A", "B"}

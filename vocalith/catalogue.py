@@ -320,7 +320,7 @@ def sample_consistency(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def recording_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return spectral.by_recording(_windows(spark, d))
+    return spectral.by_recording(_windows(spark, d), longest=None)
 
 
 @_query()

@@ -1,7 +1,7 @@
 """Spectral clustering of one recording's windows into anonymous speakers.
 
-A recording has at most 30 minutes and so about 2,400 windows; longer ones are refused by ``by_recording``, which bounds the
-affinity matrix of a task.
+The reference admits 30 minutes and so about 2,400 windows. With more, the affinity matrix is never built: without pruning it is the
+product of the windows with themselves, of rank ``dim``, so that eigenvalues below any value can be counted exactly in memory of the windows alone.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.vectors import usable
 
 LONGEST = 28_800_000
+#: Windows up to which the affinity matrix is built; the reference's bound gives as many.
+DENSE = 2_400
 RESTARTS, ROUNDS = 10, 300
 
 
@@ -52,6 +54,83 @@ def count(values: np.ndarray, degree: np.ndarray, low: float = 2.0, gap: float =
     return found
 
 
+class Product:
+    """The Laplacian of unit rows ``x`` without pruning, as the diagonal ``own`` less ``x @ x.T``; it is never built.
+
+    By Sylvester's law the eigenvalues below s are as many as the negative ones of own - s and of the small matrix I - x.T @ (x / (own - s)).
+    """
+
+    def __init__(self, x: np.ndarray):
+        self.x, n = x, len(x)
+        size = (x**2).sum(1)
+        self.degree = np.empty(n)
+        step = max(1, 4_000_000 // n)
+        for i in range(0, n, step):
+            self.degree[i : i + step] = np.abs(x[i : i + step] @ x.T).sum(1)
+        self.degree -= size
+        self.own = self.degree + size
+        self.slack = np.finfo(np.float64).eps * n * 2 * self.degree.max()
+
+    def _shifted(self, s: float) -> tuple[np.ndarray, np.ndarray]:
+        f = self.own - s
+        f[f == 0] = self.slack
+        return f, np.eye(self.x.shape[1]) - self.x.T @ (self.x / f[:, None])
+
+    def below(self, s: float) -> int:
+        """Number of eigenvalues below ``s``."""
+        f, small = self._shifted(s)
+        return int((f < 0).sum() + (np.linalg.eigvalsh(small) < 0).sum())
+
+    def _value(self, k: int, a: float, b: float) -> float:
+        """Eigenvalue ``k`` (from 0), which lies from ``a`` to ``b``."""
+        while b - a > 1e-12 * b and b > self.slack:
+            s = (a + b) / 2
+            a, b = (a, s) if self.below(s) > k else (s, b)
+        return (a + b) / 2
+
+    def count(self, low: float, gap: float) -> int:
+        """As ``count`` of all eigenvalues. A step of ``gap`` or more holds a whole cell of a grid of half its ratio, so cells without an eigenvalue
+        give all candidates. Steps among values within rounding of 0 are not told apart."""
+        if self.below(-self.slack):
+            raise ValueError("the Laplacian is not positive")
+        top = np.nextafter(low * np.median(self.degree), np.inf)
+        ratio = (1 - gap) ** 0.5
+        grid = [top]
+        while grid[-1] > self.slack:
+            grid.append(grid[-1] * ratio)
+        under = [self.below(s) for s in grid]
+        best, found = -np.inf, 1
+        # From below, and so with k rising.
+        for k in sorted(set(under[1:])):
+            cells = [i for i, n in enumerate(under) if n == k]
+            if len(cells) < 2 or cells[0] == 0 or not 2 <= k < len(self.x):
+                continue
+            a, b = cells[-1], cells[0]
+            upper = self._value(k, grid[b], grid[b - 1])
+            lower = self._value(k - 1, grid[a + 1] if a + 1 < len(grid) else 0.0, grid[a])
+            step = (upper - lower) / max(upper, 1e-12)
+            if step >= gap and step > best:
+                best, found = step, k
+        return found
+
+    def lowest(self, k: int) -> np.ndarray:
+        """The eigenvectors of the ``k`` lowest eigenvalues, which a step parts from the rest, by inverse iteration of a subspace."""
+        b = self._value(k, 0.0, 2 * self.own.max())
+        f, small = self._shifted(-b / 16)
+        scaled = self.x / f[:, None]
+        inverse = np.linalg.inv(small)
+        y = np.linalg.qr(np.random.Generator(np.random.PCG64(0)).standard_normal((len(self.x), k)))[0]
+        for _ in range(500):
+            z = y / f[:, None]
+            z += scaled @ (inverse @ (self.x.T @ z))
+            z = np.linalg.qr(z)[0]
+            off = np.linalg.norm(z - y @ (y.T @ z))
+            y = z
+            if off < 1e-12 * k:
+                return y
+        raise ValueError("the eigenvectors do not settle")
+
+
 def kmeans(y: np.ndarray, k: int) -> np.ndarray:
     """The assignment of least inertia of ten seeded starts; starts that empty a cluster or do not settle are dropped. None left is an error."""
     best, found = np.inf, None
@@ -80,13 +159,19 @@ def kmeans(y: np.ndarray, k: int) -> np.ndarray:
     return found
 
 
-def clustered(x: np.ndarray, keep: float = 1.0, low: float = 2.0, gap: float = 0.5) -> np.ndarray:
+def clustered(x: np.ndarray, keep: float = 1.0, low: float = 2.0, gap: float = 0.5, dense: int = DENSE) -> np.ndarray:
     """Ordinals of unit rows, numbered by first member; up to two rows are one cluster."""
     n = len(x)
     if n <= 2:
         return np.zeros(n, np.int64)
-    values, vectors, degree = spectrum(affinity(x, keep))
-    k = count(values, degree, low, gap)
+    # Pruned rows are of no low rank, so with them the whole matrix is built whatever its size.
+    if n > dense and keep >= 1:
+        product = Product(x)
+        k = product.count(low, gap)
+        vectors = product.lowest(k) if k > 1 else None
+    else:
+        values, vectors, degree = spectrum(affinity(x, keep))
+        k = count(values, degree, low, gap)
     if k == 1:
         return np.zeros(n, np.int64)
     labels = kmeans(vectors[:, :k], k)
@@ -94,11 +179,14 @@ def clustered(x: np.ndarray, keep: float = 1.0, low: float = 2.0, gap: float = 0
     return np.argsort(np.argsort(first))[inverse]
 
 
-def by_recording(windows: DataFrame, key: str = "job_id", vector: str = "embedding", dim: int = 192, longest: int = LONGEST, keep: float = 1.0, low: float = 2.0, gap: float = 0.5) -> DataFrame:
-    """(key, start, ordinal) of the usable windows of each recording up to ``longest`` samples; of windows with one start the first by content counts."""
+def by_recording(windows: DataFrame, key: str = "job_id", vector: str = "embedding", dim: int = 192, longest: int | None = LONGEST, keep: float = 1.0, low: float = 2.0, gap: float = 0.5) -> DataFrame:
+    """(key, start, ordinal) of the usable windows of each recording up to ``longest`` samples (of all with None); of windows with one start the first by content counts."""
     rows = windows.where(F.col(key).isNotNull() & usable(F.col(vector), dim)).select(key, F.col("start_sample").alias("start"), F.col("end_sample").alias("end"), F.col(vector).alias("v"))
-    short = rows.groupBy(key).agg(F.max("end").alias("e")).where(F.col("e") <= longest).select(key)
-    rows = rows.join(short, key, "left_semi").groupBy(key, "start").agg(F.min("v").alias("v"))
+    if longest is not None:
+        short = rows.groupBy(key).agg(F.max("end").alias("e")).where(F.col("e") <= longest).select(key)
+        rows = rows.join(short, key, "left_semi")
+    # A recording ends up in one task anyway, so its vectors move once.
+    rows = rows.select(key, "start", "v").repartition(key).groupBy(key, "start").agg(F.min("v").alias("v"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("start")

@@ -11,7 +11,7 @@ from ..operators.store import settle
 
 
 def regions(speech: DataFrame, windows: DataFrame, keep: float = 1.0, low: float = 2.0, gap: float = 0.5) -> DataFrame:
-    """(job_id, label, start, end): speaker regions of each recording up to 30 minutes.
+    """(job_id, label, start, end): speaker regions of each recording, however long.
 
     ``speech`` has job_id, start, end; ``windows`` has job_id, start_sample, end_sample and embedding. Windows are clustered, each takes the cell
     nearest its centre, cells are cut with the islands of speech, touching cells of one speaker within an island join, and what
@@ -19,7 +19,7 @@ def regions(speech: DataFrame, windows: DataFrame, keep: float = 1.0, low: float
     """
     # What several steps read is written once.
     islands = settle(intervals.islands(speech))
-    ordinals = settle(spectral.by_recording(windows, keep=keep, low=low, gap=gap))
+    ordinals = settle(spectral.by_recording(windows, longest=None, keep=keep, low=low, gap=gap))
     total = islands.groupBy("job_id").agg(F.max("end").alias("total"))
     cells = intervals.cells(ordinals.join(total, "job_id"), "total")
     cells = cells.select("job_id", "ordinal", F.col("cell_start").alias("start"), F.col("cell_end").alias("end"))
