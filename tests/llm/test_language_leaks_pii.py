@@ -113,6 +113,18 @@ def test_a_short_item_is_found_whole(spark):
     assert rows(leaks.leaked(docs, items), "doc_id", "item_id") == [(1, 1)]
 
 
+KOREAN = "오래된 등대 지기 둘이 얼어 붙은 폭포 아래로 유리 부표 셋을 들고 갔다 그해 봄에 누가 먼저 왔는지 아무 도 몰랐다 은퇴한 지도 장이 썰매 위로 호박 등불 을 싣고 휘파람 불며 대리 석 다리 쪽에 섰다 했다 참".split()
+
+
+def test_half_an_item_with_changes_and_fillers_is_found(spark):
+    half = [w + " 음," if i in (4, 10, 16) else "다른" if i in (7, 14) else w for i, w in enumerate(KOREAN[: len(KOREAN) // 2 + 1])]
+    han = HAN[:30]
+    spoiled = " ".join(c + " 嗯，" if i % 10 == 4 else "另" if i in (9, 19, 28) else c for i, c in enumerate(han))
+    docs = spark.createDataFrame([(1, " ".join(half)), (2, spoiled)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(KOREAN)), (2, HAN)], "item_id long, text string")
+    assert rows(leaks.leaked(docs, items), "doc_id", "item_id") == [(1, 1), (2, 2)]
+
+
 def test_items_in_blocks_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PASSAGES)], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")

@@ -1,11 +1,12 @@
 """Held-out items that stand, whole or in part, in a corpus.
 
-First every document's letters are scanned for letter n-grams of the items (a broadcast hash set, numpy over whole
-batches); documents with hits are then read word by word and each item's passage is verified by alignment.
+First every document's letters, without marks and fillers, are scanned for letter n-grams of the items (a broadcast hash set, numpy over
+whole batches); documents with hits are then read word by word and each item's passage is verified by alignment.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import marks
 
-#: Letters in an n-gram of alphabets, and of CJK scripts.
+#: Letters in an n-gram of items whose every passage leaves so many unchanged in a row, and of the others.
 LONG, SHORT = 16, 7
 #: Tokens in an n-gram of the second scan.
 WORDS = 4
@@ -36,15 +37,16 @@ def _is_cjk(c: int) -> bool:
 
 @lru_cache(maxsize=1)
 def _fold() -> np.ndarray:
-    """Of each code point: 0 if it is no letter, else its letter in lower case and plain width; 1 stays the end of a text."""
+    """Of each code point: 0 if it is no letter or digit, else its letter in lower case and plain width; 1 stays the end of a text."""
     table = np.zeros(0x110000, np.uint32)
     for c in range(128, 0x110000):
         ch = chr(c)
-        if ch.isalpha():
+        if ch.isalnum():
             low = unicodedata.normalize("NFKC", ch).casefold()[:1]
             table[c] = ord(low) if low else c
     for c in range(65, 91):
         table[c] = table[c + 32] = c + 32
+    table[48:58] = range(48, 58)
     table[1] = 1
     return table
 
@@ -70,9 +72,24 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(31))) * _P) >> np.uint64(42)
 
 
+def _bare(text: str) -> str:
+    return marks.without_fillers(marks.blanked(text))
+
+
+def _unchanged(sizes: list[int], part: float, changed: float) -> int:
+    """Letters that stand unchanged in a row in any passage of an item at least, by the letters of its words."""
+    n = len(sizes)
+    least = n
+    for m in range(max(1, math.ceil(part * n)), n + 1):
+        c = int(changed * m + 1e-9)
+        least = min(least, -(-(m - c) // (c + 1)))
+    sums = np.cumsum([0, *sizes])
+    return int((sums[least:] - sums[: n + 1 - least]).min()) if n else 0
+
+
 def tokens(text: str) -> tuple[list[str], list[int]]:
     """Words (characters of Han and kana) in lower case and plain width without marks and fillers, and where each starts."""
-    bare = marks.without_fillers(marks.blanked(text))
+    bare = _bare(text)
     words, places = [], []
     for m in _TOKEN.finditer(bare):
         words.append(m[0] if m[0].isascii() and m[0].islower() else unicodedata.normalize("NFKC", m[0]).casefold())
@@ -105,20 +122,23 @@ class _HashSet:
 class Items:
     """The held-out items, their n-grams and the set of n-gram hashes."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], part: float = 0.5, changed: float = 0.1):
         self.words = {i: tokens(t)[0] for i, t in items}
-        #: Hits below which a text holds no passage: an eighth of the grams of the shortest item, at most eight.
+        #: Hits below which a text holds no passage, at most eight: what the longest unchanged row of letters of any passage gives.
         self.least = 8
+        #: Whether an item may leave no n-gram, so that every text is read word by word.
+        self.every = False
         long, short = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        for _, t in items:
-            a, b, at = _hashes(t)
+        for i, t in items:
+            a, b, at = _hashes(_bare(t))
             cjk = sum(map(_is_cjk, map(ord, t))) * 2 > len(at)
-            if cjk and len(at) >= SHORT:
-                short.append(b[: len(at) - SHORT + 1])
-                self.least = max(1, min(self.least, len(short[-1]) // 8))
-            elif not cjk and len(at) >= LONG:
-                long.append(a[: len(at) - LONG + 1])
-                self.least = max(1, min(self.least, len(long[-1]) // 8))
+            if len(self.words[i]) < WORDS or len(at) < (SHORT if cjk else LONG):
+                continue
+            sure = _unchanged([len(_hashes(w)[2]) for w in self.words[i]], part, changed)
+            size, grams, kept = (LONG, a, long) if sure >= LONG else (SHORT, b, short)
+            kept.append(grams[: len(at) - size + 1])
+            self.every |= sure < size
+            self.least = max(1, min(self.least, sure - size + 1))
         self.long, self.short = _HashSet(np.concatenate(long)), _HashSet(np.concatenate(short))
         self.at: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for i, words in self.words.items():
@@ -127,7 +147,9 @@ class Items:
 
     def candidates(self, texts: list[str]) -> list[int]:
         """Texts that hold n-grams of the items in some amount; whole texts are scanned."""
-        whole = "\x01".join(t.replace("\x01", " ") for t in texts)
+        if self.every:
+            return list(range(len(texts)))
+        whole = "\x01".join(_bare(t).replace("\x01", " ") for t in texts)
         long, short, at = _hashes(whole)
         hit = np.concatenate([self.long.places(long), self.short.places(short)])
         ends = np.cumsum([len(t) + 1 for t in texts])
@@ -245,7 +267,7 @@ def leaked(documents: DataFrame, items: DataFrame, part: float = 0.5, changed: f
     out = None
     for k in range(blocks):
         rows = stated.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in rows]))
+        shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in rows], part, changed))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = shared.value
