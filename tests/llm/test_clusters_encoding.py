@@ -41,6 +41,17 @@ def test_groups_equal_brute_force(spark, rows_a_cell):
     assert len(got) == len(x) and right >= (0.999 if rows_a_cell == 5000 else 0.97) * len(x)
 
 
+@pytest.mark.parametrize("depth", [1, 2])
+def test_vectors_at_the_lower_bound_share_cells_as_often_as_counted_on(depth):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(2, 20_000, 192))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.7 * a + 0.51**0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    shared = np.mean([clusters._cells(a.astype(np.float32), t, depth) == clusters._cells(b.astype(np.float32), t, depth) for t in range(1, 7)])
+    assert shared > clusters.SHARED**depth * 0.97
+
+
 def test_unusable_repeated_and_lone(spark):
     a, b = voices([2, 1]).tolist()[:2], voices([2, 1]).tolist()[2]
     bad = [[0.0] * 192, [float("nan")] + [1.0] * 191, [float("inf")] + [1.0] * 191, [None] + [1.0] * 191, [1.0] * 191, [], None]
