@@ -190,6 +190,21 @@ def test_mentions_and_placeholders(spark, field):
     assert pii.mentions(df.where("false"), field).count() == 0
 
 
+def test_the_gate_opens_for_a_piece_at_the_first_token():
+    tokens = pii.Tokens(["Ann"])
+    assert len(tokens.start) == 1
+    weights, moves = np.zeros((pii.BUCKETS, pii.LABELS), np.float32), np.where(pii._ALLOWED, np.float32(0), np.float32(-1e9))
+    moves[0, 0] = 1
+    for f in tokens.features():
+        weights[f[0], 1] += 0.5 / len(tokens.features())
+    assert pii.Field(weights, moves).decode(tokens).tolist() == [1]
+
+
+@pytest.mark.parametrize("text,good", [("seven three oh nine zero two", True), ("三七一九〇二", True), ("ゼロいちにさんよんご", True), ("QJ 12 three four five six", True), ("seven of the eight", False), ("AB 12345", False), ("123456", True)])
+def test_an_id_may_be_spelled_out(text, good):
+    assert pii._plausible("id_number", text) is good
+
+
 def test_the_gate_changes_nothing(field):
     texts = [t for t, _ in pii_labelled.expanded(2, seed=77)]
     tokens = pii.Tokens(texts)

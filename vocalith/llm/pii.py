@@ -216,7 +216,9 @@ class Field:
         self.weights, self.moves = weights, moves
         #: What a move into a label can add at most against staying outside; the move out of a piece is added where it begins.
         self.moved = moves.max(0) - moves[0, 0]
-        self.moved[1::2] += max(0.0, float(moves[1:, 0].max() - moves[0, 0]))
+        #: A sentence's first token is moved into from nowhere.
+        self.left = max(0.0, float(moves[1:, 0].max() - moves[0, 0]))
+        self.moved[1::2] += self.left
 
     def decode(self, tokens: Tokens) -> np.ndarray:
         """The likeliest label of each token; sentences are decoded together with those of like length.
@@ -232,6 +234,7 @@ class Field:
         for f in tokens.features():
             emit += self.weights[f]
         more = emit[:, 1:] - emit[:, :1] + self.moved[1:]
+        more[tokens.first, 0::2] += np.maximum(self.left - self.moved[1::2], 0)
         begun = np.maximum.reduceat(more[:, 0::2], tokens.first, axis=0)
         going = np.add.reduceat(np.maximum(more[:, 1::2], 0), tokens.first, axis=0)
         open_ = (begun + going > 0).any(1)
@@ -374,6 +377,11 @@ def pieces(texts: list[str], field: Field) -> list[tuple[int, str, int, int]]:
     return out
 
 
+_SPACED = sorted({w for k, ws in table.DIGIT_WORDS.items() if k not in ("han", "ko", "ja") for w in ws.split()})
+#: A digit as a word; those of Han, Hangul and kana may stand together.
+_SPELLED = re.compile(rf"[〇零一二三四五六七八九공일이삼사오육칠팔구]|{'|'.join(table.DIGIT_WORDS['ja'].split())}|\b(?:{'|'.join(_SPACED)})\b", re.I)
+
+
 def _plausible(kind: str, text: str) -> bool:
     """The exact check after decoding: what a piece of a kind must hold at least."""
     if kind == "email":
@@ -382,7 +390,7 @@ def _plausible(kind: str, text: str) -> bool:
     if kind == "phone":
         return digits >= 7 or digits == 0
     if kind == "id_number":
-        return digits >= 6
+        return digits + len(_SPELLED.findall(text)) >= 6
     if kind == "address":
         return digits > 0
     return digits == 0 and any(c.isalpha() for c in text)
