@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from conftest import rows
-from vocalith.llm import language, leaks, pii, pii_labelled
+from vocalith.llm import language, leaks, pii, pii_labelled, queries
 
 # A line of each language to fit a small model on, and another to tell.
 LINES = {
@@ -125,6 +125,17 @@ def test_half_an_item_with_changes_and_fillers_is_found(spark):
     assert rows(leaks.leaked(docs, items), "doc_id", "item_id") == [(1, 1), (2, 2)]
 
 
+def test_every_copy_of_an_item_is_cut(spark, tmp_path):
+    half = ITEM[: len(ITEM) * 6 // 10]
+    docs = spark.createDataFrame([(1, f"Before. {ITEM} {ITEM} After."), (2, f"{HAN} {'plain words between. ' * 60}{HAN[:40]}"), (3, f"{half} and {half} and {half}")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM), (2, HAN)], "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    clean = {r["doc_id"]: r["text"] for r in queries.p7_clean(spark, str(tmp_path)).collect()}
+    assert not any(w in t for t in clean.values() for w in ("cartographer", "waterfall", "玻璃"))
+    assert clean[1].startswith("Before. ") and clean[1].endswith(" After.") and clean[2].count("plain words between.") == 60
+    assert rows(queries.p7_found(spark, str(tmp_path))) == [(1, 1), (2, 2), (3, 1)]
+
+
 def test_items_in_blocks_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PASSAGES)], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")

@@ -223,7 +223,7 @@ def _stretches(found: list[tuple[int, int]], apart: int) -> Iterator[list[tuple[
 
 
 def find(text: str, items: Items, part: float = 0.5, changed: float = 0.1) -> list[tuple[int, int, int, float, float]]:
-    """(item, first character, end character, share of the item's words, share of changed words) of each passage in a text."""
+    """(item, first character, end character, share of the item's words, share of changed words) of each passage in a text; an item may have several."""
     words, places = tokens(text)
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for k in range(len(words) - WORDS + 1):
@@ -237,16 +237,17 @@ def find(text: str, items: Items, part: float = 0.5, changed: float = 0.1) -> li
         need = max(1, int(part * n * (1 - changed * (WORDS + 1))) - WORDS)
         if len(found) < need:
             continue
-        got = None
-        for stretch in _stretches(found, n // 2 + 8):
-            if len({j for _, j in stretch}) < need:
-                continue
-            a, b, c, d, edits = passage(item, words, stretch)
-            share, rate = (b - a) / n, edits / max(1, b - a)
-            if share >= part and rate <= changed and (got is None or share > got[3]):
-                got = (i, places[c], places[d - 1] + len(words[d - 1]), share, rate)
-        if got:
-            out.append(got)
+        rest = [found]
+        while rest:
+            for stretch in _stretches(rest.pop(), n // 2 + 8):
+                if len({j for _, j in stretch}) < need:
+                    continue
+                a, b, c, d, edits = passage(item, words, stretch)
+                share, rate = (b - a) / n, edits / max(1, b - a)
+                if share >= part and rate <= changed:
+                    out.append((i, places[c], places[d - 1] + len(words[d - 1]), share, rate))
+                # Before and after it the item may stand again.
+                rest += [side for side in ([h for h in stretch if h[0] + WORDS <= c], [h for h in stretch if h[0] >= d]) if side]
     return sorted(out)
 
 
@@ -254,7 +255,7 @@ _SCHEMA = "doc_id long, item_id long, start_char long, end_char long, share doub
 
 
 def leaked(documents: DataFrame, items: DataFrame, part: float = 0.5, changed: float = 0.1) -> DataFrame:
-    """(doc_id, item_id, start_char, end_char, share, changed): items of which at least ``part`` stands in a document as one passage.
+    """(doc_id, item_id, start_char, end_char, share, changed): passages of a document in which at least ``part`` of an item stands; a pair has a row a passage.
 
     Case, width, spacing, punctuation, marks and fillers do not count; at most ``changed`` of the passage's words differ. Null and
     empty texts are in no pair, nor are items of fewer than 16 letters (7 characters of Han or kana) or 4 words, which are single phrases; repeated items count once. Items are broadcast in blocks of at most
@@ -287,7 +288,7 @@ def leaked(documents: DataFrame, items: DataFrame, part: float = 0.5, changed: f
 def without_leaks(documents: DataFrame, found: DataFrame, whole: bool = False) -> DataFrame:
     """The documents without the leaked spans, or (``whole``) without the documents that hold any. All other columns stay.
 
-    A document's spans are few (one an item); they are cut from the last to the first, overlapping ones together.
+    A document's spans are few (one a passage); they are cut from the last to the first, overlapping ones together.
     """
     if whole:
         return documents.join(found.select("doc_id").distinct(), "doc_id", "left_anti")

@@ -69,7 +69,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaked(_read(spark, d, "documents"), _read(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leaks.leaked(_read(spark, d, "documents"), _read(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
