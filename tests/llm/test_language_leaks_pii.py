@@ -44,6 +44,14 @@ def test_documents_lines_and_labels(spark):
     assert language.documents_languages(spark.createDataFrame([], DOCS), model(spark)).count() == 0
 
 
+def test_short_lines_of_mixed_documents_come_out(spark):
+    text = "\n".join([LINES["en"][0], LINES["en"][1], "", "ok", LINES["ja"][1], "..."])
+    found = language.documents_languages(spark.createDataFrame([(1, text, "en", "c", "c")], DOCS), model(spark))
+    lines = {r["part_no"]: r for r in found.where("kind = 'line'").collect()}
+    assert sorted(lines) == [0, 1, 3, 4] and lines[3]["language"] == "en" and 0 < lines[3]["confidence"] < 0.1
+    assert rows(language.wrong_labels(found), "part_no") == [(0,), (1,), (4,)]
+
+
 def test_segments_once_each(spark):
     data = [("j", 0, LINES["ko"][0], "ja"), ("j", 0, LINES["ko"][0], "ja"), ("j", 1, LINES["yue"][1], "zh-yue"), ("j", 2, "um", "en"), ("j", 3, None, None), (None, 1, LINES["en"][0], None), ("j", 4, "[A] " + LINES["zh"][1] + "\n", None)]
     df = spark.createDataFrame(data, "job_id string, segment_index long, text string, language string")

@@ -181,7 +181,7 @@ def documents_languages(documents: DataFrame, weights) -> DataFrame:
     """Rows (kind, ref, part_no, language, confidence, label, mixed, letters) of documents and lines.
 
     kind ``document`` (part_no -1): the language most lines of at least 8 letters are in, ties to the one with more letters;
-    ``line``: each line of at least 8 letters. mixed says whether lines of several languages occur. Documents without 8 letters have a
+    ``line``: each line of at least 8 letters, and of a mixed document each with letters (short ones in its main language, with a low confidence). mixed says whether lines of several languages occur. Documents without 8 letters have a
     language NULL and no lines; so have null and empty texts. ``weights`` is the broadcast matrix of ``fit``.
     """
 
@@ -217,7 +217,10 @@ def documents_languages(documents: DataFrame, weights) -> DataFrame:
             mean = np.bincount(doc, sure * letters, minlength=len(texts)) / np.maximum(total, 1)
             known = total >= MIN_LETTERS
             yield _rows("document", ids, np.full(len(texts), -1), np.where(known, names[main], None), share * mean, labels, mixed, total)
-            at = np.flatnonzero(counted)
+            # A short line of a mixed document is taken to be in the main language, at half the chance of a blind guess at most.
+            short = ~counted & mixed[doc] & (letters > 0)
+            best, sure = np.where(short, main[doc], best), np.where(short, np.minimum(sure, 0.5 / k), sure)
+            at = np.flatnonzero(counted | short)
             yield _rows("line", [ids[i] for i in doc[at]], no[at], names[best[at]], sure[at], [labels[i] for i in doc[at]], mixed[doc[at]], letters[at])
 
     rows = documents.select(F.col("doc_id").cast("string"), "text", label_code(F.col("lang")).alias("label"))
@@ -268,7 +271,7 @@ def languages(documents: DataFrame, segments: DataFrame, sample_rows: int = 2500
 
 
 def wrong_labels(found: DataFrame) -> DataFrame:
-    """The cases (kind, ref, part_no, language): documents and segments whose label names no or another language, all lines of mixed documents."""
+    """The cases (kind, ref, part_no, language): documents and segments whose label names no or another language, all lines of at least 8 letters of mixed documents."""
     other = F.col("language").isNotNull() & ~F.col("label").eqNullSafe(F.col("language"))
-    cases = found.where(F.when(F.col("kind") == "line", F.col("mixed")).otherwise(other))
+    cases = found.where(F.when(F.col("kind") == "line", F.col("mixed") & (F.col("letters") >= MIN_LETTERS)).otherwise(other))
     return cases.groupBy("kind", "ref", "part_no").agg(F.min("language").alias("language"))
