@@ -180,6 +180,29 @@ def test_split_in_small_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_split_with_merge_joins_and_coalesced_partitions(spark):
+    """Many jobs, no broadcast, far more shuffle partitions than data: a job's boundaries must still meet in one task."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "true", "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k) for k in settings}
+    jobs = spark.range(4000).selectExpr("concat('j', id) as id", "5000 + id % 900 as total_samples")
+    records = spark.range(80_000).selectExpr("concat('j', id % 4000) as job_id", "floor(id / 4000) * 310 as start_sample", "floor(id / 4000) * 310 + 290 + id % 20 as end_sample")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = splitting.split_long_jobs(jobs, records, 1000, 80)
+        found = rows(got, "job_id", "start_sample", "end_sample")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = []
+    for j in range(4000):
+        spans = [(n * 310, n * 310 + 290 + (n * 4000 + j) % 20) for n in range(20)]
+        want += [(f"j{j}", s, e) for s, e in brute_pieces(5000 + j % 900, spans, 1000, 80)]
+    assert found == sorted(want)
+    assert "Union" not in plan.split("MapInPandas")[-1]
+
+
 def test_split_refuses_a_wide_overlap(spark):
     with pytest.raises(ValueError):
         splitting.split_long_jobs(spark.createDataFrame([], "id string, total_samples long"), spark.createDataFrame([], RECORD), 10, 10)

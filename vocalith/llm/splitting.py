@@ -59,9 +59,10 @@ def split_long_jobs(jobs: DataFrame, records: DataFrame, limit: int = 4_800_000,
     long = jobs.where("id is not null").groupBy(F.col("id").alias("job_id")).agg(F.max("total_samples").cast("long").alias("size")).where(F.col("size") > limit)
     own = records.select("job_id", "start_sample", "end_sample").join(long.select("job_id"), "job_id", "left_semi")
     ends = quiet_ends(own, chunk)
-    feed = long.join(ends, "job_id", "left").where("b is null or (b > 0 and b < size)").select("job_id", "size", "b")
-    # A job all of whose boundaries lie outside still needs a row.
-    feed = feed.unionByName(long.select("job_id", "size", F.lit(None).cast("long").alias("b"))).repartition("job_id").sortWithinPartitions("job_id", F.col("b").asc_nulls_first())
+    # The bounds stand in the join's condition, so that a job all of whose boundaries lie outside keeps a row. No union here: one of two branches that
+    # are both hashed by job would take the place of the exchange, and their partitions may then be coalesced apart.
+    inside = (long["job_id"] == ends["job_id"]) & (ends["b"] > 0) & (ends["b"] < long["size"])
+    feed = long.join(ends, inside, "left").select(long["job_id"], "size", "b").repartition("job_id").sortWithinPartitions("job_id", "b")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, size, at, no, kept = None, 0, 0, 0, np.empty(0, np.int64)
