@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
@@ -46,6 +49,57 @@ def mean_unit(df: DataFrame, keys: list[str], vector: str, dim: int, name: str =
     return sums.select(*keys, F.when(norm(F.col("s")) > 0, unit(mean)).alias(name), "n")
 
 
+def group_means(df: DataFrame, key: str, vector: str, dim: int, name: str = "centroid") -> DataFrame:
+    """(key, n, centroid): as ``mean_unit`` of the rows at length one, for a BIGINT or STRING key and many groups.
+
+    Arrow batches are summed by key within their task and what is left moves once, sorted by key; NULL keys are a group of their own.
+    ``vector`` must be usable.
+    """
+    kind = dict(df.dtypes)[key]
+
+    def sums(ordered: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: tuple | None = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys, n = batch.column(0), np.asarray(batch.column(1))
+                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+                if not ordered:
+                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                codes = keys.dictionary_encode(null_encoding="encode")
+                index = np.asarray(codes.indices)
+                order = np.argsort(index, kind="stable")
+                start = np.flatnonzero(np.r_[True, np.diff(index[order]) > 0])
+                made = codes.dictionary.take(pa.array(index[order][start])).to_pylist(), np.add.reduceat(n[order], start), np.add.reduceat(x[order], start, axis=0)
+                # Sorted rows: the last key of a batch may go on in the next one.
+                if ordered:
+                    made = [list(y) for y in made]
+                    if held is not None:
+                        if held[0] == made[0][0]:
+                            made[1][0], made[2][0] = made[1][0] + held[1], made[2][0] + held[2]
+                        else:
+                            made = [[h, *y] for h, y in zip(held, made)]
+                    held = tuple(y.pop() for y in made)
+                yield pack(*made)
+            if held is not None:
+                yield pack(*([h] for h in held))
+
+        return run
+
+    def pack(keys: list, n: list, x: list) -> pa.RecordBatch:
+        flat = pa.array(np.asarray(x, np.float64).reshape(-1))
+        arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * dim, pa.int32()), flat)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string() if kind == "string" else pa.int64()), pa.array(list(n), pa.int64()), arrays], [key, "n", "s"])
+
+    schema = f"`{key}` {kind}, n long, s array<double>"
+    rows = df.select(key, F.lit(1).cast("long").alias("n"), F.col(vector).cast("array<double>").alias("s"))
+    part = rows.mapInArrow(sums(False), schema)
+    whole = part.repartition(key).sortWithinPartitions(key).mapInArrow(sums(True), schema)
+    mean = F.transform("s", lambda x: x / F.col("n"))
+    return whole.select(key, "n", F.when(norm(F.col("s")) > 0, unit(mean)).alias(name))
+
+
 def positive_zero(x: Column) -> Column:
     """A number with negative zero as zero; NULL for what is not finite."""
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), None).when(x == 0, F.lit(0.0)).otherwise(x.cast("double"))
