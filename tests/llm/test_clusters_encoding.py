@@ -26,7 +26,7 @@ def voices(sizes, seed=0, dim=192, noise=0.036):
 SIZES = [1] * 20 + [2] * 40 + [7] * 10 + [300]
 
 
-@pytest.mark.parametrize("rows_a_cell", [5000, 1])
+@pytest.mark.parametrize("rows_a_cell", [16_000, 1, 0.001])
 def test_groups_equal_brute_force(spark, rows_a_cell):
     x = voices(SIZES)
     x *= np.random.default_rng(1).uniform(0.2, 6, size=(len(x), 1))
@@ -38,18 +38,45 @@ def test_groups_equal_brute_force(spark, rows_a_cell):
     assert not ((like > 0.65) & (like < 0.7)).any()  # what the operator asks of its input
     want = brute_groups(unit, 0.675)
     right = sum(got[i] == want[i] for i in range(len(x)))
-    assert len(got) == len(x) and right >= (0.999 if rows_a_cell == 5000 else 0.97) * len(x)
+    assert len(got) == len(x) and right >= 0.999 * len(x)
 
 
-@pytest.mark.parametrize("depth", [1, 2])
+@pytest.mark.parametrize("shares", [100_000, 3])
+def test_pairs_at_the_lower_bound_meet_at_every_depth(spark, monkeypatch, shares):
+    """Pairs of cosine 0.705 and none else: each is found by the grids alone, whatever the depth."""
+    monkeypatch.setattr(clusters, "SHARE_ROWS", shares)
+    rng = np.random.default_rng(11)
+    a, b = rng.normal(size=(2, 400, 192))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.705 * a + (1 - 0.705**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    df = spark.createDataFrame([(int(2 * i + k), v.tolist()) for i in range(400) for k, v in enumerate((a[i], b[i]))], "id long, v array<double>").repartition(8)
+    want = [(i - i % 2, i) for i in range(800)]
+    for rows_a_cell in (16_000, 3, 0.001) if shares > 3 else (16_000,):
+        got = rows(clusters.similarity_groups(df, "id", "v", cell_rows=rows_a_cell), "group_id", "vector_id")
+        assert sum(x == y for x, y in zip(sorted(got, key=lambda g: g[1]), want)) >= 798
+
+
+def test_a_cell_of_many_heads_equals_all_pairs():
+    x = voices([1] * 150 + [3] * 30, noise=0.03).astype(np.float32)
+    ids = np.arange(len(x)) * 3
+    cell, got = clusters._Cell(0.675), []
+    for s in range(0, len(x), 17):
+        got += cell.assign(5, ids[s : s + 17], x[s : s + 17]).tolist()
+    assert got == [3 * i for i in brute_groups(x.astype(float), 0.675)]
+    assert len(cell.heads) < 10
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
 def test_vectors_at_the_lower_bound_share_cells_as_often_as_counted_on(depth):
     rng = np.random.default_rng(7)
     a, b = rng.normal(size=(2, 20_000, 192))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b -= (a * b).sum(1, keepdims=True) * a
     b = 0.7 * a + 0.51**0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
-    shared = np.mean([clusters._cells(a.astype(np.float32), t, depth) == clusters._cells(b.astype(np.float32), t, depth) for t in range(1, 7)])
-    assert shared > clusters.SHARED**depth * 0.97
+    axes, chance = clusters.GRIDS[depth]
+    x, y = a.astype(np.float32)[:5000], b.astype(np.float32)[:5000]
+    shared = np.mean([(clusters._cells(x, t, depth, axes)[:, :, None] == clusters._cells(y, t, depth, axes)[:, None]).any((1, 2)) for t in range(1, 7)])
+    assert shared > chance * 0.97
 
 
 def test_unusable_repeated_and_lone(spark):
@@ -60,8 +87,24 @@ def test_unusable_repeated_and_lone(spark):
     assert rows(clusters.similarity_groups(df, "id", "v"), "group_id", "vector_id") == [(3, 3), (3, 5), (9, 9)]
     assert rows(clusters.similarity_groups(df, "id", "v", alone=False), "group_id", "vector_id") == [(3, 3), (3, 5)]
     assert clusters.similarity_groups(df.where("false"), "id", "v").count() == 0
-    made = clusters.described(clusters.similarity_groups(df, "id", "v")).orderBy("group_id").collect()
-    assert [(r["group_id"], r["size"]) for r in made] == [(3, 2), (9, 1)] and set(made[0]["typical"]) <= {3, 5}
+    groups = clusters.similarity_groups(df, "id", "v")
+    made = clusters.described(groups, df, "id", "v").orderBy("group_id").collect()
+    assert [(r["group_id"], r["size"]) for r in made] == [(3, 2), (9, 1)] and set(made[0]["typical"]) == {3, 5} and made[1]["typical"] == [9]
+    dense = clusters.densest(groups).orderBy("group_id").collect()
+    assert [(r["group_id"], r["size"]) for r in dense] == [(3, 2), (9, 1)] and all(r["dense"] <= r["size"] and len(r["members"]) == min(5, r["dense"]) for r in dense)
+    assert clusters.described(groups.where("false"), df, "id", "v").count() == 0
+
+
+def test_typical_members_are_nearest_to_the_centre(spark):
+    x = voices([40, 3, 1], seed=9)
+    group = [0] * 40 + [40] * 3 + [43]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(5)
+    groups = spark.createDataFrame([(g, i) for i, g in enumerate(group)], "group_id long, vector_id long")
+    got = {r["group_id"]: (r["size"], r["typical"]) for r in clusters.described(groups, df, "id", "v").collect()}
+    for g, n in ((0, 40), (40, 3), (43, 1)):
+        own = [i for i in range(44) if group[i] == g]
+        like = x[own] @ x[own].mean(0)
+        assert got[g] == (n, [own[i] for i in np.argsort(-like)[:5]])
 
 
 def test_least_labels(spark):

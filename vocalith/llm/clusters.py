@@ -1,9 +1,11 @@
-"""Vectors into groups of mutually similar ones, over a grid of quantised features.
-
-A cell of the grid is the axis of a random rotation nearest to the vector (its index and sign). Vectors of one cell are
-compared with the cell's heads (the first vector of each group in it) alone; cells of other rotations that share a vector
-join their groups; least labels are then propagated to convergence. Vectors travel as 8-bit integers, whose error
-of the cosine (below 0.005) is far less than the margin between the two bounds.
+"""Vectors into groups of mutually similar ones, by density over grids of quantised features.
+
+Features are the coordinates of a vector in a random rotation; a cell of the grid is the signed axis of the largest one, and a vector near
+the border of its cell counts in the adjacent one too (the axes of the next largest). Cells are counted; those that hold at least two like vectors
+are dense. Dense cells that share a vector are adjacent and join; least labels are propagated over them to convergence. 192 raw coordinates would give cells of
+one vector each, so the grid is laid over many rotations. An exact check follows in each cell: vectors are compared with the cell's heads (the first
+vector of each group in it) by cosine. Vectors travel as 8-bit integers, whose error of the cosine (below 0.005) is far less than
+the margin between the two bounds.
 """
 
 from __future__ import annotations
@@ -15,15 +17,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.vectors import cosine, group_means, usable
 from ..operators.store import settle
 from .components import least_labels
 
 SEED = 20_240_501
-#: Chance that two vectors of one group, at the lower bound (cosine 0.7), share the cell of one rotation (measured as 0.161, rounded down).
-SHARED = 0.16
+#: Of a grid of so many rotations a cell: the axes taken in each, and the chance that two vectors of one group at the lower bound (cosine 0.7) share a cell (measured as 0.385, 0.335 and 0.194, rounded down).
+GRIDS = {1: (2, 0.38), 2: (3, 0.33), 3: (3, 0.19)}
+#: Grids of the first round, which leaves one vector of what it joins for the second.
+FIRST = 5
 #: Rows compared at once; bounds the memory of a task.
 BLOCK = 4096
-#: Rows of one cell of the first table that one task takes, on average.
+#: Rows of one cell of the thinning grid that one task takes, on average.
 SHARE_ROWS = 100_000
 
 
@@ -31,14 +36,16 @@ def _rotation(dim: int, table: int) -> np.ndarray:
     return np.random.default_rng(SEED + table).standard_normal((dim, dim), dtype=np.float32)
 
 
-def _cells(x: np.ndarray, table: int, depth: int) -> np.ndarray:
-    """The cell of each row in one table: ``depth`` rotations, each giving the nearest signed axis."""
-    cell = np.full(len(x), table, np.int64)
+def _cells(x: np.ndarray, table: int, depth: int, axes: int = 1) -> np.ndarray:
+    """The cells of each row in one grid (rows x axes**depth): of each of ``depth`` rotations the signed axes of the largest coordinates."""
+    cells = np.full((len(x), 1), table, np.int64)
     for i in range(depth):
         y = x @ _rotation(x.shape[1], table * 8 + i)
-        axis = np.abs(y).argmax(1)
-        cell = cell * (2 * x.shape[1]) + 2 * axis + (y[np.arange(len(y)), axis] > 0)
-    return cell
+        size = np.abs(y)
+        top = np.argpartition(size, -axes, axis=1)[:, -axes:] if axes > 1 else size.argmax(1)[:, None]
+        signed = 2 * top + (np.take_along_axis(y, top, 1) > 0)
+        cells = (cells[:, :, None] * (2 * x.shape[1]) + signed[:, None]).reshape(len(x), -1)
+    return cells
 
 
 def _pack(x: np.ndarray) -> np.ndarray:
@@ -74,50 +81,59 @@ def _usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Cell:
-    """Heads of one cell while its rows stream by."""
+    """Heads of one cell while its rows stream by, in blocks."""
 
     def __init__(self, close: float):
-        self.close, self.cell, self.ids, self.rows = close, None, [], []
+        self.close, self.cell, self.heads = close, None, []
 
     def assign(self, cell: int, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
         if cell != self.cell:
-            self.cell, self.ids, self.rows = cell, np.empty(0, np.int64), np.empty((0, x.shape[1]), np.float32)
+            self.cell, self.heads = cell, []
         out = np.empty(len(ids), np.int64)
         for s in range(0, len(ids), BLOCK):
             part, own = x[s : s + BLOCK], ids[s : s + BLOCK]
-            got = np.full(len(part), -1, np.int64)
-            for h in range(0, len(self.ids), BLOCK):
-                like = part @ self.rows[h : h + BLOCK].T
+            got, open_ = np.empty(len(part), np.int64), np.arange(len(part))
+            for known, rows in self.heads:
+                like = part[open_] @ rows.T
                 best = like.argmax(1)
-                hit = (got < 0) & (like[np.arange(len(part)), best] >= self.close)
-                got[hit] = self.ids[h + best[hit]]
-            rest = np.flatnonzero(got < 0)
-            if len(rest):
-                first = _heads(part[rest], self.close)
-                got[rest] = own[rest[first]]
-                new = rest[first == np.arange(len(rest))]
-                self.ids = np.concatenate([self.ids, own[new]])
-                self.rows = np.concatenate([self.rows, part[new]])
+                hit = like[np.arange(len(open_)), best] >= self.close
+                got[open_[hit]] = known[best[hit]]
+                open_ = open_[~hit]
+                if not len(open_):
+                    break
+            if len(open_):
+                first = _heads(part[open_], self.close)
+                got[open_] = own[open_[first]]
+                new = open_[first == np.arange(len(open_))]
+                self._keep(own[new], part[new])
             out[s : s + BLOCK] = got
         return out
 
+    def _keep(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        # Small blocks are joined, so that rows are copied a logarithmic number of times.
+        while self.heads and len(self.heads[-1][0]) <= len(ids) and len(ids) < BLOCK:
+            known, kept = self.heads.pop()
+            ids, rows = np.concatenate([known, ids]), np.concatenate([kept, rows])
+        self.heads.append((ids, rows))
+
 
 def _bounds(cell: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]]) if len(cell) else np.array([0])
 
 
 def similarity_groups(
-    vectors: DataFrame, id_col: str, vector_col: str, dim: int = 192, close: float = 0.675, missed: float = 1e-4, cell_rows: int = 5000, alone: bool = True
+    vectors: DataFrame, id_col: str, vector_col: str, dim: int = 192, close: float = 0.675, missed: float = 1e-4, cell_rows: int = 16_000, alone: bool = True
 ) -> DataFrame:
-    """(group_id, vector_id, cell) of each usable vector; group_id is the least vector_id of the group.
+    """(group_id, vector_id, cell) of each usable vector; group_id is the least vector_id of the group, cell its cell in the thinning grid.
 
     Without ``alone``, vectors that are like no other are left out.
 
     Vectors whose cosine is at least ``close`` belong together; there must be a margin about ``close`` in which no cosine
     lies (here 0.65 to 0.7). Usable is a vector of ``dim`` finite numbers that are not all zero; rows with a null id or
     an unusable vector are left out, and rows of equal id are one vector (of differing copies, each is placed and the
-    least group is kept). ``missed`` bounds the chance that two given like vectors share no cell; it sets the number of
-    tables. The depth of the grid is the least at which a cell holds ``cell_rows`` heads on average.
+    least group is kept). ``missed`` bounds the chance that two given like vectors share no cell of the last round; it sets the number of
+    grids at every depth alike. The depth of a cell is the least at which a cell holds ``cell_rows`` rows on average, so that the
+    vectors compared with each one stay bounded however many there are.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +143,7 @@ def similarity_groups(
             batch = batch.filter(known)
             at, x = _usable(batch.column(1), dim)
             ids = np.asarray(batch.column(0))[at]
-            cell = _cells(x, 0, 1) if len(x) else np.empty(0, np.int64)
+            cell = _cells(x, 0, 1)[:, 0] if len(x) else np.empty(0, np.int64)
             order = np.lexsort((ids, cell))
             cell, ids, x = cell[order], ids[order], x[order]
             state, heads = _Cell(close), ids.copy()
@@ -143,46 +159,30 @@ def similarity_groups(
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = _Cell(close)
         for batch in batches:
-            cell, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            cell, ids = (np.asarray(batch.column(0)) << 32) + np.asarray(batch.column(4)), np.asarray(batch.column(1))
             heads, x, edges = ids.copy(), _unpack(batch.column(2), dim), _bounds(cell)
             for s, e in zip(edges, edges[1:]):
                 heads[s:e] = state.assign(cell[s], ids[s:e], x[s:e])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads), batch.column(2), batch.column(3)], ["cell", "id", "head", "v", "members"])
 
-    def spread(tables: int, depth: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = _unpack(batch.column(1), dim)
-                if len(x):
-                    for t in range(1, tables + 1):
-                        yield pa.RecordBatch.from_arrays([pa.array(_cells(x, t, depth)), batch.column(0), batch.column(1)], ["cell", "id", "v"])
-
-        return run
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = _Cell(close)
-        for batch in batches:
-            cell, ids, x = np.asarray(batch.column(0)), np.asarray(batch.column(1)), _unpack(batch.column(2), dim)
-            heads, edges = ids.copy(), _bounds(cell)
-            for s, e in zip(edges, edges[1:]):
-                heads[s:e] = state.assign(cell[s], ids[s:e], x[s:e])
-            on = heads != ids
-            yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(heads[on])], ["a", "b"])
-
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    thinned = rows.mapInArrow(local, "cell long, id long, v binary, members array<long>")
-    # The first table only thins further, so its cells may be cut into shares; what is apart there meets in the other tables.
-    shares = max(1, -(-vectors.count() // (2 * dim * SHARE_ROWS)))
-    placed = settle(thinned.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(shares))).sortWithinPartitions("cell", "id").mapInArrow(gathered, "cell long, id long, head long, v binary, members array<long>"))
+    thinned = settle(rows.mapInArrow(local, "cell long, id long, v binary, members array<long>"))
+    # The thinning grid only thins further, so a cell that holds many rows may be cut into shares; what is apart there meets in the grids to come.
+    counted = thinned.groupBy("cell").count().where(F.col("count") > SHARE_ROWS)
+    shares = F.coalesce(F.ceil(F.col("count") / SHARE_ROWS), F.lit(1))
+    spread = thinned.join(F.broadcast(counted), "cell", "left").withColumn("share", F.pmod(F.xxhash64("id"), shares)).drop("count")
+    placed = settle(spread.repartition("cell", "share").sortWithinPartitions("cell", "share", "id").select("cell", "id", "v", "members", "share").mapInArrow(gathered, "cell long, id long, head long, v binary, members array<long>"))
     heads = placed.where("id = head").select("id", "v")
-    n = heads.count()
-    depth = 1
-    while n / (2 * dim) ** depth > cell_rows:
+    first = _joined(heads, 1, FIRST, dim, close, 1)
+    # One vector of each group so far goes on: it is like all of its group, so no link is lost.
+    left = settle(heads.join(first.where("id <> label").select("id"), "id", "left_anti"))
+    n, depth = left.count(), 1
+    while depth < max(GRIDS) and n * GRIDS[depth][0] ** depth / (2 * dim) ** depth > cell_rows:
         depth += 1
-    tables = math.ceil(math.log(missed) / math.log(1 - SHARED**depth))
-    cells = heads.mapInArrow(spread(tables, depth), "cell long, id long, v binary")
-    links = cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(linked, "a long, b long").distinct()
-    labels = least_labels(links)
+    grids = math.ceil(math.log(missed) / math.log(1 - GRIDS[depth][1]))
+    second = _joined(left, depth, grids, dim, close, 1 + FIRST)
+    labels = first.select("id", F.col("label").alias("one")).join(second.select(F.col("id").alias("one"), F.col("label").alias("two")), "one", "full")
+    labels = labels.select(F.coalesce("id", "one").alias("id"), F.coalesce("two", "one").alias("label"))
     whole = placed.select("cell", "head", "members").join(labels, F.col("head") == F.col("id"), "left")
     whole = whole.select(F.coalesce("label", "head").alias("group_id"), "cell", "members")
     if not alone:
@@ -193,11 +193,62 @@ def similarity_groups(
     return out.groupBy("vector_id").agg(F.min(F.struct("group_id", "cell")).alias("g")).select("g.group_id", "vector_id", "g.cell")
 
 
-def described(groups: DataFrame, typical: int = 5) -> DataFrame:
-    """(group_id, size, dense, typical): each group's size, the number of vectors in its densest cell and the first of them."""
+def _joined(heads: DataFrame, depth: int, grids: int, dim: int, close: float, base: int) -> DataFrame:
+    """(id, label) of the vectors (id, v) that lie in a dense cell of one of the grids: the least id of the dense cells that are adjacent through shared vectors.
+
+    A cell's rows stream through one task; the part of a cell that is like one head is a cell of its own. A vector's
+    dense cells are few: as many as the grids' cells at most.
+    """
+    axes = GRIDS[depth][0]
+
+    def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _unpack(batch.column(1), dim)
+            for t in range(base, base + grids) if len(x) else ():
+                cells = _cells(x, t, depth, axes)
+                for k in range(cells.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[:, k]), batch.column(0), batch.column(1)], ["cell", "id", "v"])
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = _Cell(close)
+        for batch in batches:
+            cell, ids, x = np.asarray(batch.column(0)), np.asarray(batch.column(1)), _unpack(batch.column(2), dim)
+            heads, edges = ids.copy(), _bounds(cell)
+            for s, e in zip(edges, edges[1:]):
+                heads[s:e] = state.assign(cell[s], ids[s:e], x[s:e])
+            # A head alone is no dense cell, and its row says nothing of a dense one.
+            on = heads != ids
+            yield pa.RecordBatch.from_arrays([pa.array(cell[on]), pa.array(ids[on]), pa.array(heads[on])], ["cell", "id", "head"])
+
+    cells = heads.mapInArrow(quantised, "cell long, id long, v binary")
+    rows = cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(checked, "cell long, id long, head long")
+    # Dense cells are named by their heads; (id, head) says that the vector lies in them. Cells that share a vector are adjacent.
+    inside = rows.groupBy("id").agg(F.collect_set("head").alias("heads")).select("id", "heads", F.array_min("heads").alias("least"))
+    adjacent = inside.select(F.explode(F.array_append("heads", F.col("id"))).alias("a"), F.col("least").alias("b")).where("a <> b")
+    return least_labels(adjacent)
+
+
+def described(groups: DataFrame, vectors: DataFrame, id_col: str, vector_col: str, dim: int = 192, typical: int = 5) -> DataFrame:
+    """(group_id, size, typical): each group's number of vectors and those nearest to its centre (the mean of its vectors at length one), nearest first, then by id.
+
+    Sums are combined within tasks before they move, and so are the nearest; a group that holds a large share of the rows is in no single task whole.
+    """
+    once = vectors.where(usable(F.col(vector_col), dim)).select(F.col(id_col).cast("long").alias("vector_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    once = once.groupBy("vector_id").agg(F.first("v").alias("v"))
+    rows = settle(groups.select("vector_id", "group_id").join(once, "vector_id"))
+    centres = group_means(rows, "group_id", "v", dim).select("group_id", F.col("n").alias("size"), "centroid")
+    near = Window.partitionBy("group_id").orderBy(F.desc("like"), "vector_id")
+    liked = rows.join(centres.select("group_id", "centroid"), "group_id").select("group_id", "vector_id", cosine(F.col("v"), F.col("centroid")).alias("like"))
+    some = liked.withColumn("r", F.row_number().over(near)).where(F.col("r") <= typical).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("r", "vector_id"))).alias("l"))
+    return centres.select("group_id", "size").join(some, "group_id", "left").select("group_id", "size", F.transform("l", lambda x: x["vector_id"]).alias("typical"))
+
+
+def densest(groups: DataFrame, members: int = 5) -> DataFrame:
+    """(group_id, size, cells, dense, members): each group's size, in how many cells of the thinning grid it lies, the vectors in the densest of them (the least cell of equal ones) and the first of these."""
     cells = groups.groupBy("group_id", "cell").agg(F.count("*").alias("n"))
-    best = cells.groupBy("group_id").agg(F.sum("n").alias("size"), F.max(F.struct("n", F.col("cell"))).alias("b"))
+    best = cells.groupBy("group_id").agg(F.sum("n").alias("size"), F.count("*").alias("cells"), F.max(F.struct("n", (-F.col("cell")).alias("c"))).alias("b"))
+    best = best.select("group_id", "size", "cells", F.col("b.n").alias("dense"), (-F.col("b.c")).alias("cell"))
     first = Window.partitionBy("group_id", "cell").orderBy("vector_id")
-    some = groups.withColumn("r", F.row_number().over(first)).where(F.col("r") <= typical)
-    some = some.groupBy("group_id", "cell").agg(F.array_sort(F.collect_list("vector_id")).alias("typical"))
-    return best.select("group_id", "size", F.col("b.n").alias("dense"), F.col("b.cell").alias("cell")).join(some, ["group_id", "cell"]).drop("cell")
+    some = groups.withColumn("r", F.row_number().over(first)).where(F.col("r") <= members)
+    some = some.groupBy("group_id", "cell").agg(F.array_sort(F.collect_list("vector_id")).alias("members"))
+    return best.join(some, ["group_id", "cell"]).drop("cell")

@@ -60,8 +60,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Each group with its size and most typical members."""
-    return clusters.described(clusters.similarity_groups(_vectors(spark, d), "vector_id", "v"))
+    """Each group with its size and most typical members, those nearest to its centre."""
+    vectors = _vectors(spark, d)
+    return clusters.described(clusters.similarity_groups(vectors, "vector_id", "v"), vectors, "vector_id", "v")
+
+
+def p5_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Each group with the number of its cells, the size of the densest and some members of that."""
+    return clusters.densest(clusters.similarity_groups(_vectors(spark, d), "vector_id", "v"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +93,7 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(_read(spark, d, "documents"))
 
 
-_QUERIES = (p1_found, p1_runs, p2_found, p2_turns, p3_found, p4_found, p4_languages, p5_found, p5_groups, p6_ids, p7_found, p7_clean, p8_found, p8_clean)
+_QUERIES = (p1_found, p1_runs, p2_found, p2_turns, p3_found, p4_found, p4_languages, p5_found, p5_groups, p5_cells, p6_ids, p7_found, p7_clean, p8_found, p8_clean)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -113,6 +119,14 @@ runs AS (
 """
 
 
+_PAIRS = """
+WITH a AS (SELECT vector_id, embedding::DOUBLE[] AS v FROM speaker_embedding_windows UNION ALL SELECT vector_id, centroid FROM anonymous_speaker_clusters),
+u AS (SELECT vector_id AS id, any_value(v) AS v FROM a WHERE vector_id IS NOT NULL AND len(v) = 192 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND list_sum(list_transform(v, lambda x: abs(x))) > 0 GROUP BY vector_id),
+n AS (SELECT id, w, w::FLOAT[192] AS v FROM (SELECT id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS w FROM u)),
+g AS (SELECT min(b.id) AS group_id, a.id AS vector_id FROM n a JOIN n b ON array_inner_product(a.v, b.v) >= 0.675 GROUP BY a.id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     from .marks import _PLAIN, _WIDE
 
@@ -121,12 +135,14 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": base + "SELECT job_id, start_sample, end_sample FROM runs WHERE n_regions >= 2",
         "p1_runs": base + "SELECT job_id, speaker, start_sample, end_sample, n_regions, end_sample - start_sample AS duration FROM runs",
         # Brute force over all pairs; groups being cliques, the least like vector names the group.
-        "p5_found": """
-WITH a AS (SELECT vector_id, embedding::DOUBLE[] AS v FROM speaker_embedding_windows UNION ALL SELECT vector_id, centroid FROM anonymous_speaker_clusters),
-u AS (SELECT vector_id AS id, any_value(v) AS v FROM a WHERE vector_id IS NOT NULL AND len(v) = 192 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  AND list_sum(list_transform(v, lambda x: abs(x))) > 0 GROUP BY vector_id),
-n AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))::FLOAT[192] AS v FROM u)
-SELECT min(b.id) AS group_id, a.id AS vector_id FROM n a JOIN n b ON array_inner_product(a.v, b.v) >= 0.675 GROUP BY a.id HAVING count(*) > 1""",
+        "p5_found": _PAIRS + """
+SELECT group_id, vector_id FROM g WHERE group_id <> vector_id OR vector_id IN (SELECT group_id FROM g WHERE group_id <> vector_id)""",
+        "p5_groups": _PAIRS + """,
+x AS (SELECT group_id, vector_id, w FROM g JOIN n ON id = vector_id),
+m AS (SELECT group_id, i, avg(w[i]) AS a FROM x, generate_series(1, 192) AS t(i) GROUP BY ALL),
+c AS (SELECT group_id, list(a ORDER BY i) AS c FROM m GROUP BY group_id),
+r AS (SELECT group_id, vector_id, row_number() OVER (PARTITION BY group_id ORDER BY list_dot_product(w, c) / sqrt(list_dot_product(c, c)) DESC, vector_id) AS r FROM x JOIN c USING (group_id))
+SELECT group_id, count(*) AS size, list(vector_id ORDER BY r) FILTER (r <= 5) AS typical FROM r GROUP BY group_id""",
         "p3_found": """
 WITH RECURSIVE sizes AS (SELECT id AS job_id, max(total_samples) AS size FROM transcription_jobs WHERE id IS NOT NULL GROUP BY id HAVING max(total_samples) > 4800000),
 spans AS (SELECT DISTINCT job_id, start_sample AS s, end_sample AS e FROM segment_records SEMI JOIN sizes USING (job_id)),
