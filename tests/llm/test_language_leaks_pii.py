@@ -234,3 +234,38 @@ def test_the_gate_changes_nothing(field):
     for where, got in field._viterbi(emit, tokens.first, np.diff(np.r_[tokens.first, len(emit)])):
         whole[where] = got
     assert np.array_equal(whole, field.decode(tokens))
+
+
+FILLED = {"en": " um,", "de": " ähm,", "fr": " euh,", "es": " eh,", "ko": " 음,", "zh": "，嗯，", "yue": "，呃，", "ja": "、えーと、"}
+
+
+@pytest.mark.parametrize("step", [3, 4, 5])
+def test_items_with_fillers_after_every_few_words_are_found(spark, data, step):
+    """The first half, and the whole, of every real item with a filler after every few words: the scan loses none that the exact reading finds."""
+    kept = [(r["item_id"], r["language"], r["text"]) for r in spark.read.parquet(f"{data}/eval_items.parquet").collect() if r["text"]]
+    items = leaks.Items([(i, t) for i, _, t in kept])
+    for i, language, text in kept:
+        words, places = leaks.tokens(text)
+        places.append(len(text))
+        for n in (len(words), len(words) // 2 + 1):
+            parts = [text[places[k] : places[k + 1]].rstrip() + (FILLED[language] if k % step == step - 1 else "") + ("" if language in ("zh", "yue", "ja") else " ") for k in range(n)]
+            spoiled = "".join(parts)
+            found = {row[0] for row in leaks.find(spoiled, items)}
+            assert i in found or len(words) < 8, (i, spoiled)
+            assert not found or items.candidates([spoiled]) == [0]
+
+
+def test_windows_hash_as_the_tokens_read(spark, data):
+    """Every text's windows of tokens by the numpy scan are those of the plain reading."""
+    texts = [r[0] for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect() if r[0]]
+    texts += ["", " ", "A1 B2", "着40件 and 12 words 3 4 555", "12件34", "ａｂｃ ＡＢＣ１２ x", "a_b c_d e_f g_h", "漢字々〇 12 語", "İx y z w"]
+    odd = leaks._chars()[3]
+    for t in texts:
+        bare = leaks._bare(t).replace("\x01", " ").replace("ß", "ss")
+        if odd[np.frombuffer(bare.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+            continue
+        words = leaks.tokens(t)[0]
+        got = leaks._windows(bare)[0].tolist()
+        want = [tuple(words[k : k + leaks.WORDS]) for k in range(len(words) - leaks.WORDS + 1)]
+        assert len(got) == len(want)
+        assert len(set(zip(want, got))) == len(set(want)) == len(set(got))

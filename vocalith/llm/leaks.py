@@ -1,12 +1,12 @@
 """Held-out items that stand, whole or in part, in a corpus.
 
-First every document's letters, without marks and fillers, are scanned for letter n-grams of the items (a broadcast hash set, numpy over
-whole batches); documents with hits are then read word by word and each item's passage is verified by alignment.
+Every document's tokens (words, or characters of Han and kana), without marks and fillers, are scanned for windows of four tokens that stand in an
+item too (a broadcast hash set, numpy over whole batches); documents with hits are then read word by word and each item's passage is verified
+by alignment. A passage of at least eight words with one in ten changed, and any unchanged one of four, leaves a window of four, so none is lost to the scan.
 """
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,9 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import marks
 
-#: Letters in an n-gram of items whose every passage leaves so many unchanged in a row, and of the others.
-LONG, SHORT = 16, 7
-#: Tokens in an n-gram of the second scan.
+#: Tokens in a window.
 WORDS = 4
 #: Items a block of the broadcast set holds at most, and their characters.
 BLOCK_ITEMS, BLOCK_CHARS = 2_000, 1_000_000
@@ -32,40 +30,74 @@ _TOKEN = re.compile(rf"{_SINGLE}|(?:(?!{_SINGLE})[^\W_])+")
 
 
 def _is_cjk(c: int) -> bool:
-    return 0x3040 <= c < 0x3100 or 0x3400 <= c < 0xA000 or 0xF900 <= c < 0xFB00 or 0x20000 <= c < 0x323B0
+    return 0x3040 <= c < 0x3100 or 0x3400 <= c < 0xA000 or 0xF900 <= c < 0xFB00 or 0x20000 <= c < 0x323B0 or c == 0x3005
+
+
+# Classes of characters: outside tokens, in a word, a token of its own, the end of a text.
+_OUT, _IN, _ALONE, _END = range(4)
 
 
 @lru_cache(maxsize=1)
-def _fold() -> np.ndarray:
-    """Of each code point: 0 if it is no letter or digit, else its letter in lower case and plain width; 1 stays the end of a text."""
-    table = np.zeros(0x110000, np.uint32)
-    for c in range(128, 0x110000):
+def _chars() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point its class, its letter in lower case and plain width, whether it is a digit, and whether that letter depends on more than itself."""
+    kind, fold = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint64)
+    digit, odd = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    for c in range(0x110000):
         ch = chr(c)
-        if ch.isalnum():
-            low = unicodedata.normalize("NFKC", ch).casefold()[:1]
-            table[c] = ord(low) if low else c
-    for c in range(65, 91):
-        table[c] = table[c + 32] = c + 32
-    table[48:58] = range(48, 58)
-    table[1] = 1
-    return table
-
-
-def _hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(LONG-gram hash at each letter, SHORT-gram hash, place of the letter in ``text``)."""
-    codes = _fold()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    at = np.flatnonzero(codes)
-    c = codes[at].astype(np.uint64)
-    c = np.concatenate([c, np.ones(LONG, np.uint64)]) * _P
-    c ^= c >> np.uint64(29)
-    p = [np.uint64(pow(int(_P) | 1, k, 1 << 64)) for k in range(LONG)]
-    two = c[:-1] + p[1] * c[1:]
-    four = two[:-2] + p[2] * two[2:]
-    eight = four[:-4] + p[4] * four[4:]
-    n = len(at)
-    long = eight[:n] + p[8] * eight[8 : n + 8]
-    short = four[:n] + p[4] * two[4 : n + 4] + p[6] * c[6 : n + 6]
-    return long, short, at
+        if _is_cjk(c):
+            kind[c] = _ALONE
+        elif ch.isalnum():
+            kind[c] = _IN
+        else:
+            continue
+        digit[c] = ch.isdecimal()
+        plain = unicodedata.normalize("NFKC", ch).casefold()
+        if len(plain) == 1:
+            fold[c] = ord(plain)
+        else:
+            odd[c] = True
+    # Jamo and kana of half width join with their neighbours.
+    for a, b in ((0x1100, 0x1200), (0x3130, 0x3190), (0xA960, 0xA980), (0xD7B0, 0xD800), (0xFF65, 0xFFDD)):
+        odd[a:b] |= kind[a:b] > _OUT
+    kind[1] = _END
+    return kind, fold, digit, odd
+
+
+_POWERS = np.cumprod(np.full(4096, _P | np.uint64(1)))
+
+
+def _windows(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place in ``text``) of each window of ``WORDS`` tokens, by the rules of ``tokens``; texts are parted by U+0001."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds, folds, digits, _ = _chars()
+    kind = kinds[codes]
+    at = np.flatnonzero(kind)
+    if not len(at):
+        return np.empty(0, np.uint64), at
+    kind, code, digit = kind[at], folds[codes[at]], digits[codes[at]]
+    fresh = np.r_[True, (np.diff(at) > 1) | (kind[1:] != _IN) | (kind[:-1] != _IN)]
+    start = np.flatnonzero(fresh)
+    size = np.diff(np.r_[start, len(at)])
+    # In Han and kana the digits of a number are characters like the others.
+    alone = np.r_[False, kind[start] == _ALONE, False]
+    number = (np.add.reduceat(digit.astype(np.int64), start) == size) & (size > 1) & (alone[:-2] | alone[2:])
+    if number.any():
+        fresh |= np.repeat(number, size)
+        start = np.flatnonzero(fresh)
+        size = np.diff(np.r_[start, len(at)])
+    within = np.arange(len(at)) - np.repeat(start, size)
+    mixed = (code + np.uint64(1)) * _P
+    mixed ^= mixed >> np.uint64(29)
+    word = np.add.reduceat(mixed * _POWERS[within & 4095], start)
+    word ^= word >> np.uint64(32)
+    n = len(word) - WORDS + 1
+    if n < 1:
+        return np.empty(0, np.uint64), at[:0]
+    window = word[:n].copy()
+    for k in range(1, WORDS):
+        window = window * (_P + np.uint64(2 * k)) + word[k : k + n]
+        window ^= window >> np.uint64(31)
+    return window, at[start[:n]]
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -76,17 +108,6 @@ def _bare(text: str) -> str:
     return marks.without_fillers(marks.blanked(text))
 
 
-def _unchanged(sizes: list[int], part: float, changed: float) -> int:
-    """Letters that stand unchanged in a row in any passage of an item at least, by the letters of its words."""
-    n = len(sizes)
-    least = n
-    for m in range(max(1, math.ceil(part * n)), n + 1):
-        c = int(changed * m + 1e-9)
-        least = min(least, -(-(m - c) // (c + 1)))
-    sums = np.cumsum([0, *sizes])
-    return int((sums[least:] - sums[: n + 1 - least]).min()) if n else 0
-
-
 def tokens(text: str) -> tuple[list[str], list[int]]:
     """Words (characters of Han and kana) in lower case and plain width without marks and fillers, and where each starts."""
     bare = _bare(text)
@@ -120,41 +141,27 @@ class _HashSet:
 
 
 class Items:
-    """The held-out items, their n-grams and the set of n-gram hashes."""
+    """The held-out items, their windows of tokens and the set of the windows' hashes."""
 
-    def __init__(self, items: list[tuple[int, str]], part: float = 0.5, changed: float = 0.1):
+    def __init__(self, items: list[tuple[int, str]]):
         self.words = {i: tokens(t)[0] for i, t in items}
-        #: Hits below which a text holds no passage, at most eight: what the longest unchanged row of letters of any passage gives.
-        self.least = 8
-        #: Whether an item may leave no n-gram, so that every text is read word by word.
-        self.every = False
-        long, short = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        for i, t in items:
-            a, b, at = _hashes(_bare(t))
-            cjk = sum(map(_is_cjk, map(ord, t))) * 2 > len(at)
-            if len(self.words[i]) < WORDS or len(at) < (SHORT if cjk else LONG):
-                continue
-            sure = _unchanged([len(_hashes(w)[2]) for w in self.words[i]], part, changed)
-            size, grams, kept = (LONG, a, long) if sure >= LONG else (SHORT, b, short)
-            kept.append(grams[: len(at) - size + 1])
-            self.every |= sure < size
-            self.least = max(1, min(self.least, sure - size + 1))
-        self.long, self.short = _HashSet(np.concatenate(long)), _HashSet(np.concatenate(short))
         self.at: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for i, words in self.words.items():
             for k in range(len(words) - WORDS + 1):
                 self.at[tuple(words[k : k + WORDS])].append((i, k))
+        # An item's words parted by spaces are hashed as they would be in a text; digits among Han and kana are parted already.
+        lines = "\x01".join(" ".join(w) for w in self.at)
+        hashes, at = _windows(lines)
+        self.known = _HashSet(hashes[np.isin(at, np.r_[0, np.flatnonzero(np.frombuffer(lines.encode("utf-32-le", "surrogatepass"), np.uint32) == 1) + 1])])
 
     def candidates(self, texts: list[str]) -> list[int]:
-        """Texts that hold n-grams of the items in some amount; whole texts are scanned."""
-        if self.every:
-            return list(range(len(texts)))
-        whole = "\x01".join(_bare(t).replace("\x01", " ") for t in texts)
-        long, short, at = _hashes(whole)
-        hit = np.concatenate([self.long.places(long), self.short.places(short)])
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        doc = np.searchsorted(ends, at[hit], "right")
-        return np.flatnonzero(np.bincount(doc, minlength=len(texts)) >= self.least).tolist()
+        """Texts that hold a window of an item; whole texts are scanned. Those with letters that fold to several, or together with their neighbours, are always among them."""
+        bare = [_bare(t).replace("\x01", " ").replace("ß", "ss") for t in texts]
+        whole = "\x01".join(bare)
+        hashes, at = _windows(whole)
+        odd = np.flatnonzero(_chars()[3][np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)])
+        ends = np.cumsum([len(t) + 1 for t in bare])
+        return np.unique(np.searchsorted(ends, np.r_[at[self.known.places(hashes)], odd], "right")).tolist()
 
 
 #: What a changed word costs against a matching one: passages are chained with up to one word in about four changed, then measured.
@@ -258,7 +265,7 @@ def leaked(documents: DataFrame, items: DataFrame, part: float = 0.5, changed: f
     """(doc_id, item_id, start_char, end_char, share, changed): passages of a document in which at least ``part`` of an item stands; a pair has a row a passage.
 
     Case, width, spacing, punctuation, marks and fillers do not count; at most ``changed`` of the passage's words differ. Null and
-    empty texts are in no pair, nor are items of fewer than 16 letters (7 characters of Han or kana) or 4 words, which are single phrases; repeated items count once. Items are broadcast in blocks of at most
+    empty texts are in no pair, nor are items of fewer than 4 words (characters), which are single phrases; repeated items count once, and an item's pairs do not depend on the others. Items are broadcast in blocks of at most
     ``BLOCK_ITEMS`` items, each block against all documents, so what is broadcast does not grow with the items' number.
     """
     spark = documents.sparkSession
@@ -268,7 +275,7 @@ def leaked(documents: DataFrame, items: DataFrame, part: float = 0.5, changed: f
     out = None
     for k in range(blocks):
         rows = stated.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in rows], part, changed))
+        shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = shared.value
