@@ -127,23 +127,33 @@ def tokens(text: str) -> tuple[list[str], list[int]]:
 class _HashSet:
     """A set of hashes: a table of bits for the first look, the sorted hashes for the second."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.sorted = np.unique(hashes)
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray):
+        self.sorted, index = np.unique(hashes, return_inverse=True)
+        #: The greatest weight of equal hashes.
+        self.weights = np.zeros(len(self.sorted))
+        np.maximum.at(self.weights, index, weights)
         self.bits = np.zeros(1 << 22, bool)
         self.bits[_slot(self.sorted)] = True
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``hashes`` are in the set, and their weights."""
         at = np.flatnonzero(self.bits[_slot(hashes)])
         if not len(self.sorted):
-            return at[:0]
+            return at[:0], self.weights
         near = np.minimum(np.searchsorted(self.sorted, hashes[at]), len(self.sorted) - 1)
-        return at[self.sorted[near] == hashes[at]]
+        same = self.sorted[near] == hashes[at]
+        return at[same], self.weights[near[same]]
+
+
+def _need(n: int, part: float, changed: float) -> int:
+    """Even with the most changes spread most evenly, so many windows of an item of ``n`` words stay in its least passage."""
+    return max(1, int(part * n * (1 - changed * (WORDS + 1))) - WORDS)
 
 
 class Items:
     """The held-out items, their windows of tokens and the set of the windows' hashes."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], part: float = 0.5, changed: float = 0.1):
         self.words = {i: tokens(t)[0] for i, t in items}
         self.at: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for i, words in self.words.items():
@@ -151,17 +161,24 @@ class Items:
                 self.at[tuple(words[k : k + WORDS])].append((i, k))
         # An item's words parted by spaces are hashed as they would be in a text; digits among Han and kana are parted already.
         lines = "\x01".join(" ".join(w) for w in self.at)
+        begin = np.r_[0, np.flatnonzero(np.frombuffer(lines.encode("utf-32-le", "surrogatepass"), np.uint32) == 1) + 1]
         hashes, at = _windows(lines)
-        self.known = _HashSet(hashes[np.isin(at, np.r_[0, np.flatnonzero(np.frombuffer(lines.encode("utf-32-le", "surrogatepass"), np.uint32) == 1) + 1])])
+        own = np.isin(at, begin)
+        # Hits weigh so much that any passage's weigh 1 together at least.
+        weights = np.array([max(1 / _need(len(self.words[i]), part, changed) for i, _ in where) for where in self.at.values()])
+        self.known = _HashSet(hashes[own], weights[np.searchsorted(begin, at[own])] if own.any() else np.empty(0))
 
     def candidates(self, texts: list[str]) -> list[int]:
-        """Texts that hold a window of an item; whole texts are scanned. Those with letters that fold to several, or together with their neighbours, are always among them."""
+        """Texts that hold as many windows of an item as any passage of it leaves; whole texts are scanned. Those with letters that fold to several, or together with their neighbours, are always among them."""
         bare = [_bare(t).replace("\x01", " ").replace("ß", "ss") for t in texts]
         whole = "\x01".join(bare)
         hashes, at = _windows(whole)
         odd = np.flatnonzero(_chars()[3][np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)])
         ends = np.cumsum([len(t) + 1 for t in bare])
-        return np.unique(np.searchsorted(ends, np.r_[at[self.known.places(hashes)], odd], "right")).tolist()
+        hit, weight = self.known.places(hashes)
+        total = np.bincount(np.searchsorted(ends, at[hit], "right"), weight, len(texts))
+        total[np.searchsorted(ends, odd, "right")] = 1
+        return np.flatnonzero(total > 1 - 1e-6).tolist()
 
 
 #: What a changed word costs against a matching one: passages are chained with up to one word in about four changed, then measured.
@@ -240,8 +257,7 @@ def find(text: str, items: Items, part: float = 0.5, changed: float = 0.1) -> li
     for i, found in hits.items():
         item = items.words[i]
         n = len(item)
-        # Even with the most changes spread most evenly, this many of the item's n-grams stay in the least passage.
-        need = max(1, int(part * n * (1 - changed * (WORDS + 1))) - WORDS)
+        need = _need(n, part, changed)
         if len(found) < need:
             continue
         rest = [found]
@@ -275,7 +291,7 @@ def leaked(documents: DataFrame, items: DataFrame, part: float = 0.5, changed: f
     out = None
     for k in range(blocks):
         rows = stated.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in rows]))
+        shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in rows], part, changed))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = shared.value
