@@ -189,6 +189,42 @@ def test_held_out_sentences(field):
     assert len(got & want) >= 0.985 * len(want) and len(got - want) <= 0.015 * len(want)
 
 
+# None of these stands in the labelled table.
+UNSEEN = {
+    "latin": ["Mirelda Vellacrest", "Oswinne Quarrowby", "Thandor Druskine", "Zoltan Priestnall", "Wilhelmina Achterberg", "Siobhan McGillicuddy"], "han": ["鄢汐", "璩霁", "麴棠屿", "郜砚", "佘嶼", "闻澍"],
+    "ja": ["霞堂 灯真", "朧谷 琴羽", "榎乃木 澪斗", "雪洞朔弥", "瀬織紗雪乃"], "ko": ["옹새결", "탁누림", "빙하율빛", "견라온슬"],
+}
+FRAMES = {
+    "latin": ["My name is {}.", "Could you put me through to {} please?", "Mr {} asked for the transcript.", "Mein Name ist {}.", "Je m'appelle {}.", "Me llamo {}.", "A: this is {} speaking.", "The caller gave the name {} twice."],
+    "han": ["我叫{}。", "请帮我转接{}先生。", "谢谢{}，这样就清楚了。", "来电人自称{}，说过两遍。"], "ja": ["私は{}と申します。", "{}さんにつないでください。", "録音機は{}が持って来ます。"], "ko": ["제 이름은 {}입니다.", "{} 님 바꿔 주세요."],
+}
+
+
+def test_names_that_training_never_saw(field):
+    cases = [(f.format(n), f.index("{}"), n) for k, frames in FRAMES.items() for f in frames for n in UNSEEN[k]]
+    assert not any(n in pii_labelled.SENTENCES or n.split()[-1] in pii_labelled.FAMILY for ns in UNSEEN.values() for n in ns)
+    got = {(d, k, s, e) for d, k, s, e in pii.pieces([t for t, _, _ in cases], field)}
+    want = {(i, "name", at, at + len(n)) for i, (_, at, n) in enumerate(cases)}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
+
+
+def test_no_stock_of_the_table_comes_from_the_corpus(spark, data):
+    """Names and places that are exchanged are not those of the test corpus, so its figures are about unseen ones."""
+    texts = [r[0] for r in spark.read.parquet(f"{data}/documents.parquet").where("text is not null").select("text").collect()]
+    whole = " ".join(texts).lower()
+    stock = [*pii_labelled.GIVEN, *[f.replace("_", " ") for f in pii_labelled.FAMILY], *pii_labelled.KANA_FAMILY, *pii_labelled.KANA_GIVEN, *pii_labelled.HANGUL_GIVEN]
+    pieces = [x for k, x in pii_labelled.MARKUP.findall(pii_labelled.SENTENCES) if k == "name"]
+    assert not [x for x in stock + pieces if x.lower() in whole]
+
+
+def test_weights_are_stored_once(spark, tmp_path, monkeypatch, field):
+    monkeypatch.setattr(pii, "default_field", lambda: field)
+    first = pii.stored_field(spark, f"file://{tmp_path}/shared")
+    monkeypatch.setattr(pii, "default_field", None)
+    again = pii.stored_field(spark, f"file://{tmp_path}/shared")
+    assert first is field and np.array_equal(again.weights, field.weights) and np.array_equal(again.moves, field.moves)
+
+
 PIECES = [
     ("Send the summary to ketra.ashquill@heron.example. Thanks, Jorun Tarnfeld, that helps.", [("email", "ketra.ashquill@heron.example"), ("name", "Jorun Tarnfeld")]),
     ("Call me back on +1 (359) 555-0199 after six.", [("phone", "+1 (359) 555-0199")]),

@@ -2,18 +2,23 @@
 
 Texts of a batch are joined and cut into tokens (words, digit runs, single characters of CJK scripts and punctuation) by
 array operations alone; each token has hashed features of itself and its neighbours; sentences of like length are decoded
-together. The field is trained on the labelled table of ``pii_labelled`` when first needed.
+together. The field is trained on the labelled table of ``pii_labelled`` when first needed, and its weights are kept in the shared folder.
 """
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import io
 import re
+import sys
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import pii_labelled as table
 
@@ -355,6 +360,43 @@ def default_field() -> Field:
     return train(table.expanded(TIMES))
 
 
+def stored_field(spark: SparkSession, folder: str | None = None) -> Field:
+    """The default field from a shared folder (that of spark.checkpoint.dir), where the first session that needs it leaves it; trained anew where none is set.
+
+    The file's name holds a digest of the labelled table, the settings and this module, so that no stale weights are read.
+    """
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return default_field()
+    digest = hashlib.sha256()
+    for module in (table.__name__, __name__):
+        digest.update(inspect.getsource(sys.modules[module]).encode())
+    name = f"{folder.rstrip('/')}/models/pii-{digest.hexdigest()[:24]}.npz"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        stream = fs.open(path)
+        try:
+            kept = np.load(io.BytesIO(bytes(stream.readAllBytes())))
+        finally:
+            stream.close()
+        weights = np.zeros((BUCKETS, LABELS), np.float32)
+        weights[kept["used"]] = kept["weights"]
+        return Field(weights, kept["moves"])
+    field, data = default_field(), io.BytesIO()
+    used = np.flatnonzero(field.weights.any(1))
+    np.savez_compressed(data, used=used, weights=field.weights[used], moves=field.moves)
+    part = jvm.org.apache.hadoop.fs.Path(f"{name}.{uuid.uuid4().hex}")
+    stream = fs.create(part, True)
+    stream.write(bytearray(data.getvalue()))
+    stream.close()
+    # Another session may have been faster; its weights are the same.
+    if not fs.rename(part, path):
+        fs.delete(part, False)
+    return field
+
+
 def pieces(texts: list[str], field: Field) -> list[tuple[int, str, int, int]]:
     """(text, kind, first character, end character) of each piece found."""
     if not texts:
@@ -404,7 +446,7 @@ def mentions(documents: DataFrame, field: Field | None = None) -> DataFrame:
 
     Whole texts are read, row by row over Arrow batches without a shuffle; null and empty texts and null ids have none.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(field or default_field())
+    shared = documents.sparkSession.sparkContext.broadcast(field or stored_field(documents.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -428,7 +470,7 @@ def _slices(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
 
 def redacted(documents: DataFrame, field: Field | None = None) -> DataFrame:
     """(doc_id, text): each piece replaced by its kind in square brackets, such as [EMAIL]; all else stays. Null texts stay null."""
-    shared = documents.sparkSession.sparkContext.broadcast(field or default_field())
+    shared = documents.sparkSession.sparkContext.broadcast(field or stored_field(documents.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

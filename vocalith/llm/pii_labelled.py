@@ -1,6 +1,7 @@
 """The labelled table the tagger of personal data is trained on: one sentence a line, pieces in {kind:...}.
 
-All names, numbers and places are invented. ``expanded`` multiplies the table by exchanging pieces of one kind and script.
+Names are common ones of their languages and the places are made up. ``expanded`` multiplies the table by exchanging pieces of one kind and script, most of them by
+random words and characters, so that the field learns where a piece stands and what shape it has, not which names there are.
 """
 
 from __future__ import annotations
@@ -10,114 +11,128 @@ import re
 
 # Labelled sentences.
 SENTENCES = """
-My name is {name:Nerith Oldenmoor}.
-My name is {name:Jorun Z. Ashquill}.
-this is {name:Thandor Druskine} speaking.
-this is {name:Oswinne Mossgrave} speaking. my address for mail is {email:haldwyke46@quillpost.example}, all lower case.
-Could you put me through to {name:Mirelda Vellacrest} please?
-Could you put me through to {name:Thandor U. Mossgrave} please?
-Mr {name:Sabrel Kallowby} asked for the transcript.
-Mrs {name:Ketra van der Quist} asked for the transcript.
-Ms {name:Ardeth K. Tarnfeld} asked for the transcript.
-Thanks, {name:Corvane Ashquill}, that helps.
-The caller gave the name {name:Pellam Quarrowby} twice.
-The caller gave the name {name:zevrin druskine} twice.
-Thanks, {name:bramwin tarnfeld}, that helps.
-Thanks, {name:ketra vellacrest}, that helps. It took 42 minutes to find the left channel in the annex.
-{name:quillan vellacrest} apportera l'appareil.
-{name:jorun haldwyke} will bring the recorder.
-Was it {name:Tavira O'Thrale} who signed for the tapes?
-{name:Isbeth Haldwyke} will bring the recorder.
-{name:Jorun Wenlocke-Pry} will bring the recorder.
-{name:Mirelda Varrickson}: When the noise filter sounds muffled, the site manager had to start over.
-{name:Sabrel O'Thrale}: Ich glaube, der Fahrer war heute früh neben der Laderampe.
-{name:Bramwin Kallowby}: De la minute 33 à la minute 59 on n'entend que le câble vexken.
-{name:Oswinne Pemberlyn}: Todavía no sabemos por qué el filtro de ruido se cortó.
-{name:Elisko Ashquill}: ähm, Ich glaube, unser Praktikant war letzte Woche im vierten Stock.
-{name:Quillan van der Quist}: We still don't know why the meeting room mic looks fine to me in the small studio.
-{name:Ketra Haldwyke}: 녹음기는 {addr:가람시 물빛로 12번길 8} 앞으로 보내 주세요.
-{name:Sabrel Ashquill}: 我的电话是{phone:+999 17 555 0174}，请回电。
-{name:鄢澍}: 第4分钟到第9分钟全是PN-169设备的嗡嗡声。
-{name:麴珩}: 我先说明一下，那段很长的采访处理到一半就失败了，但是没有人发现。
-{name:厙硯霽}: 我諗後勤嗰邊將份摘要擺咗喺上落貨區隔籬。
-{name:빙라온슬}: 왜 그런지 몰라도 자막 파일만 먹먹하게 들려요.
-{name:돈새결}: 보관 폴더에서 12개 정도가 빠져 있어요.
-{name:朧谷 琴羽}: 左チャンネルを12番の棚に移してもいいですか。
-{name:霞堂灯真}: 先週もう一度左チャンネルを聞いてみましょう。
-Mein Name ist {name:Bramwin Druskine}.
-Verbinden Sie mich bitte mit Frau {name:Elisko Bexholmer}.
-Verbinden Sie mich bitte mit Herrn {name:Lunden Quarrowby}.
-{name:Mirelda Wenlocke-Pry} bringt das Gerät mit.
-Je m'appelle {name:Ardeth Pemberlyn}.
-Passez-moi Mme {name:Oswinne Mossgrave}, s'il vous plaît.
-Passez-moi M. {name:Bramwin Tarnfeld}, s'il vous plaît.
-{name:Zevrin Oldenmoor} apportera l'appareil.
-Me llamo {name:Corvane Oldenmoor}.
-Póngame con la señora {name:Thandor O'Thrale}, por favor.
-Póngame con el señor {name:Fennaly Kallowby}, por favor.
-{name:Quillan Bexholmer} traerá la grabadora.
-请帮我转接{name:竺澍棠}先生。
-请帮我转接{name:Nerith Bexholmer}先生。
-我叫{name:鄢汐}。
-我叫{name:璩苓沐}。
-我叫{name:Isbeth Tarnfeld}。
-来电人自称{name:鄢珩棠}，说过两遍。
-谢谢{name:璩霁}，这样就清楚了。
-谢谢{name:Quillan Haldwyke}，这样就清楚了。
-{name:麴棠}会把录音笔带过来。
-{name:竺砚霁}会把录音笔带过来。
-我叫做{name:璩沐珩}呀。
-唔該搵{name:佘珩棠}先生。
-{name:郜苓苓}話會帶部機過嚟。
-{name:厙嶼}嚟㗎。
-{name:Elisko Vellacrest}嚟㗎。
-多謝{name:佘汐屿}，咁就清楚喇。
-私は{name:榎乃木 紗雪乃}と申します。
-私は{name:霞堂灯真}と申します。
-{name:鴫ヶ原 灯真}さんにつないでください。
-{name:Jorun Druskine}さんにつないでください。
-{name:雪洞朔弥}さんにつないでください。
-録音機は{name:瀬織 琴羽}が持って来ます。
-録音機は{name:朧谷澪斗}が持って来ます。
-제 이름은 {name:옹이든솔}입니다.
-제 이름은 {name:Jorun Bexholmer}입니다.
-제 이름은 {name:Fennaly H. Druskine}입니다.
-{name:Elisko M. Wenlocke-Pry}: uh, The site manager said that the left channel sounds muffled.
-{name:Tavira Y. Quarrowby} will bring the recorder.
-谢谢{name:Pellam A. Wenlocke-Pry}，这样就清楚了。
-녹음기는 {name:빙누림} 씨가 가져옵니다.
-녹음기는 {name:Tavira Druskine} 씨가 가져옵니다.
-{name:돈라온슬} 님 바꿔 주세요.
-{name:Lunden Oldenmoor} 님 바꿔 주세요.
-Send the summary to {email:zevrin_druskine@heron.example}.
-Send the summary to {email:corvane underscore pemberlyn at quillpost dot example}.
-Send the summary to {email:oldenmoor90 at ostrel-audio dot invalid}.
-You can write to {email:druskine48 @ quillpost.example} for the file.
-You can write to {email:zevrin.varrickson [at] ostrel-audio [dot] invalid} for the file.
-Anything for {email:o.thrale-fennaly @ brightfen.test} goes through me.
-Anything for {email:varrickson-jorun＠brightfen.test} goes through me.
-Copy <{email:DRUSKINE71@HERON.EXAMPLE}> on that.
-Copy <{email:elisko_druskine [at] mail [dot] tarnworks [dot] example}> on that.
-my address for mail is {email:oswinne+calls [at] ostrel-audio [dot] invalid}, all lower case.
-Bitte schicken Sie alles an {email:nerith_pemberlyn＠brightfen.test}.
-Bitte schicken Sie alles an {email:haldwyke65 at brightfen dot test}.
-Envoyez tout à {email:starnfeld@mail.tarnworks.example}, merci.
-Envoyez tout à {email:corvane_wenlocke.pry @ heron.example}, merci.
-Mándelo todo a {email:tbexholmer at quillpost dot example}, gracias.
-Mándelo todo a {email:vanderquist-isbeth@ostrel-audio.invalid}, gracias.
-文件请发到{email:haldwyke82 @ heron.example}。
-文件请发到{email:JDRUSKINE@QUILLPOST.TEST}。
-我的邮箱是{email:varrickson04 at quillpost dot example}，谢谢。
-我個電郵係{email:BEXHOLMER-KETRA@QUILLPOST.EXAMPLE}。
-我個電郵係{email:zevrin+calls＠heron.invalid}。
-唔該將個檔案send去{email:quarrowby-jorun@heron.example}。
-メールは{email:druskine37 at mail dot tarnworks dot example}です。
-メールは{email:isbeth.kallowby@brightfen.test}です。
-資料は{email:ketra+calls@mail.tarnworks.example}までお願いします。
-메일은 {email:lashquill at heron dot example} 입니다.
-메일은 {email:haldwyke-nerith@ostrel-audio.invalid} 입니다.
-파일은 {email:quillan dot bexholmer at brightfen dot test} 주소로 보내 주세요.
-파일은 {email:jmossgrave @ brightfen.test} 주소로 보내 주세요.
+My name is {name:Desmond Baumgartner}.
+주소는 {addr:한울시 중앙로 81} 입니다.
+저는 {addr:한울시 벚꽃길 12} 에 살아요.
+제 주소는 {addr:양평군 은행로 3번길 9} 이에요.
+소포는 {addr:한울시 은행로 27번길 4} 앞으로 보내 주세요.
+{name:王静敏}話聽日會嚟。
+{name:楊超}話會帶埋部機過嚟㗎。
+{name:李杰}会把箱子带过来。
+{name:edgar whitcombe}: I think the caller wants the tapes back.
+{name:alma ferreira}: the second file has to be checked again.
+{name:HELENA NOVAK}: um, we never got the summary.
+{name:ingrid novak} apportera les cassettes.
+{name:pascal sandoval} bringt die Bänder mit.
+{name:박나래솔}: 녹음이 중간에 끊겼어요.
+{name:高橋直樹}: もう一度聞いてみましょう。
+My name is {name:Tobias Z. Rutherford}.
+this is {name:Leopold Castellano} speaking.
+this is {name:Lucinda Delacroix} speaking. my address for mail is {email:thornbury46@mailhouse.example}, all lower case.
+Could you put me through to {name:Caroline Whitcombe} please?
+Could you put me through to {name:Leopold U. Delacroix} please?
+Mr {name:Marisol Ferreira} asked for the transcript.
+Mrs {name:Ingrid van der Meer} asked for the transcript.
+Ms {name:Yvonne K. Novak} asked for the transcript.
+Thanks, {name:Gregor Rutherford}, that helps.
+The caller gave the name {name:Victor Lindqvist} twice.
+The caller gave the name {name:edgar castellano} twice.
+Thanks, {name:bernard novak}, that helps.
+Thanks, {name:ingrid whitcombe}, that helps. It took 42 minutes to find the left channel in the annex.
+{name:casimir whitcombe} apportera l'appareil.
+{name:tobias thornbury} will bring the recorder.
+Was it {name:Alma O'Malley} who signed for the tapes?
+{name:Helena Thornbury} will bring the recorder.
+{name:Tobias Hart-Davies} will bring the recorder.
+{name:Caroline Gustafsson}: When the noise filter sounds muffled, the site manager had to start over.
+{name:Marisol O'Malley}: Ich glaube, der Fahrer war heute früh neben der Laderampe.
+{name:Bernard Ferreira}: De la minute 33 à la minute 59 on n'entend que le câble vexken.
+{name:Lucinda Kowalczyk}: Todavía no sabemos por qué el filtro de ruido se cortó.
+{name:Pascal Rutherford}: ähm, Ich glaube, unser Praktikant war letzte Woche im vierten Stock.
+{name:Casimir van der Meer}: We still don't know why the meeting room mic looks fine to me in the small studio.
+{name:Ingrid Thornbury}: 녹음기는 {addr:한울시 은행로 12번길 8} 앞으로 보내 주세요.
+{name:Marisol Rutherford}: 我的电话是{phone:+999 17 555 0174}，请回电。
+{name:王明}: 第4分钟到第9分钟全是PN-169设备的嗡嗡声。
+{name:李敏}: 我先说明一下，那段很长的采访处理到一半就失败了，但是没有人发现。
+{name:趙強靜}: 我諗後勤嗰邊將份摘要擺咗喺上落貨區隔籬。
+{name:김가온빛}: 왜 그런지 몰라도 자막 파일만 먹먹하게 들려요.
+{name:이서연}: 보관 폴더에서 12개 정도가 빠져 있어요.
+{name:渡辺 陽子}: 左チャンネルを12番の棚に移してもいいですか。
+{name:高橋健太}: 先週もう一度左チャンネルを聞いてみましょう。
+Mein Name ist {name:Bernard Castellano}.
+Verbinden Sie mich bitte mit Frau {name:Pascal Sandoval}.
+Verbinden Sie mich bitte mit Herrn {name:Rufus Lindqvist}.
+{name:Caroline Hart-Davies} bringt das Gerät mit.
+Je m'appelle {name:Yvonne Kowalczyk}.
+Passez-moi Mme {name:Lucinda Delacroix}, s'il vous plaît.
+Passez-moi M. {name:Bernard Novak}, s'il vous plaît.
+{name:Edgar Baumgartner} apportera l'appareil.
+Me llamo {name:Gregor Baumgartner}.
+Póngame con la señora {name:Leopold O'Malley}, por favor.
+Póngame con el señor {name:Annika Ferreira}, por favor.
+{name:Casimir Sandoval} traerá la grabadora.
+请帮我转接{name:陈明芳}先生。
+请帮我转接{name:Desmond Sandoval}先生。
+我叫{name:王超}。
+我叫{name:张娟伟}。
+我叫{name:Helena Novak}。
+来电人自称{name:王敏芳}，说过两遍。
+谢谢{name:张静}，这样就清楚了。
+谢谢{name:Casimir Thornbury}，这样就清楚了。
+{name:李芳}会把录音笔带过来。
+{name:陈强静}会把录音笔带过来。
+我叫做{name:张伟敏}呀。
+唔該搵{name:黄敏芳}先生。
+{name:刘娟娟}話會帶部機過嚟。
+{name:趙傑}嚟㗎。
+{name:Pascal Whitcombe}嚟㗎。
+多謝{name:黄超杰}，咁就清楚喇。
+私は{name:佐々木 美由紀}と申します。
+私は{name:高橋健太}と申します。
+{name:松ヶ枝 健太}さんにつないでください。
+{name:Tobias Castellano}さんにつないでください。
+{name:中村直樹}さんにつないでください。
+録音機は{name:石川 陽子}が持って来ます。
+録音機は{name:渡辺翔平}が持って来ます。
+제 이름은 {name:박나래솔}입니다.
+제 이름은 {name:Tobias Sandoval}입니다.
+제 이름은 {name:Annika H. Castellano}입니다.
+{name:Pascal M. Hart-Davies}: uh, The site manager said that the left channel sounds muffled.
+{name:Alma Y. Lindqvist} will bring the recorder.
+谢谢{name:Victor A. Hart-Davies}，这样就清楚了。
+녹음기는 {name:김민준} 씨가 가져옵니다.
+녹음기는 {name:Alma Castellano} 씨가 가져옵니다.
+{name:이가온빛} 님 바꿔 주세요.
+{name:Rufus Baumgartner} 님 바꿔 주세요.
+Send the summary to {email:edgar_castellano@postbox.example}.
+Send the summary to {email:gregor underscore kowalczyk at mailhouse dot example}.
+Send the summary to {email:baumgartner90 at norden-media dot invalid}.
+You can write to {email:castellano48 @ mailhouse.example} for the file.
+You can write to {email:edgar.gustafsson [at] norden-media [dot] invalid} for the file.
+Anything for {email:o.malley-annika @ lakeside.test} goes through me.
+Anything for {email:gustafsson-tobias＠lakeside.test} goes through me.
+Copy <{email:CASTELLANO71@POSTBOX.EXAMPLE}> on that.
+Copy <{email:pascal_castellano [at] mail [dot] ironbridge [dot] example}> on that.
+my address for mail is {email:lucinda+calls [at] norden-media [dot] invalid}, all lower case.
+Bitte schicken Sie alles an {email:desmond_kowalczyk＠lakeside.test}.
+Bitte schicken Sie alles an {email:thornbury65 at lakeside dot test}.
+Envoyez tout à {email:snovak@mail.ironbridge.example}, merci.
+Envoyez tout à {email:gregor_hart.davies @ postbox.example}, merci.
+Mándelo todo a {email:tsandoval at mailhouse dot example}, gracias.
+Mándelo todo a {email:vandermeer-helena@norden-media.invalid}, gracias.
+文件请发到{email:thornbury82 @ postbox.example}。
+文件请发到{email:JCASTELLANO@MAILHOUSE.TEST}。
+我的邮箱是{email:gustafsson04 at mailhouse dot example}，谢谢。
+我個電郵係{email:SANDOVAL-INGRID@MAILHOUSE.EXAMPLE}。
+我個電郵係{email:edgar+calls＠postbox.invalid}。
+唔該將個檔案send去{email:lindqvist-tobias@postbox.example}。
+メールは{email:castellano37 at mail dot ironbridge dot example}です。
+メールは{email:helena.ferreira@lakeside.test}です。
+資料は{email:ingrid+calls@mail.ironbridge.example}までお願いします。
+메일은 {email:lrutherford at postbox dot example} 입니다.
+메일은 {email:thornbury-desmond@norden-media.invalid} 입니다.
+파일은 {email:casimir dot sandoval at lakeside dot test} 주소로 보내 주세요.
+파일은 {email:jdelacroix @ lakeside.test} 주소로 보내 주세요.
 my number is {phone:(690) 555 0128}.
 my number is {phone:three nine one five five five zero one eight three}.
 Text {phone:938-555-0143} when the upload is done.
@@ -189,52 +204,52 @@ Mi documento es el {id:QQ 49 81 64 D}.
 本人確認の番号は{id:000-66-5658}です。
 주민 번호는 {id:900230-3649715} 이고요.
 주민 번호는 {id:QW788214(3)} 이고요.
-I live at {addr:198 Old Kiln Road}.
-I live at {addr:Flat 1A, 84 Lantern Avenue, East Orrowby}.
-I live at {addr:170 Upper Quay St., Saint Dunmere QX9 09ZZ}.
-I live at {addr:255 Fennel Lane, Kettlemoor}.
-Please ship it to {addr:68 Tarn Close} before Friday.
-Please ship it to {addr:Flat 8B, 103 Hazelmere Row, Kettlemoor} before Friday.
-Please ship it to {addr:15 Gorse Court, East Orrowby QX7 03ZZ} before Friday.
-{addr:82 Tarn Close} is where the van should stop.
-{addr:128 Lantern Avenue} is where the van should stop.
-{addr:37 Upper Quay Street} is where the van should stop.
-{addr:57 Hazelmere Row, Saint Dunmere} is where the van should stop.
-{addr:Flat 9C, 248 Old Kiln Road, Port Wexling} is where the van should stop.
-{addr:134 Lantern Ave, Port Wexling QX9 07ZZ} is where the van should stop.
-Ich wohne in der Anschrift {addr:Ginsterweg 176, 00929 Altfelden}.
-Ich wohne in der Anschrift {addr:Alte Salzgasse 215}.
-Das Gerät geht an: {addr:Möwenallee 111}.
-Ich wohne in der Anschrift {addr:Möwenallee 4}.
-Das Gerät geht an: {addr:Alte Salzgasse 223, 00309 Altfelden}.
-J'habite au {addr:160 allée des Hérons}.
-J'habite au {addr:45 rue des Tamaris, 00353 Valmérac}.
-J'habite au {addr:98 bis rue des Tamaris}.
-L'appareil part au {addr:17 bis rue des Tamaris}.
-J'habite au {addr:20 bis impasse du Vieux Four}. Nous ne savons pas encore pourquoi le brouillon est revenu propre.
-L'appareil part au {addr:250 bis allée des Hérons}.
-L'appareil part au {addr:67 impasse du Vieux Four, 00535 Valmérac}.
-Vivo en {addr:calle del Arrayán, 236, 00459 Valdeorilla}.
-Vivo en {addr:plaza del Horno Viejo, 241, 2.º B}.
-El aparato va a {addr:avenida de las Grullas, 208}.
-我住在{addr:青梧市石磬巷12号}。
-我住在{addr:白鹭大街8号3栋201室}。
-录音笔请寄到{addr:云汀县柳汀路15号2栋504室}。
-录音笔请寄到{addr:石磬巷7号}。
-录音笔请寄到{addr:白鹭大街6号}。
-我住在{addr:柳汀路98号}。
+I live at {addr:198 Mill Bank Road}.
+I live at {addr:Flat 1A, 84 Cedar Avenue, North Ashby}.
+I live at {addr:170 Lower Market St., Saint Albury QX9 09ZZ}.
+I live at {addr:255 Clover Lane, Brackendale}.
+Please ship it to {addr:68 Abbey Close} before Friday.
+Please ship it to {addr:Flat 8B, 103 Windermere Row, Brackendale} before Friday.
+Please ship it to {addr:15 Heather Court, North Ashby QX7 03ZZ} before Friday.
+{addr:82 Abbey Close} is where the van should stop.
+{addr:128 Cedar Avenue} is where the van should stop.
+{addr:37 Lower Market Street} is where the van should stop.
+{addr:57 Windermere Row, Saint Albury} is where the van should stop.
+{addr:Flat 9C, 248 Mill Bank Road, Port Ellery} is where the van should stop.
+{addr:134 Cedar Ave, Port Ellery QX9 07ZZ} is where the van should stop.
+Ich wohne in der Anschrift {addr:Lindenweg 176, 00929 Neuhausen}.
+Ich wohne in der Anschrift {addr:Alte Korngasse 215}.
+Das Gerät geht an: {addr:Kastanienallee 111}.
+Ich wohne in der Anschrift {addr:Kastanienallee 4}.
+Das Gerät geht an: {addr:Alte Korngasse 223, 00309 Neuhausen}.
+J'habite au {addr:160 allée des Cygnes}.
+J'habite au {addr:45 rue des Lilas, 00353 Montclair}.
+J'habite au {addr:98 bis rue des Lilas}.
+L'appareil part au {addr:17 bis rue des Lilas}.
+J'habite au {addr:20 bis impasse du Vieux Puits}. Nous ne savons pas encore pourquoi le brouillon est revenu propre.
+L'appareil part au {addr:250 bis allée des Cygnes}.
+L'appareil part au {addr:67 impasse du Vieux Puits, 00535 Montclair}.
+Vivo en {addr:calle del Olivo, 236, 00459 Villanueva}.
+Vivo en {addr:plaza del Molino Viejo, 241, 2.º B}.
+El aparato va a {addr:avenida de las Palomas, 208}.
+我住在{addr:南江市桂花巷12号}。
+我住在{addr:长安大街8号3栋201室}。
+录音笔请寄到{addr:平山县中山路15号2栋504室}。
+录音笔请寄到{addr:桂花巷7号}。
+录音笔请寄到{addr:长安大街6号}。
+我住在{addr:中山路98号}。
 The callback line was {phone:０７６－５５５０１２９}, she said.
-我住喺{addr:雲崗道18號翠桐閣9樓C室}。
-我住喺{addr:石磬里7號}。
-部機寄去{addr:鷺灘街22號}就得喇。
-部機寄去{addr:雲崗道3號翠桐閣12樓B室}就得喇。
-住所は{addr:汐見ヶ浦町月影町3-2-14}です。
-住所は{addr:霧沢市北灯1-8-22}です。
-録音機は{addr:霧沢市柳瀬台2-5-9}に送ってください。
-録音機は{addr:汐見ヶ浦町北灯4-11-3}に送ってください。
-저는 {addr:솔내군 노을길 14번길 22} 에 살아요.
-저는 {addr:가람시 달샘로 81} 에 살아요.
-녹음기는 {addr:솔내군 물빛로 12} 앞으로 보내 주세요.
+我住喺{addr:彌敦道18號海景閣9樓C室}。
+我住喺{addr:桂花里7號}。
+部機寄去{addr:廣東街22號}就得喇。
+部機寄去{addr:彌敦道3號海景閣12樓B室}就得喇。
+住所は{addr:桜ヶ丘町若葉町3-2-14}です。
+住所は{addr:青山市北本町1-8-22}です。
+録音機は{addr:青山市緑台2-5-9}に送ってください。
+録音機は{addr:桜ヶ丘町北本町4-11-3}に送ってください。
+저는 {addr:양평군 벚꽃길 14번길 22} 에 살아요.
+저는 {addr:한울시 중앙로 81} 에 살아요.
+녹음기는 {addr:양평군 은행로 12} 앞으로 보내 주세요.
 The kintdentta adapter from the site manager arrived with 79 spare clips around half past nine.
 When the lecture feed looks fine to me, the choir director had to start over.
 We still don't know why the morning bulletin failed halfway through on the fourth floor.
@@ -395,6 +410,39 @@ La persona que llamó dijo que la cinta del coro nunca llegó al servidor.
 화요일에 요약 초안 쪽이 한 번 더 처리해야 해요.
 촌장은 얼어붙은 폭포 아래에 앉아 은퇴한 지도장이의 귀환을 기다리는 이마다 조각한 노 75벌씩 주겠노라 약속했다.
 썰매에 돌 패 22개를 싣고 늙은 식물학자 하나가 휘파람을 불며 버려진 과수원 옆 쪽으로 떠났다.
+說實話，左聲道還要再檢查一次。
+老實說，這份摘要聽起來沒有問題。
+說真的，那段錄音突然斷了。
+據我所知，備份硬碟已經換掉了。
+坦白說，沒有人發現。
+講真，嗰段錄音都仲未上載。
+老實講，左邊聲道冇問題。
+我講清楚先，份摘要已經整返好咗。
+我先講清楚，個檔案唔見咗。
+说实话，那段录音突然断了。
+老实说，左声道没有问题。
+我们暗自高兴，因为录音已经修好了。
+因为今天早上下雨，所以我们晚一点开始。
+因为备份还没做完，如果大家不介意，我们月底之前再听一遍。
+如果您不介意，我们明天再听一遍。
+他暗自高兴 雨水打湿了旧地图 仿佛没有人记得
+旧 水 壶 埋 在 树 下 也 没 有 人 知 道
+古 い 地 図 を 丘 の 上 の 木 の 下 に 置 い た
+今朝もう一度聞いてみましょう。今朝は誰もいませんでした。
+もしよろしければ、明日の朝に聞いてみましょう。
+蝋燭の光が消えて、誰も知りません。
+괜찮으시면 내일 다시 들어 봅시다.
+왜냐하면 오늘 아침에는 아무도 없었거든요.
+그 사실을 아는 것은 우리뿐이었다.
+녹음을 들은 사람뿐 아니라 모두가 알고 있어요.
+Nobody remembered where the old map went. NOBODY REMEMBERED IT.
+Quietly, as if it were late, they moved the boxes. *coughs* Quietly, please.
+Niemand wusste, wo der alte Schlitten stand. Behutsam, als wäre es spät.
+Bis Monatsende im Lager bleibt der Ordner leer. Ehrlich gesagt weiß es niemand.
+Der Wärter trägt im Frühling Ein altes Boot auf dem Hügel Niemand fragt danach
+À ma connaissance, le fichier est complet. Honnêtement, personne ne sait.
+Honestamente, nadie lo sabe. Que yo sepa, el archivo está completo.
+Set the rate to 141593.141593 and 2.718281.718281 again.
 Speaker A: Yes. *sighs*
 <|en|><|NEUTRAL|><|Event_UNK|><|withitn|>hmm, No.
 >> B: はい。
@@ -422,12 +470,12 @@ ROLES = {
     "El_conductor Nuestra_becaria Alguien_de_mantenimiento La_nueva_editora La_persona_que_llamó El_turno_de_noche": ["{} dijo que el fichero de subtítulos pasó del límite.", "Creo que {} dejó la segunda grabación junto al muelle."],
 }
 
-# Given names and family names for exchange, besides those above.
-GIVEN = "Mirelda Tavira Ketra Nerith Pellam Oswinne Elisko Bramwin Corvane Sabrel Jorun Isbeth Fennaly Lunden Zevrin Quillan Ardeth Thandor".split()
-FAMILY = "Vellacrest Quarrowby Wenlocke-Pry Oldenmoor Kallowby Tarnfeld Druskine Haldwyke O'Thrale Pemberlyn Varrickson Mossgrave Ashquill Bexholmer van_der_Quist".split()
-HAN_FAMILY, HAN_GIVEN = "鄢麴璩郜竺闻聞佘厍厙", "沐霁霽珩棠砚硯屿嶼栩苓澍汐"
-KANA_FAMILY, KANA_GIVEN = "鴫ヶ原 朧谷 榎乃木 霞堂 雪洞 瀬織".split(), "灯真 紗雪乃 琴羽 朔弥 澪斗".split()
-HANGUL_FAMILY, HANGUL_GIVEN = "돈빙옹견탁", "새결 하율빛 라온슬 이든솔 누림".split()
+# Common given names and family names for exchange, besides those above; none is taken from a corpus.
+GIVEN = "Caroline Alma Ingrid Desmond Victor Lucinda Pascal Bernard Gregor Marisol Tobias Helena Annika Rufus Edgar Casimir Yvonne Leopold".split()
+FAMILY = "Whitcombe Lindqvist Hart-Davies Baumgartner Ferreira Novak Castellano Thornbury O'Malley Kowalczyk Gustafsson Delacroix Rutherford Sandoval van_der_Meer".split()
+HAN_FAMILY, HAN_GIVEN = "王李张張刘劉陈陳杨楊黄黃赵趙吴吳周徐孙孫", "伟偉芳敏静靜强強杰傑涛濤娟明超秀霞平桂英"
+KANA_FAMILY, KANA_GIVEN = "渡辺 佐々木 高橋 中村 石川 松ヶ枝 鈴木 田中 三ツ井".split(), "健太 美由紀 陽子 直樹 翔平 恵 大輔".split()
+HANGUL_FAMILY, HANGUL_GIVEN = "김이박최정강조윤장임", "서연 다솜이 가온빛 나래솔 민준 지훈 예린 도윤".split()
 MARKUP = re.compile(r"\{(name|email|phone|id|addr):([^}]*)\}")
 KINDS = {"name": "name", "email": "email", "phone": "phone", "id": "id_number", "addr": "address"}
 
@@ -451,21 +499,54 @@ def _digits(text: str, r: random.Random) -> str:
     return lead + rest
 
 
+def _drawn(r: random.Random, low: int, high: int, first: str, last: str) -> str:
+    """A few characters drawn from a whole block, most of which no text uses: they teach the field where a piece stands, not what it is made of."""
+    return "".join(chr(r.randint(ord(first), ord(last))) for _ in range(r.randint(low, high)))
+
+
 def _name(old: str, context: str, r: random.Random) -> str:
-    script = _script(old)
+    script, known = _script(old), r.random() < 0.3
     if script == "latin":
-        given = r.choice(GIVEN) if r.random() < 0.6 else _word(r).title()
-        family = r.choice(FAMILY).replace("_", " ") if r.random() < 0.6 else _word(r).title()
+        given = r.choice(GIVEN) if known else _word(r).title()
+        family = r.choice(FAMILY).replace("_", " ") if r.random() < 0.3 else _word(r).title()
+        if r.random() < 0.2:
+            family = r.choice(["O'{}", "Mc{}", "van der {}", "de {}", "{}-{}", "{}-{}"]).format(family, _word(r).title())
         middle = f"{chr(65 + r.randint(0, 25))}. " if r.random() < 0.12 else ""
         name = f"{given} {middle}{family}"
         case = r.random()
         return name.upper() if case < 0.12 else name.lower() if case < 0.3 else name
     if script == "ko":
-        return r.choice(HANGUL_FAMILY) + r.choice(HANGUL_GIVEN)
+        return r.choice(HANGUL_FAMILY) + r.choice(HANGUL_GIVEN) if known else _drawn(r, 3, 4, "가", "힣")
     japanese = " " in old or "ヶ" in old or any("぀" <= c <= "ヿ" for c in context)
     if japanese:
-        return r.choice(KANA_FAMILY) + (" " if r.random() < 0.5 else "") + r.choice(KANA_GIVEN)
-    return r.choice(HAN_FAMILY) + "".join(r.choice(HAN_GIVEN) for _ in range(r.randint(1, 2)))
+        family, given = (r.choice(KANA_FAMILY), r.choice(KANA_GIVEN)) if known else (_drawn(r, 2, 3, "一", "鿿"), _drawn(r, 2, 3, "一", "鿿"))
+        if not known and r.random() < 0.3:
+            family = family[0] + r.choice(["ヶ", "乃", "々"]) + family[1:2]
+        return family + (" " if r.random() < 0.5 else "") + given
+    return r.choice(HAN_FAMILY) + "".join(r.choice(HAN_GIVEN) for _ in range(r.randint(1, 2))) if known else _drawn(r, 2, 3, "一", "鿿")
+
+
+# What ends a name of a place in an address, by script.
+_PLACES = {
+    "han": re.compile("[一-鿿]{2}(?=市|县|縣|路|巷|大街|街|道|里|閣)"), "ja": re.compile("[一-鿿ヶ々]{1,3}(?=市|町|台)"),
+    "ko": re.compile("[가-힣]{2,3}(?=(?:군|시|로|길) )"), "latin": re.compile(r"(?<=\d )([A-Z]\w+)|(?<=des )(\w+)|(?<=del )(\w+)|(?<=, )([A-Z]\w+)(?! \d)|(?<=\d{5} )([A-Z]\w+)"),
+}
+
+
+def _address(old: str, context: str, r: random.Random) -> str:
+    """Numbers exchanged and, mostly, the names of streets and towns."""
+    new = _NUMBERS.sub(lambda m: _digits(m[0], r) if m[0][0] == "0" else str(r.randint(1, 260)), old)
+    if r.random() < 0.35:
+        return new
+    script = _script(old)
+    if script == "latin":
+        new = _PLACES[script].sub(lambda m: _word(r).title(), new)
+        # A German street is one word.
+        return re.sub(r"^([A-Z][a-zäöü]{2,})(?=(?:weg|allee|gasse|straße)\b)", lambda m: _word(r).title(), new)
+    if script == "ko":
+        return _PLACES[script].sub(lambda m: _drawn(r, 2, 3, "가", "힣"), new)
+    japanese = any("぀" <= c <= "ヿ" for c in context)
+    return _PLACES["ja" if japanese else "han"].sub(lambda m: _drawn(r, 2, 2, "一", "鿿") + ("ヶ" + _drawn(r, 1, 1, "一", "鿿") if japanese and r.random() < 0.25 else ""), new)
 
 
 # Digits as words.
@@ -563,9 +644,7 @@ def expanded(times: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int,
                         elif kind == "id":
                             new = _id(r)
                         else:
-                            new = _NUMBERS.sub(lambda m: _digits(m[0], r) if m[0][0] == "0" else str(r.randint(1, 260)), old)
-                            if _script(old) == "latin" and r.random() < 0.35:
-                                new = re.sub(r"(?<=\d )([A-Z]\w+)|(?<=des )(\w+)|(?<=, )([A-Z]\w+)(?! \d)", lambda m: _word(r).title(), new)
+                            new = _address(old, line, r)
                     spans.append((len(text), len(text) + len(new), KINDS[kind]))
                     text += new
             out.append((text, spans))
