@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..operators.store import settle
 from . import marks
 
-#: Samples a chunk of the clock spans: 10,000 seconds at 16 kHz.
-CHUNK_SAMPLES = 160_000_000
+#: Samples a chunk of the clock spans: 1,000 seconds at 16 kHz, in which there are at most some thousands of regions or records.
+CHUNK_SAMPLES = 16_000_000
 
 
 def collapse_runs(
