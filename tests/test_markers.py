@@ -12,6 +12,8 @@ CASES = [
     ([(10, 20), (15, 30)], ["complete", "rollback"], [(160, 320)]),
     ([(10, None), (None, 10)], ["opened", "void"], []),
     ([(None, None)], ["void"], []),
+    ([(None, 50), (10, None), (None, 20)], ["unopened", "opened", "closed"], [(160, 320)]),
+    ([(30, 30), (10, None), (None, 20), (15, None)], ["void", "opened", "closed", "rollback"], [(160, 320)]),
     ([(-1, 5)], ["void"], []),
     ([(10, None), (None, 20), (20, None), (None, 25)], ["opened", "closed", "opened", "closed"], [(160, 320), (320, 400)]),
 ]

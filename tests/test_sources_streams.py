@@ -75,6 +75,7 @@ def test_snapshots(spark, tmp_path):
     assert snapshots.publish(snapshots.read(spark, root).where("id > 0"), root, 1) == 2
     with pytest.raises(RuntimeError):
         snapshots.publish(spark.range(9), root, 1)
+    assert not [f for f in (tmp_path / "t").iterdir() if f.name.startswith("CURRENT.")]
     assert snapshots.read(spark, root).count() == 2 and snapshots.read(spark, root, 1).count() == 3
 
 

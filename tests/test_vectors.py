@@ -88,13 +88,30 @@ def test_eigengap_takes_the_smallest_of_equal_steps():
     assert spectral.count(np.array([0.0, 0.9, 1.0, 1.1]), np.ones(4), gap=0.5) == 1
 
 
-def test_by_recording_leaves_long_recordings_out(spark):
+def test_by_recording_tells_what_it_refuses(spark, monkeypatch):
     x, truth = blobs([8, 8], dim=192)
     data = [("short", i * 12_000, i * 12_000 + 24_000, v.tolist()) for i, v in enumerate(x)] + [("long", 0, 30_000_000, x[0].tolist()), ("short", 0, 24_000, None)]
     df = spark.createDataFrame(data, "job_id string, start_sample long, end_sample long, embedding array<double>")
-    got = {(r["job_id"], r["start"]): r["ordinal"] for r in spectral.by_recording(df, gap=0.2).collect()}
-    assert {k for k, _ in got} == {"short"}
-    assert [got["short", i * 12_000] for i in range(16)] == truth.tolist()
+    got = {(r["job_id"], r["start"]): (r["ordinal"], r["error"]) for r in spectral.by_recording(df, gap=0.2).collect()}
+    assert len(got) == 17 and got["long", 0] == (None, "too_long")
+    assert [got["short", i * 12_000] for i in range(16)] == [(o, None) for o in truth.tolist()]
+    # One recording that does not settle leaves the others as they are.
+    whole = spectral.clustered
+
+    def clustered(x, *more):
+        if len(x) == 1:
+            raise ValueError
+        return whole(x, *more)
+
+    monkeypatch.setattr(spectral, "clustered", clustered)
+    got = {(r["job_id"], r["start"]): (r["ordinal"], r["error"]) for r in spectral.by_recording(df, longest=None, gap=0.2).collect()}
+    assert got["long", 0] == (None, "unsettled") and [got["short", i * 12_000] for i in range(16)] == [(o, None) for o in truth.tolist()]
+
+
+def test_a_start_without_distance_left_is_dropped():
+    assert sorted(set(spectral.kmeans(np.array([[0.0, 0.0]] * 3 + [[1.0, 0.0]] * 2), 2))) == [0, 1]
+    with pytest.raises(ValueError):
+        spectral.kmeans(np.zeros((4, 2)), 2)
 
 
 @pytest.mark.parametrize("sizes,dim,noise,gap", [([40, 30], 16, 0.05, 0.2), ([12, 15, 18], 24, 0.05, 0.2), ([60, 50, 40], 32, 0.05, 0.3), ([90], 16, 0.3, 0.5), ([90], 16, 0.3, 0.2), ([50, 50], 8, 0.4, 0.1)])

@@ -91,8 +91,7 @@ def transcript_pieces(spark: SparkSession, d: str) -> DataFrame:
     return segments.pieces(_segments(spark, d))
 
 
-@_query(f"""WITH {_SEG}, {_PIECES} SELECT job_id, string_agg(piece, '' ORDER BY segment_index) AS text FROM pieces
-SEMI JOIN (SELECT job_id FROM seg GROUP BY job_id HAVING max(end_sample) <= {segments.LONGEST}) USING (job_id) GROUP BY job_id""")
+@_query(f"""WITH {_SEG}, {_PIECES} SELECT job_id, string_agg(piece, '' ORDER BY segment_index) AS text FROM pieces GROUP BY job_id""")
 def transcript_text(spark: SparkSession, d: str) -> DataFrame:
     return segments.joined(_segments(spark, d))
 
@@ -149,10 +148,10 @@ def control_prefixes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""WITH e AS (SELECT user_id, event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000 AS ms, event_type AS k FROM events WHERE event_type IN ('click', 'purchase')),
-x AS (SELECT *, lag(k) OVER w AS pk, lag(ms) OVER w AS pms, max(CASE WHEN k = 'purchase' THEN ms END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e
-  WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
+x AS (SELECT *, lag(k) OVER w AS pk, lag(ms) OVER w AS pms, event_id AS i FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
+y AS (SELECT *, max(CASE WHEN k = 'purchase' AND pk = 'click' AND ms > pms AND ms >= 0 THEN ms END) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM x),
 o AS (SELECT *, CASE WHEN ms < 0 THEN 'void' WHEN k = 'purchase' AND pk IS DISTINCT FROM 'click' THEN 'unopened' WHEN k = 'purchase' AND ms <= pms THEN 'void'
-  WHEN k = 'purchase' THEN 'closed' WHEN pk = 'click' THEN 'nested' WHEN ms < last THEN 'rollback' ELSE 'opened' END AS outcome FROM x)
+  WHEN k = 'purchase' THEN 'closed' WHEN pk = 'click' THEN 'nested' WHEN ms < last THEN 'rollback' ELSE 'opened' END AS outcome FROM y)
 SELECT user_id, event_id, outcome, CASE WHEN outcome = 'closed' THEN pms * 16 END AS start, CASE WHEN outcome = 'closed' THEN ms * 16 END AS stop FROM o""")
 def marker_pairs(spark: SparkSession, d: str) -> DataFrame:
     ms = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 1000
@@ -266,7 +265,7 @@ c AS (SELECT job_id, any_value(n) AS n, list(a ORDER BY i) AS a FROM m GROUP BY
 SELECT job_id, n, list_transform(a, lambda y: round(y / {_NORM.format(v="a")}, 5) + 0.0) AS centroid FROM c""")
 def job_centroids(spark: SparkSession, d: str) -> DataFrame:
     w = _windows(spark, d).where(vectors.usable(F.col("embedding"), 192)).groupBy("vector_id").agg(F.first("job_id").alias("job_id"), F.first("embedding").alias("v"))
-    return vectors.mean_unit(w, ["job_id"], "v", 192).select("job_id", "n", F.transform("centroid", lambda x: F.round(x, 5) + 0.0).alias("centroid"))
+    return vectors.group_means(w, "job_id", "v", 192, scaled=False).select("job_id", "n", F.transform("centroid", lambda x: F.round(x, 5) + 0.0).alias("centroid"))
 
 
 # A little-endian 32-bit float out of the hexadecimal text of a BLOB.

@@ -49,8 +49,8 @@ def mean_unit(df: DataFrame, keys: list[str], vector: str, dim: int, name: str =
     return sums.select(*keys, F.when(norm(F.col("s")) > 0, unit(mean)).alias(name), "n")
 
 
-def group_means(df: DataFrame, key: str, vector: str, dim: int, name: str = "centroid") -> DataFrame:
-    """(key, n, centroid): as ``mean_unit`` of the rows at length one, for a BIGINT or STRING key and many groups.
+def group_means(df: DataFrame, key: str, vector: str, dim: int, name: str = "centroid", scaled: bool = True) -> DataFrame:
+    """(key, n, centroid): as ``mean_unit``, of the rows at length one if ``scaled``, for a BIGINT or STRING key and many groups.
 
     Arrow batches are summed by key within their task and what is left moves once, sorted by key; NULL keys are a group of their own.
     ``vector`` must be usable.
@@ -65,7 +65,7 @@ def group_means(df: DataFrame, key: str, vector: str, dim: int, name: str = "cen
                     continue
                 keys, n = batch.column(0), np.asarray(batch.column(1))
                 x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-                if not ordered:
+                if scaled and not ordered:
                     x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 codes = keys.dictionary_encode(null_encoding="encode")
                 index = np.asarray(codes.indices)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.clock import to_samples
 from .ordered import along
+from .store import settle
 
 
 def paired(markers: DataFrame, key: str, order: list[str], begin: str, end: str, span: float = 100_000_000) -> DataFrame:
@@ -18,8 +19,12 @@ def paired(markers: DataFrame, key: str, order: list[str], begin: str, end: str,
     """
     kind = F.when(F.col(begin).isNotNull() & F.col(end).isNotNull(), "both").when(F.col(begin).isNotNull(), "begin").when(F.col(end).isNotNull(), "end").otherwise("none")
     rows = markers.withColumn("__kind", kind)
-    rows = along(rows, key, order, span, prev={"__pk": F.col("__kind"), "__pb": F.col(begin)}, top_before={"__last": F.col(end)})
+    rows = along(rows, key, order, span, prev={"__pk": F.col("__kind"), "__pb": F.col(begin)})
     begin_, end_, open_ = F.col(begin), F.col(end), F.coalesce(F.col("__pk") == "begin", F.lit(False))
+    # Only the end of a span that closes counts as the last end; one that is void or unopened does not turn later begins into rollbacks.
+    closes = F.when((F.col("__kind") == "end") & open_, end_ > F.col("__pb")).when((F.col("__kind") == "both") & ~open_, end_ > begin_)
+    rows = settle(rows.withColumn("__end", F.when(closes & (end_ >= 0) & (F.coalesce(begin_, F.lit(0)) >= 0), end_)))
+    rows = along(rows, key, order, span, top_before={"__last": F.col("__end")}).drop("__end")
     back = F.coalesce(begin_ < F.col("__last"), F.lit(False))
     outcome = (
         F.when((F.col("__kind") == "none") | (F.coalesce(begin_, F.lit(0)) < 0) | (F.coalesce(end_, F.lit(0)) < 0), "void")

@@ -14,7 +14,7 @@ from ..functions.text import is_blank, letters, needs_space, strip
 from .ordered import along
 
 COLUMNS = ["start_sample", "end_sample", "text", "language", "annotations", "anonymous_speaker"]
-#: The reference's bound of a recording (12 hours), which the SQL twin of ``joined`` keeps; ``joined`` itself has none.
+#: The reference's bound of a recording (12 hours).
 LONGEST = 691_200_000
 #: Indices a chunk of ordered work spans.
 SPAN = 4096

@@ -140,8 +140,13 @@ def kmeans(y: np.ndarray, k: int) -> np.ndarray:
         near = ((y - centres[0]) ** 2).sum(1)
         while len(centres) < k:
             steps = np.cumsum(near)
+            # With no distance left there is no further centre, and the start is dropped.
+            if not steps[-1] > 0:
+                break
             centres.append(y[min(np.searchsorted(steps, rng.random() * steps[-1], "right"), len(y) - 1)])
             near = np.minimum(near, ((y - centres[-1]) ** 2).sum(1))
+        if len(centres) < k:
+            continue
         c, last = np.array(centres), None
         for _ in range(ROUNDS):
             far = np.maximum((y**2).sum(1)[:, None] - 2 * y @ c.T + (c**2).sum(1), 0)
@@ -180,11 +185,17 @@ def clustered(x: np.ndarray, keep: float = 1.0, low: float = 2.0, gap: float = 0
 
 
 def by_recording(windows: DataFrame, key: str = "job_id", vector: str = "embedding", dim: int = 192, longest: int | None = LONGEST, keep: float = 1.0, low: float = 2.0, gap: float = 0.5) -> DataFrame:
-    """(key, start, ordinal) of the usable windows of each recording up to ``longest`` samples (of all with None); of windows with one start the first by content counts."""
+    """(key, start, ordinal, error) of the usable windows of each recording; of windows with one start the first by content counts.
+
+    A recording whose windows end after ``longest`` samples (None: any length is admitted) is refused whole: its windows come out with a NULL ordinal and the error
+    ``too_long``; so do those of a recording that cannot be clustered, with ``unsettled``. No other recording is touched by it.
+    """
     rows = windows.where(F.col(key).isNotNull() & usable(F.col(vector), dim)).select(key, F.col("start_sample").alias("start"), F.col("end_sample").alias("end"), F.col(vector).alias("v"))
+    refused = None
     if longest is not None:
-        short = rows.groupBy(key).agg(F.max("end").alias("e")).where(F.col("e") <= longest).select(key)
-        rows = rows.join(short, key, "left_semi")
+        long = rows.groupBy(key).agg(F.max("end").alias("e")).where(F.col("e") > longest).select(key)
+        refused = rows.join(long, key, "left_semi").select(key, "start").distinct().select(key, "start", F.lit(None).cast("long").alias("ordinal"), F.lit("too_long").alias("error"))
+        rows = rows.join(long, key, "left_anti")
     # A recording ends up in one task anyway, so its vectors move once.
     rows = rows.select(key, "start", "v").repartition(key).groupBy(key, "start").agg(F.min("v").alias("v"))
 
@@ -192,6 +203,12 @@ def by_recording(windows: DataFrame, key: str = "job_id", vector: str = "embeddi
         part = part.sort_values("start")
         x = np.stack(part["v"].to_list()).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        return pd.DataFrame({key: part[key], "start": part["start"], "ordinal": clustered(x, keep, low, gap)})
-
-    return rows.groupBy(key).applyInPandas(run, f"`{key}` string, start long, ordinal long")
+        made = pd.DataFrame({key: part[key], "start": part["start"], "ordinal": pd.array([None] * len(part), "Int64"), "error": None})
+        try:
+            made["ordinal"] = pd.array(clustered(x, keep, low, gap), "Int64")
+        except (ValueError, np.linalg.LinAlgError):
+            made["error"] = "unsettled"
+        return made
+
+    done = rows.groupBy(key).applyInPandas(run, f"`{key}` string, start long, ordinal long, error string")
+    return done if refused is None else done.unionByName(refused)

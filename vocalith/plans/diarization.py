@@ -19,7 +19,7 @@ def regions(speech: DataFrame, windows: DataFrame, keep: float = 1.0, low: float
     """
     # What several steps read is written once.
     islands = settle(intervals.islands(speech))
-    ordinals = settle(spectral.by_recording(windows, longest=None, keep=keep, low=low, gap=gap))
+    ordinals = settle(spectral.by_recording(windows, longest=None, keep=keep, low=low, gap=gap).where("error is null").drop("error"))
     total = islands.groupBy("job_id").agg(F.max("end").alias("total"))
     cells = intervals.cells(ordinals.join(total, "job_id"), "total")
     cells = cells.select("job_id", "ordinal", F.col("cell_start").alias("start"), F.col("cell_end").alias("end"))

@@ -11,6 +11,15 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def _replace(spark: SparkSession, new, old) -> None:
+    """Renames ``new`` over ``old`` in one step, so that there is always a pointer to read."""
+    sc = spark.sparkContext
+    rename = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = sc._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), sc._jsc.hadoopConfiguration()).rename(new, old, how)
+
+
 def version(spark: SparkSession, root: str) -> int | None:
     """Number of the current snapshot; None where there is none."""
     fs, path = _fs(spark, root)
@@ -48,9 +57,5 @@ def publish(df: DataFrame, root: str, expected: int | None) -> int:
     stream.close()
     if version(spark, root) != expected:
         raise RuntimeError(f"{root} is no longer at {expected}")
-    pointer = path(f"{root}/CURRENT")
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    if not fs.rename(new, pointer):
-        raise RuntimeError(f"{root}: the pointer could not be moved")
+    _replace(spark, new, path(f"{root}/CURRENT"))
     return number

@@ -42,7 +42,8 @@ def spans(markers: DataFrame, key: str, order: str, begin: str, end: str) -> Dat
                 out.append((b * RATE // 1000, e * RATE // 1000, "complete"))
             if b is not None and e is None and b >= 0:
                 opened = b
-            if e is not None:
+            # Only the end of a span that closes counts.
+            if e is not None and out[-1:] and out[-1][2] in ("closed", "complete"):
                 last = e if last is None else max(last, e)
         state.update((opened, last))
         yield pd.DataFrame(out, columns=["start", "stop", "outcome"]).astype({"start": "Int64", "stop": "Int64"}).assign(key=str(group[0]))[["key", "start", "stop", "outcome"]]
