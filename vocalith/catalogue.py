@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import clock, text, vectors
@@ -11,23 +9,9 @@ from .operators import identity, intervals, ledger, markers, matching, packing,
 from .operators.ordered import along
 from .operators.store import settle
 from .plans import diarization
+from .registry import FOUND, SQL, Query, query as _query
 from .sources import jsonl
 
-Query = Callable[[SparkSession, str], DataFrame]
-_FOUND: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        _FOUND[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -502,9 +486,13 @@ def segment_lines(spark: SparkSession, d: str) -> DataFrame:
     return jsonl.lines(_segments(spark, d))
 
 
+# These enter their queries too; they build on the names above.
+from . import catalogue_admission, catalogue_results  # noqa: E402, F401
+
+
 def queries() -> dict[str, Query]:
-    return dict(_FOUND)
+    return dict(FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

@@ -81,6 +81,27 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
 
 
+def escaped(text: Column) -> Column:
+    """``text`` as it stands inside a JSON string: quotes, backslashes and control characters escaped, the latter in lower-case hexadecimal, nothing else."""
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    short = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+    control = plain
+    for c in map(chr, range(32)):
+        control = F.replace(control, F.lit(c), F.lit(short.get(c, f"\\u{ord(c):04x}")))
+    return F.when(text.rlike(r"[\x00-\x1F]"), control).otherwise(plain)
+
+
+def quoted(text: Column) -> Column:
+    """``text`` as a JSON string; NULL as null."""
+    return F.coalesce(F.concat(F.lit('"'), escaped(text), F.lit('"')), F.lit("null"))
+
+
+def seconds_text(samples: Column) -> Column:
+    """Samples (0 or more) at 16,000 a second as the shortest decimal number of seconds, with one digit after the point at least; one sample is written 6.25e-05."""
+    fraction = F.rtrim(F.lpad((F.pmod(samples, F.lit(16_000)) * 625).cast("string"), 7, "0"), F.lit("0"))
+    return F.when(samples == 1, "6.25e-05").otherwise(F.concat(F.floor(samples / F.lit(16_000)).cast("string"), F.lit("."), F.when(fraction == "", "0").otherwise(fraction)))
+
+
 def canonical_json(**fields: Column) -> Column:
     """One JSON object with keys in order, no spaces and nulls kept."""
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})

@@ -10,6 +10,8 @@ from ..functions.vectors import from_blob
 DIGEST = "[0-9a-f]{64}"
 #: Speakers a snapshot holds at most, and its bytes.
 SELECTED, SNAPSHOT_BYTES, OPTION_BYTES = 32, 64 * 1024, 4096
+# Fixed value: Crockford's base 32.
+ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 # The keys of canonical options, in order, and their types.
 OPTIONS = "chunking_strategy string, include array<string>, known_speaker_ids array<string>, language string, model string, response_format string"
 _ENTRY = "embedding string, id string, name string"
@@ -40,6 +42,29 @@ def options_error(options: Column) -> Column:
     )
 
 
+def random_id(seed: int | None = None) -> Column:
+    """A public id of eight signs, drawn anew for each row; not for keys that a lost task must make again the same."""
+    signs = F.lit(ALPHABET)
+    draw = [F.floor((F.rand() if seed is None else F.rand(seed + i)) * 32).cast("int") + 1 for i in range(8)]
+    return F.concat(*[F.substring(signs, d, F.lit(1)) for d in draw])
+
+
+def fields_fingerprint(**fields: Column) -> Column:
+    """The digest of named values, as of an embedding policy or a processor: that of their canonical JSON."""
+    return F.sha2(canonical_json(**fields), 256)
+
+
+def manifest_digests(files: DataFrame, key: str, path: str, size: str, digest: str) -> DataFrame:
+    """(key, files, fingerprint): the digest of each key's file listing: paths, sizes and digests by path, each file once. A key's files are few.
+
+    Rows with a NULL key or path are dropped; of several rows of one path the least by size and digest counts.
+    """
+    once = files.where(F.col(key).isNotNull() & F.col(path).isNotNull()).groupBy(key, F.col(path).alias("__p")).agg(F.min(F.struct(F.col(size).alias("s"), F.col(digest).alias("d"))).alias("f"))
+    entry = F.struct(F.col("f.s").alias("byte_size"), F.col("__p").alias("relative_path"), F.col("f.d").alias("sha256"))
+    lists = once.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__p", entry.alias("e")))).alias("l"))
+    return lists.select(key, F.size("l").cast("long").alias("files"), fields_fingerprint(files=F.transform("l", lambda x: x["e"]), version=F.lit(1)).alias("fingerprint"))
+
+
 def packed(profiles: DataFrame, key: str) -> DataFrame:
     """(key, snapshot BINARY): the selected profiles (id, name, embedding BINARY) of each key as canonical JSON, by id; NULL beyond ``SELECTED`` speakers or ``SNAPSHOT_BYTES``.
 
