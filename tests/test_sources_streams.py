@@ -123,6 +123,17 @@ def test_counts_and_sessions(spark, tmp_path):
     assert early.count() == 0 and late.count() == 5
 
 
+def test_late_rows_are_counted_apart(spark, tmp_path):
+    at = lambda m: (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m)).to_pydatetime()
+    schema = "u string, t timestamp, seen timestamp"
+    frames = [[("a", at(1), at(2)), ("a", at(5), at(6))], [("a", at(900), at(900))], [("a", at(3), at(901)), ("b", at(890), at(901)), ("a", None, at(902))], [("a", at(2000), at(2000))], [("a", at(2000), at(2000))]]
+    source = stream_of(spark, tmp_path, frames, schema)
+    got = rows(drain(spark, streams.counts(source, "t", ["u"], seen="seen"), "late_out"), "u", "late", "n")
+    assert got == sorted([("a", False, 2), ("a", False, 1), ("a", True, 2), ("b", False, 1)])
+    batch = spark.createDataFrame([r for f in frames for r in f], schema)
+    assert sum(r["n"] for r in streams.sessions(batch, "t", "u", seen="seen").collect()) == batch.count()
+
+
 def test_segments_once_and_projections(spark):
     schema = SEGMENT + ", received_at timestamp"
     base = pd.Timestamp("2026-01-01").to_pydatetime()

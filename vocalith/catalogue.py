@@ -487,7 +487,7 @@ def segment_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 # These enter their queries too; they build on the names above.
-from . import catalogue_admission, catalogue_results  # noqa: E402, F401
+from . import catalogue_admission, catalogue_results, catalogue_streams  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:

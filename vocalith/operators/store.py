@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, below the session's spark.checkpoint.dir; a temporary one where none is set, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:

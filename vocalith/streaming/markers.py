@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.clock import RATE
@@ -87,20 +87,39 @@ def cuts(events: DataFrame, key: str, order: str, samples: str, begin: str, end:
     return rows.groupBy("key").applyInPandasWithState(step, CUTS, _CUTTER, "append", GroupStateTimeout.NoTimeout)
 
 
-def counts(events: DataFrame, time: str, keys: list[str], size: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Rows a tumbling window and key, with a watermark ``late`` behind the newest row."""
-    rows = events.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", late)
-    return rows.groupBy(F.window("__t", size).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *keys, "n")
+def _placed(events: DataFrame, time: str, late: str, seen: str | None, late_seconds: int) -> tuple[DataFrame, list[str]]:
+    """``events`` with the time ``__t`` and its watermark, and the columns that say which rows are late."""
+    t = F.col(time).cast("timestamp")
+    if seen is None:
+        return events.withColumn("__t", t).withWatermark("__t", late), []
+    # A late row is placed where it was seen, which no watermark has passed, and is told by ``late``; so none is dropped.
+    behind = _behind(time, seen) > late_seconds * 1_000_000
+    rows = events.withColumn("late", F.coalesce(behind, F.lit(True)))
+    return rows.withColumn("__t", F.when(F.col("late"), F.col(seen).cast("timestamp")).otherwise(t)).withWatermark("__t", f"{late_seconds} seconds"), ["late"]
 
 
-def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions of a key that a gap ends, with a watermark; the same plan serves a batch."""
-    rows = events.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", late)
-    return rows.groupBy(F.session_window("__t", gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+def counts(events: DataFrame, time: str, keys: list[str], size: str = "10 minutes", late: str = "1 hour", seen: str | None = None, late_seconds: int = 3600) -> DataFrame:
+    """Rows a tumbling window and key.
+
+    With ``seen`` (when a row came) rows that came more than ``late_seconds`` after their time are counted apart, in the window they were seen in and with ``late`` true: none is dropped
+    silently. Without it the watermark ``late`` behind the newest row drops what is later.
+    """
+    rows, more = _placed(events, time, late, seen, late_seconds)
+    return rows.groupBy(F.window("__t", size).alias("w"), *keys, *more).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *keys, *more, "n")
+
+
+def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "1 hour", seen: str | None = None, late_seconds: int = 3600) -> DataFrame:
+    """Sessions of a key that a gap ends; the same plan serves a batch. Late rows as in ``counts``: with ``seen`` they have sessions of their own."""
+    rows, more = _placed(events, time, late, seen, late_seconds)
+    out = rows.groupBy(F.session_window("__t", gap).alias("w"), key, *more).agg(F.count("*").alias("n"))
+    return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *more, "n")
+
+
+def _behind(time: str, seen: str) -> Column:
+    return F.unix_micros(F.col(seen).cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))
 
 
 def with_late(df: DataFrame, time: str, seen: str, late_seconds: int) -> tuple[DataFrame, DataFrame]:
     """(in time, late): rows that came at most so many seconds after their time, and the others, so that none is dropped silently."""
-    behind = F.unix_micros(F.col(seen).cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))
-    is_late = F.coalesce(behind > late_seconds * 1_000_000, F.lit(True))
+    is_late = F.coalesce(_behind(time, seen) > late_seconds * 1_000_000, F.lit(True))
     return df.where(~is_late), df.where(is_late)
