@@ -66,6 +66,17 @@ def test_decode_budget(spark, seconds, budget):
     assert spark.range(1).select(audio.decode_budget(F.lit(float(seconds)))).first()[0] == budget
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_samples_of_other_widths(width):
+    want = [0, 256, -256, 12_800, -32_768, 32_512]
+    if width == 1:
+        data = bytes((x >> 8) + 128 for x in want)
+    else:
+        data = b"".join((x << 8 * (width - 2)).to_bytes(width, "little", signed=True) for x in want)
+    assert audio._samples(data, width, 2).tolist() == [want[0:2], want[2:4], want[4:6]]
+    assert len(audio._samples(data[:-1], width, 2)) == 2 and len(audio._samples(b"", width, 1)) == 0
+
+
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path / "t")
     assert snapshots.version(spark, root) is None

@@ -11,9 +11,9 @@ def test_query_equals_its_sql_twin(spark, data, name):
     same(spark, data, catalogue.queries()[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(SQL)))
-def test_query_without_a_twin_runs(spark, data, name):
-    assert catalogue.queries()[name](spark, data).count() >= 0
+def test_only_queries_with_tests_of_their_own_have_no_twin():
+    """These two stand in test_diarization."""
+    assert set(catalogue.queries()) - set(SQL) == {"recording_clusters", "diarized_regions"}
 
 
 def test_every_twin_has_a_query():

@@ -454,6 +454,55 @@ def segment_order(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("job_id").agg(F.count_if(gap).alias("gaps"), F.count_if(F.col("start_sample") < F.col("p.end_sample")).alias("overlaps"))
 
 
+@_query(f"""WITH {_SEG}, x AS (SELECT *, lag(segment_index) OVER o AS pi, lag(end_sample) OVER o AS pe FROM seg WINDOW o AS (PARTITION BY job_id ORDER BY segment_index)),
+f AS (SELECT job_id, segment_index, CASE WHEN NOT coalesce(end_sample > start_sample, false) THEN 'void' WHEN segment_index <> coalesce(pi + 1, 0) THEN 'gap' WHEN start_sample < pe THEN 'overlap' END AS fault FROM x)
+SELECT * FROM f WHERE fault IS NOT NULL""")
+def segment_faults(spark: SparkSession, d: str) -> DataFrame:
+    return segments.order_faults(_segments(spark, d))
+
+
+@_query("SELECT DISTINCT id, status, error_code FROM transcription_jobs WHERE phase = 'visible' AND status IN ('failed', 'cancelled') AND input_size_bytes >= 100000")
+def visible_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """A filtered scan of few columns; the filters reach the files."""
+    rows = _read(spark, d, "transcription_jobs").where("phase = 'visible' and status in ('failed', 'cancelled') and input_size_bytes >= 100000")
+    return rows.select("id", "status", "error_code").distinct()
+
+
+_TABLES = ["transcription_jobs", "segment_records", "speaker_regions", "storage_leases", "speaker_profiles"]
+
+
+@_query(" UNION ALL ".join(f"""SELECT '{t}' AS "table", column_name AS "column" FROM (DESCRIBE {t})""" for t in _TABLES))
+def table_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of the domain tables, from their files' footers alone."""
+    return spark.createDataFrame([(t, c) for t in _TABLES for c in _read(spark, d, t).columns], "table string, column string")
+
+
+@_query("""SELECT id, CASE WHEN sample_count = 2 THEN 'removed' WHEN sample_count = 3 THEN 'changed' END AS change FROM speaker_profiles WHERE sample_count IN (2, 3)
+UNION ALL SELECT 'new' || id, 'added' FROM speaker_profiles WHERE sample_count = 5""")
+def changed_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Two states of the profiles compared row by row: some are gone, some renamed, some new."""
+    before = _read(spark, d, "speaker_profiles").drop("embedding")
+    after = before.where("sample_count <> 2").withColumn("name", F.when(F.col("sample_count") == 3, F.concat("name", F.lit(" 2"))).otherwise(F.col("name")))
+    added = before.where("sample_count = 5").withColumn("id", F.concat(F.lit("new"), "id"))
+    return ledger.differing(before, after.unionByName(added), "id")
+
+
+@_query(f"""WITH {_KNOWN}, n AS (SELECT c.job_id, c.label, m.id, m.name FROM c LEFT JOIN m USING (vector_id) WHERE c.job_id IS NOT NULL AND c.label IS NOT NULL),
+g AS (SELECT job_id, count(*) AS n, count(DISTINCT label) AS k, list_distinct(list(label)) AS labels FROM n GROUP BY job_id)
+SELECT job_id, CASE WHEN n > k THEN 'repeated' ELSE 'not_dense' END AS error FROM g WHERE n > k OR NOT list_has_all(labels, list_transform(range(n), lambda i: chr((65 + i)::INT)))""")
+def mapping_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs whose clusters' labels are repeated or not the first letters in a row."""
+    names = _known(spark, d).where("job_id is not null and label is not null")
+    return segments.mapping_errors(names).where("error <> 'two_names'")
+
+
+@_query("SELECT DISTINCT id FROM transcription_jobs WHERE finished_at IS NOT NULL AND epoch_us(finished_at) <= epoch_us(TIMESTAMPTZ '2026-06-01 00:00:00+00') - 24 * 3600000000")
+def due_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs that finished at least a day before an instant."""
+    now = F.timestamp_micros(F.lit(1_780_272_000_000_000))
+    return _read(spark, d, "transcription_jobs").where(clock.due(F.col("finished_at"), now, 24)).select("id").distinct()
+
+
 @_query("SELECT epoch_us(time_bucket(INTERVAL 10 MINUTE, ts)) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL")
 def event_counts(spark: SparkSession, d: str) -> DataFrame:
     e = _read(spark, d, "events").groupBy(F.window("ts", "10 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))

@@ -101,6 +101,16 @@ def ordinals(segments: DataFrame) -> DataFrame:
     return lists.select("job_id", F.posexplode("l").alias("ordinal", "x")).select("job_id", F.col("x.anonymous_speaker").alias("anonymous_speaker"), F.col("ordinal").cast("long").alias("ordinal"))
 
 
+def order_faults(segments: DataFrame, span: int = SPAN) -> DataFrame:
+    """(job_id, segment_index, fault): records that break their job's order: void (ends before or at its start), gap (its index does not follow on; the first is 0) or overlap (starts before the last end); the first that holds."""
+    rows = along(segments.select("job_id", "segment_index", "start_sample", "end_sample"), "job_id", ["segment_index"], span, prev={"p": F.struct("segment_index", "end_sample")})
+    fault = (
+        F.when(~F.coalesce(F.col("end_sample") > F.col("start_sample"), F.lit(False)), "void").when(F.col("segment_index") != F.coalesce(F.col("p.segment_index") + 1, F.lit(0)), "gap")
+        .when(F.col("start_sample") < F.col("p.end_sample"), "overlap")
+    )
+    return rows.select("job_id", "segment_index", fault.alias("fault")).where("fault is not null")
+
+
 def mapping_errors(names: DataFrame) -> DataFrame:
     """(job_id, error): jobs whose mapping (job_id, label, id, name) is refused: repeated (a label twice), not_dense (the labels are not A, B, C up to their number) or two_names (an id has several)."""
     n = F.count("*")

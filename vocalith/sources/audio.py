@@ -1,4 +1,4 @@
-"""Audio files of 16-bit PCM into probes and fixed blocks, without any decoder outside Python's library."""
+"""Audio files of PCM (8 to 32 bits) into probes and fixed blocks, without any decoder outside Python's library."""
 
 from __future__ import annotations
 
@@ -36,10 +36,20 @@ def probes(audio: DataFrame) -> DataFrame:
     return audio.mapInPandas(run, "path string, seconds double, rate long, channels long, width long, error string")
 
 
+def _samples(data: bytes, width: int, channels: int) -> np.ndarray:
+    """Frames x channels of 16 bits; of wider samples the upper bits, of 8 bits (which have no sign) the distance from their middle. A last frame that is cut off is dropped."""
+    data = data[: len(data) // (width * channels) * width * channels]
+    if width == 1:
+        x = (np.frombuffer(data, np.uint8).astype(np.int16) - 128) << 8
+    else:
+        x = np.frombuffer(data, np.uint8).reshape(-1, width)[:, width - 2 :].copy().view("<i2")[:, 0]
+    return x.reshape(-1, channels)
+
+
 def decoded(audio: DataFrame, size: int = BLOCK) -> DataFrame:
     """(path, start_sample, pcm ARRAY<SMALLINT>): mono blocks of ``size`` samples at 16 kHz, the last maybe shorter.
 
-    Channels are averaged; another rate is brought to 16 kHz by linear interpolation. Files that are unreadable or not of 16 bits have no blocks;
+    Samples of 8, 24 and 32 bits are brought to 16; channels are averaged; another rate is brought to 16 kHz by linear interpolation. Files that are unreadable have no blocks;
     ``probes`` tells them.
     """
 
@@ -48,9 +58,7 @@ def decoded(audio: DataFrame, size: int = BLOCK) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
                     with wave.open(io.BytesIO(content)) as w:
-                        if w.getsampwidth() != 2:
-                            continue
-                        rate, x = w.getframerate(), np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels())
+                        rate, x = w.getframerate(), _samples(w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels())
                 except (wave.Error, EOFError):
                     continue
                 mono = x[:, 0] if x.shape[1] == 1 else np.rint(x.mean(1)).astype(np.int16)
