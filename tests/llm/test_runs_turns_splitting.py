@@ -216,3 +216,20 @@ def test_query_equals_its_sql_twin(spark, data, name):
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
 def test_query_runs(spark, data, name):
     assert queries.queries()[name](spark, data).count() > 0
+
+
+def test_names_are_clustered_as_by_all_pairs():
+    r = random.Random(8)
+    stock = ["JORUN TARNFELD", "JANE TUCKER", "JORUNN TARNFELT", "KETRA ASHQUILL", "KETTRA ASHQUIL", "KIM AY", "ANNABEL LEE", "ANABEL LEE", "JO TO"]
+    names = {"".join(c for c in n if r.random() > 0.04) for n in stock for _ in range(6)}
+    got = turns.cluster_names(list(names))
+    group = {n: {n} for n in names}
+    for a in names:
+        for b in names:
+            like = min(turns.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in ((a, b), (b, a)))
+            if len(a) > 3 and len(b) > 3 and turns._initials(a) == turns._initials(b) and like >= turns.SIMILAR and group[a] is not group[b]:
+                both = group[a] | group[b]
+                for n in both:
+                    group[n] = both
+    # What is alike both ways is joined; the canonical name is one of the class.
+    assert all(got[a] == got[b] for a in names for b in group[a]) and set(got.values()) <= names

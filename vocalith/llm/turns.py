@@ -38,14 +38,20 @@ def _initials(name: str) -> str:
 
 
 def cluster_labels(labels: list[str]) -> dict[str, str]:
-    """Each spelling to its canonical speaker within one transcript, by union-find.
+    """Each spelling to its canonical speaker within one transcript; spellings of equal plain names are one speaker, and so are those ``cluster_names`` joins."""
+    plain = {x: plain_name(x) for x in labels}
+    best = cluster_names(list({n for n in plain.values() if n}))
+    return {x: best[n] for x, n in plain.items() if n}
+
 
-    Two spellings are one speaker if their plain names are equal, or, for names of more than ``LETTERS`` letters, if their
+def cluster_names(plain: list[str]) -> dict[str, str]:
+    """Each plain name to its canonical one within one transcript, by union-find.
+
+    Two names are one speaker if they are equal, or, for names of more than ``LETTERS`` letters, if their
     initials are equal and the names are alike by 0.8. The canonical name is the longest of the class, then the smallest.
-    Only names of equal initials are compared.
+    Only names of equal initials and of lengths that allow such likeness are compared, and those that bounds by their letters leave.
     """
-    plain = {x: plain_name(x) for x in labels}
-    names = sorted({n for n in plain.values() if n})
+    names = sorted(set(plain))
     parent = {n: n for n in names}
 
     def find(x: str) -> str:
@@ -59,20 +65,28 @@ def cluster_labels(labels: list[str]) -> dict[str, str]:
         if len(n) > LETTERS:
             by_initials.setdefault(_initials(n), []).append(n)
     for same in by_initials.values():
+        same.sort(key=len)
         for i, a in enumerate(same):
-            for b in same[:i]:
-                if find(a) != find(b) and SequenceMatcher(None, a, b, autojunk=False).ratio() >= SIMILAR:
+            match = SequenceMatcher(None, b=a, autojunk=False)
+            for b in reversed(same[:i]):
+                # The likeness is twice the common letters over all; shorter names than this cannot reach it.
+                if len(b) * (2 - SIMILAR) < len(a) * SIMILAR:
+                    break
+                if find(a) == find(b):
+                    continue
+                match.set_seq1(b)
+                if match.quick_ratio() >= SIMILAR and match.ratio() >= SIMILAR:
                     parent[find(a)] = find(b)
     best: dict[str, str] = {}
     for n in names:
         r = find(n)
         best[r] = min(best.get(r, n), n, key=lambda x: (-len(x), x))
-    return {x: best[find(n)] for x, n in plain.items() if n}
+    return {n: best[find(n)] for n in names}
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def _clustered(labels: pd.Series) -> pd.Series:
-    return labels.map(lambda xs: cluster_labels(list(xs)))
+def _clustered(names: pd.Series) -> pd.Series:
+    return names.map(lambda xs: cluster_names(list(xs)))
 
 
 def own_label(label: str | None) -> str | None:
@@ -97,7 +111,7 @@ def spoken_records(records: DataFrame, with_text: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             job, index, start, end, text, who = (batch.column(i) for i in range(6))
-            keep, speakers, labels, marks_of, texts = [], [], [], [], []
+            keep, speakers, plains, marks_of, texts = [], [], [], [], []
             for i, (t, w) in enumerate(zip(text.to_pylist(), who.to_pylist())):
                 named, clean, spoken = marks.split_text(t)
                 label = own_label(w) or named
@@ -106,11 +120,11 @@ def spoken_records(records: DataFrame, with_text: bool = True) -> DataFrame:
                     lettered = len(plain) <= LETTERS
                     keep.append(i)
                     speakers.append(plain if lettered else None)
-                    labels.append(None if lettered else label)
+                    plains.append(None if lettered else plain)
                     marks_of.append(None if lettered else _initials(plain))
                     texts.append(clean if with_text else None)
             at = pa.array(keep, pa.int64())
-            made = [pa.array(x, pa.string()) for x in (speakers, labels, marks_of, texts)]
+            made = [pa.array(x, pa.string()) for x in (speakers, plains, marks_of, texts)]
             yield pa.RecordBatch.from_arrays([*(c.take(at) for c in (job, index, start, end)), *made], ["job_id", "segment_index", "start_sample", "end_sample", "speaker", "label", "initials", "text"])
 
     flat = once.select("job_id", "segment_index", "r.*").where("end_sample > start_sample")
@@ -118,7 +132,7 @@ def spoken_records(records: DataFrame, with_text: bool = True) -> DataFrame:
     rows = settle(flat.mapInArrow(run, "job_id string, segment_index long, start_sample long, end_sample long, speaker string, label string, initials string, text string"))
     cols = ["job_id", "segment_index", "start_sample", "end_sample", "speaker", "text"]
     named = rows.where("speaker is null").drop("speaker")
-    # Only names of equal initials can be one speaker, so a transcript's names are taken by initials.
+    # Only names of equal initials can be one speaker, so a transcript's names are taken by initials; of each name its plain form once, combined before it moves.
     labels = named.groupBy("job_id", "initials").agg(F.collect_set("label").alias("labels")).select("job_id", F.explode(_clustered("labels")).alias("label", "speaker"))
     return rows.where("speaker is not null").select(cols).unionByName(named.join(labels, ["job_id", "label"]).select(cols))
 
