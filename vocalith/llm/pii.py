@@ -86,6 +86,21 @@ def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
+_KEPT: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the multiplier of hashes and of its inverse; kept from batch to batch."""
+    if not _KEPT or len(_KEPT[0][0]) < n:
+        made = []
+        for x in (_P, _INV):
+            powers = np.full(max(n, 1 << 19), x, np.uint64)
+            powers[0] = 1
+            made.append(np.cumprod(powers))
+        _KEPT[:] = [tuple(made)]
+    return _KEPT[0][0][:n], _KEPT[0][1][:n]
+
+
 class Tokens:
     """Tokens of joined texts: where each starts and ends, its hash, shape and sentence."""
 
@@ -107,12 +122,9 @@ class Tokens:
         self.start, self.end, n = start, end, len(start)
         size = end - start
         with np.errstate(over="ignore"):
-            power = np.full(len(codes), _P, np.uint64)
-            inverse = np.full(len(codes), _INV, np.uint64)
-            if len(codes):
-                power[0] = inverse[0] = 1
-            total = np.r_[np.uint64(0), np.cumsum(code * np.cumprod(power), dtype=np.uint64)]
-            self.word = (total[end] - total[start]) * np.cumprod(inverse)[start] if n else np.empty(0, np.uint64)
+            power, inverse = _powers(len(codes))
+            total = np.r_[np.uint64(0), np.cumsum(code * power, dtype=np.uint64)]
+            self.word = (total[end] - total[start]) * inverse[start] if n else np.empty(0, np.uint64)
         first = kind[start] if n else kind[:0]
         uppers = np.r_[0, np.cumsum(kind == UPPER)]
         upper = uppers[end] - uppers[start]
@@ -235,9 +247,13 @@ class Field:
         labels = np.zeros(n, np.int8)
         if not n:
             return labels
-        emit = np.zeros((n, LABELS), np.float32)
-        for f in tokens.features():
-            emit += self.weights[f]
+        first, *others = tokens.features()
+        emit = self.weights.take(first, axis=0, mode="clip")
+        # One buffer for all gathers: their memory is touched once.
+        part = np.empty_like(emit)
+        for f in others:
+            self.weights.take(f, axis=0, out=part, mode="clip")
+            emit += part
         more = emit[:, 1:] - emit[:, :1] + self.moved[1:]
         more[tokens.first, 0::2] += np.maximum(self.left - self.moved[1::2], 0)
         begun = np.maximum.reduceat(more[:, 0::2], tokens.first, axis=0)
