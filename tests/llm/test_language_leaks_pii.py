@@ -288,7 +288,19 @@ def test_items_with_fillers_after_every_few_words_are_found(spark, data, step):
             spoiled = "".join(parts)
             found = {row[0] for row in leaks.find(spoiled, items)}
             assert i in found or len(words) < 8, (i, spoiled)
-            assert not found or items.candidates([spoiled]) == [0]
+            assert not found or [d for d, _, _ in items.candidates([leaks._bare(spoiled)])] == [0]
+
+
+def test_the_part_of_a_text_that_is_read_gives_all_passages(spark, data):
+    """What is found between the first and last window is what is found in whole texts, with numbers and Han at the edges of it."""
+    kept = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/eval_items.parquet").collect() if r["text"]] + [(1, "着40件纸风筝退休的绘图师吹着口哨走向大理石桥上"), (2, "40 grey kites flew over the 12 marble bridges at dawn 99")]
+    items = leaks.Items(kept)
+    texts = [r[0] for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect() if r[0]]
+    texts += [f"件{kept[-2][1]}77", f"7 {kept[-2][1]}", f"{kept[-1][1]}件", f"件 {kept[-1][1]}", f"1234 {kept[-1][1]} 5678", f"{'before ' * 50}{kept[-1][1]}{' after' * 50} straße", kept[0][1], "ﬁne " + kept[-1][1], ""]
+    bare = [leaks._bare(t) for t in texts]
+    got = {d: sorted(leaks._found(*leaks._tokens(bare[d], low, high), items, 0.5, 0.1)) for d, low, high in items.candidates(bare)}
+    for d, t in enumerate(texts):
+        assert got.get(d, []) == leaks.find(t, items), t
 
 
 def test_windows_hash_as_the_tokens_read(spark, data):

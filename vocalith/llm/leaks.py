@@ -66,18 +66,19 @@ def _chars() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 _POWERS = np.cumprod(np.full(4096, _P | np.uint64(1)))
 
 
-def _windows(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place in ``text``) of each window of ``WORDS`` tokens, by the rules of ``tokens``; texts are parted by U+0001."""
+def _windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place in ``text``) of each window of ``WORDS`` tokens, by the rules of ``tokens``, and where the tokens start and end before numbers are parted; texts are parted by U+0001."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds, folds, digits, _ = _chars()
     kind = kinds[codes]
     at = np.flatnonzero(kind)
     if not len(at):
-        return np.empty(0, np.uint64), at
+        return np.empty(0, np.uint64), at, at, at
     kind, code, digit = kind[at], folds[codes[at]], digits[codes[at]]
     fresh = np.r_[True, (np.diff(at) > 1) | (kind[1:] != _IN) | (kind[:-1] != _IN)]
     start = np.flatnonzero(fresh)
     size = np.diff(np.r_[start, len(at)])
+    begins, stops = at[start], at[start + size - 1] + 1
     # In Han and kana the digits of a number are characters like the others.
     alone = np.r_[False, kind[start] == _ALONE, False]
     number = (np.add.reduceat(digit.astype(np.int64), start) == size) & (size > 1) & (alone[:-2] | alone[2:])
@@ -92,12 +93,12 @@ def _windows(text: str) -> tuple[np.ndarray, np.ndarray]:
     word ^= word >> np.uint64(32)
     n = len(word) - WORDS + 1
     if n < 1:
-        return np.empty(0, np.uint64), at[:0]
+        return np.empty(0, np.uint64), at[:0], begins, stops
     window = word[:n].copy()
     for k in range(1, WORDS):
         window = window * (_P + np.uint64(2 * k)) + word[k : k + n]
         window ^= window >> np.uint64(31)
-    return window, at[start[:n]]
+    return window, at[start[:n]], begins, stops
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -110,10 +111,14 @@ def _bare(text: str) -> str:
 
 def tokens(text: str) -> tuple[list[str], list[int]]:
     """Words (characters of Han and kana) in lower case and plain width without marks and fillers, and where each starts."""
-    bare = _bare(text)
+    return _tokens(_bare(text))
+
+
+def _tokens(bare: str, low: int = 0, high: int | None = None) -> tuple[list[str], list[int]]:
     words, places = [], []
-    for m in _TOKEN.finditer(bare):
-        words.append(m[0] if m[0].isascii() and m[0].islower() else unicodedata.normalize("NFKC", m[0]).casefold())
+    for m in _TOKEN.finditer(bare, low, len(bare) if high is None else high):
+        word = m[0]
+        words.append(word if word.isascii() and word.islower() else unicodedata.normalize("NFKC", word).casefold())
         places.append(m.start())
     # In Han and kana the digits of a number are characters like the others.
     if any(w.isdecimal() and len(w) > 1 for w in words):
@@ -162,23 +167,40 @@ class Items:
         # An item's words parted by spaces are hashed as they would be in a text; digits among Han and kana are parted already.
         lines = "\x01".join(" ".join(w) for w in self.at)
         begin = np.r_[0, np.flatnonzero(np.frombuffer(lines.encode("utf-32-le", "surrogatepass"), np.uint32) == 1) + 1]
-        hashes, at = _windows(lines)
+        hashes, at, _, _ = _windows(lines)
         own = np.isin(at, begin)
         # Hits weigh so much that any passage's weigh 1 together at least.
         weights = np.array([max(1 / _need(len(self.words[i]), part, changed) for i, _ in where) for where in self.at.values()])
         self.known = _HashSet(hashes[own], weights[np.searchsorted(begin, at[own])] if own.any() else np.empty(0))
 
-    def candidates(self, texts: list[str]) -> list[int]:
-        """Texts that hold as many windows of an item as any passage of it leaves; whole texts are scanned. Those with letters that fold to several, or together with their neighbours, are always among them."""
-        bare = [_bare(t).replace("\x01", " ").replace("ß", "ss") for t in texts]
-        whole = "\x01".join(bare)
-        hashes, at = _windows(whole)
+    def candidates(self, bare: list[str]) -> list[tuple[int, int, int]]:
+        """(text, first, end) of the texts that hold as many windows of an item as any passage of it leaves; whole texts are scanned. All windows that are an item's lie from first to end.
+
+        Texts with letters that fold to several, or together with their neighbours, are always among them, from end to end.
+        """
+        plain = [t.replace("\x01", " ").replace("ß", "ss") for t in bare]
+        whole = "\x01".join(plain)
+        hashes, at, begins, stops = _windows(whole)
         odd = np.flatnonzero(_chars()[3][np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)])
-        ends = np.cumsum([len(t) + 1 for t in bare])
+        ends = np.cumsum([len(t) + 1 for t in plain])
         hit, weight = self.known.places(hashes)
-        total = np.bincount(np.searchsorted(ends, at[hit], "right"), weight, len(texts))
-        total[np.searchsorted(ends, odd, "right")] = 1
-        return np.flatnonzero(total > 1 - 1e-6).tolist()
+        own = np.searchsorted(ends, at[hit], "right")
+        total = np.bincount(own, weight, len(bare))
+        entire = np.zeros(len(bare), bool)
+        entire[np.searchsorted(ends, odd, "right")] = True
+        # Two tokens more at each side, on which it depends whether a number is parted.
+        low = np.maximum(np.searchsorted(begins, at[hit], "right") - 3, 0)
+        high = np.minimum(np.searchsorted(begins, at[np.minimum(hit + WORDS - 1, len(at) - 1)], "right") + WORDS + 1, len(begins) - 1)
+        out = []
+        for d in np.flatnonzero(entire | (total > 1 - 1e-6)).tolist():
+            # Where a letter was written as two the places are not those of the text.
+            if entire[d] or len(plain[d]) != len(bare[d]):
+                out.append((d, 0, len(bare[d])))
+            else:
+                a, b = np.searchsorted(own, [d, d + 1])
+                shift = int(ends[d]) - len(plain[d]) - 1
+                out.append((d, max(0, int(begins[low[a]]) - shift), min(len(bare[d]), int(stops[high[b - 1]]) - shift)))
+        return out
 
 
 #: What a changed word costs against a matching one: passages are chained with up to one word in about four changed, then measured.
@@ -248,7 +270,10 @@ def _stretches(found: list[tuple[int, int]], apart: int) -> Iterator[list[tuple[
 
 def find(text: str, items: Items, part: float = 0.5, changed: float = 0.1) -> list[tuple[int, int, int, float, float]]:
     """(item, first character, end character, share of the item's words, share of changed words) of each passage in a text; an item may have several."""
-    words, places = tokens(text)
+    return _found(*tokens(text), items, part, changed)
+
+
+def _found(words: list[str], places: list[int], items: Items, part: float, changed: float) -> list[tuple[int, int, int, float, float]]:
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for k in range(len(words) - WORDS + 1):
         for i, j in items.at.get(tuple(words[k : k + WORDS]), ()):
@@ -298,7 +323,8 @@ def leaked(documents: DataFrame, items: DataFrame, part: float = 0.5, changed: f
             for batch in batches:
                 for part_ in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                     ids, texts = part_.column(0).to_pylist(), [t or "" for t in part_.column(1).to_pylist()]
-                    found = [(ids[d], *row) for d in known.candidates(texts) for row in find(texts[d], known, part, changed)]
+                    bare = [_bare(t) for t in texts]
+                    found = [(ids[d], *row) for d, low, high in known.candidates(bare) for row in _found(*_tokens(bare[d], low, high), known, part, changed)]
                     cols = list(zip(*found)) or [[]] * 6
                     kinds = [pa.int64()] * 4 + [pa.float64()] * 2
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "start_char", "end_char", "share", "changed"])
