@@ -80,6 +80,12 @@ def transcript_text(spark: SparkSession, d: str) -> DataFrame:
     return segments.joined(_segments(spark, d))
 
 
+@_query(f"""WITH {_SEG}, {_PIECES} SELECT job_id, segment_index // 256 AS part_no, string_agg(piece, '' ORDER BY segment_index) AS text FROM pieces GROUP BY ALL""")
+def transcript_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of transcripts in parts that do not grow with the recording."""
+    return segments.joined_parts(_segments(spark, d), 256)
+
+
 @_query(f"WITH {_SEG} SELECT job_id, segment_index, row_number() OVER (PARTITION BY job_id ORDER BY segment_index) - 1 AS dense_index FROM seg WHERE text <> ''")
 def segments_dense(spark: SparkSession, d: str) -> DataFrame:
     return segments.dense(_segments(spark, d)).select("job_id", "segment_index", "dense_index")

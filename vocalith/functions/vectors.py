@@ -107,8 +107,13 @@ def positive_zero(x: Column) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_blob(blob: pd.Series) -> pd.Series:
-    """Little-endian 32-bit floats of a BINARY."""
-    return blob.map(lambda b: np.frombuffer(b, "<f4") if len(b) % 4 == 0 else None, na_action="ignore")
+    """Little-endian 32-bit floats of a BINARY; NULL where its length is no multiple of four. A batch is read at once."""
+    sizes = blob.map(len, na_action="ignore").fillna(-1).astype(int).to_numpy()
+    good = (sizes >= 0) & (sizes % 4 == 0)
+    flat = np.frombuffer(b"".join(blob[good]), "<f4")
+    out = np.full(len(blob), None, object)
+    out[np.flatnonzero(good)] = [*np.split(flat, np.cumsum(sizes[good] // 4)[:-1]), None][: good.sum()] if good.any() else []
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.BinaryType())

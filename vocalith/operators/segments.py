@@ -58,6 +58,12 @@ def joined(segments: DataFrame) -> DataFrame:
     return rows.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_index", "piece"))), lambda x: x["piece"]), "").alias("text"))
 
 
+def joined_parts(segments: DataFrame, span: int = SPAN) -> DataFrame:
+    """(job_id, part_no, text): the text of each recording in parts of ``span`` indices, which put together in order are ``joined``; no value grows with the recording. Parts without text are left out."""
+    rows = pieces(segments, span).withColumn("part_no", F.floor(F.col("segment_index") / span).cast("long"))
+    return rows.groupBy("job_id", "part_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_index", "piece"))), lambda x: x["piece"]), "").alias("text"))
+
+
 def dense(segments: DataFrame, span: int = SPAN) -> DataFrame:
     """Segments with a text other than '' and NULL, numbered anew from 0 in order (``dense_index``)."""
     rows = along(segments.where("text <> ''"), "job_id", ["segment_index"], span, total={"n": F.lit(1)})
