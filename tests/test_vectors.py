@@ -95,6 +95,8 @@ def test_by_recording_tells_what_it_refuses(spark, monkeypatch):
     got = {(r["job_id"], r["start"]): (r["ordinal"], r["error"]) for r in spectral.by_recording(df, gap=0.2).collect()}
     assert len(got) == 17 and got["long", 0] == (None, "too_long")
     assert [got["short", i * 12_000] for i in range(16)] == [(o, None) for o in truth.tolist()]
+    got = {(r["job_id"], r["start"]): (r["ordinal"], r["error"]) for r in spectral.by_recording(df, most=16, gap=0.2).collect()}
+    assert got["long", 0] == (None, "too_long") and {got["short", i * 12_000] for i in range(16)} == {(None, "too_many")} and len(got) == 17
     # One recording that does not settle leaves the others as they are.
     whole = spectral.clustered
 

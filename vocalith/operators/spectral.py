@@ -15,6 +15,8 @@ from ..functions.vectors import usable
 LONGEST = 28_800_000
 #: Windows up to which the affinity matrix is built; the reference's bound gives as many.
 DENSE = 2_400
+#: Rows of a recording up to which it is clustered: 52 hours of windows, some 800 MB in its task.
+MOST = 250_000
 RESTARTS, ROUNDS = 10, 300
 
 
@@ -184,18 +186,18 @@ def clustered(x: np.ndarray, keep: float = 1.0, low: float = 2.0, gap: float = 0
     return np.argsort(np.argsort(first))[inverse]
 
 
-def by_recording(windows: DataFrame, key: str = "job_id", vector: str = "embedding", dim: int = 192, longest: int | None = LONGEST, keep: float = 1.0, low: float = 2.0, gap: float = 0.5) -> DataFrame:
+def by_recording(windows: DataFrame, key: str = "job_id", vector: str = "embedding", dim: int = 192, longest: int | None = LONGEST, most: int = MOST, keep: float = 1.0, low: float = 2.0, gap: float = 0.5) -> DataFrame:
     """(key, start, ordinal, error) of the usable windows of each recording; of windows with one start the first by content counts.
 
-    A recording whose windows end after ``longest`` samples (None: any length is admitted) is refused whole: its windows come out with a NULL ordinal and the error
-    ``too_long``; so do those of a recording that cannot be clustered, with ``unsettled``. No other recording is touched by it.
+    A recording whose rows end after ``longest`` samples (None: any length is admitted) or are more than ``most`` is refused whole before any vector moves: its windows come out with a NULL
+    ordinal and the error ``too_long`` or ``too_many``; so do those of a recording that cannot be clustered, with ``unsettled``. No other recording is touched by it.
     """
-    rows = windows.where(F.col(key).isNotNull() & usable(F.col(vector), dim)).select(key, F.col("start_sample").alias("start"), F.col("end_sample").alias("end"), F.col(vector).alias("v"))
-    refused = None
-    if longest is not None:
-        long = rows.groupBy(key).agg(F.max("end").alias("e")).where(F.col("e") > longest).select(key)
-        refused = rows.join(long, key, "left_semi").select(key, "start").distinct().select(key, "start", F.lit(None).cast("long").alias("ordinal"), F.lit("too_long").alias("error"))
-        rows = rows.join(long, key, "left_anti")
+    said = F.when(F.col("e") > (longest if longest is not None else 1 << 62), "too_long").when(F.col("n") > most, "too_many")
+    bounds = windows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("end_sample").alias("e"), F.count("*").alias("n"))
+    over = bounds.select(key, said.alias("error")).where("error is not null")
+    rows = windows.where(F.col(key).isNotNull() & usable(F.col(vector), dim)).select(key, F.col("start_sample").alias("start"), F.col(vector).alias("v"))
+    refused = rows.join(over, key).select(key, "start", F.lit(None).cast("long").alias("ordinal"), "error").distinct()
+    rows = rows.join(over.select(key), key, "left_anti")
     # A recording ends up in one task anyway, so its vectors move once.
     rows = rows.select(key, "start", "v").repartition(key).groupBy(key, "start").agg(F.min("v").alias("v"))
 
@@ -211,4 +213,4 @@ def by_recording(windows: DataFrame, key: str = "job_id", vector: str = "embeddi
         return made
 
     done = rows.groupBy(key).applyInPandas(run, f"`{key}` string, start long, ordinal long, error string")
-    return done if refused is None else done.unionByName(refused)
+    return done.unionByName(refused)
