@@ -13,11 +13,13 @@ import io
 import re
 import sys
 import uuid
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import pii_labelled as table
@@ -384,6 +386,15 @@ def stored_field(spark: SparkSession, folder: str | None = None) -> Field:
     folder = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         return default_field()
+    try:
+        return _kept_field(spark, folder)
+    except Py4JJavaError as error:
+        # A folder that cannot be read or written costs the training, not the query.
+        warnings.warn(f"weights are not kept: {error.java_exception}", stacklevel=2)
+        return default_field()
+
+
+def _kept_field(spark: SparkSession, folder: str) -> Field:
     digest = hashlib.sha256()
     for module in (table.__name__, __name__):
         digest.update(inspect.getsource(sys.modules[module]).encode())

@@ -61,22 +61,22 @@ def collapse_runs(
         .withColumn("in_n", F.coalesce(F.sum("n").over(past), F.lit(0)))
         .withColumn("out_e", F.max(F.struct("group", "tail")).over(along)["tail"])
     )
-    carried = chunks.select("k", "c", "in_l", "in_e", "in_n")
-    totals = chunks.groupBy("k").agg(F.max_by(F.struct((F.col("in_n") + F.col("n") + 1).alias("g"), F.col("out_e").alias("prior")), "c").alias("last"))
+    # What ends the key's last run goes along with each chunk, so that it needs no join of its own.
+    end_of_key = F.max_by(F.struct((F.col("in_n") + F.col("n") + 1).alias("g"), F.col("out_e").alias("prior")), "c").over(Window.partitionBy("k"))
+    carried = chunks.withColumn("last", end_of_key).select("k", "c", "in_l", "in_e", "in_n", "last")
 
     placed = kept.where("edge").join(carried, ["k", "c"])
     inherited = F.when((F.col("b") == 1) & (F.col("in_l") == F.col("l")), F.col("in_e"))
     reach = F.greatest("own", inherited)
     joined = F.col("in_l") == F.col("first_l")
     prior = F.when(F.col("mb").isNull(), F.col("in_e")).otherwise(F.greatest("me", F.when((F.col("mb") == 1) & joined, F.col("in_e"))))
-    edges = placed.where(reach.isNull() | (F.col("s") > reach + gap)).select("k", "c", "l", "s", "t", (F.col("in_n") + F.col("p")).alias("g"), prior.alias("prior"))
+    edges = placed.where(reach.isNull() | (F.col("s") > reach + gap)).select("k", "c", "l", "s", "t", (F.col("in_n") + F.col("p")).alias("g"), prior.alias("prior"), "last")
 
     # Boundary rows only from here on: the next boundary gives the count (positions) and the end (its prior end).
     step = Window.partitionBy("k", "c").orderBy("g")
     edges = edges.withColumn("next", F.lead(F.struct("g", "prior")).over(step))
-    heads = edges.groupBy("k", "c").agg(F.min(F.struct("g", "prior")).alias("head"))
-    heads = heads.withColumn("later", F.lead("head").over(along)).join(totals, "k")
-    heads = heads.select("k", "c", F.coalesce("later", "last").alias("over"))
+    heads = edges.groupBy("k", "c").agg(F.min(F.struct("g", "prior")).alias("head"), F.first("last").alias("last"))
+    heads = heads.select("k", "c", F.coalesce(F.lead("head").over(along), "last").alias("over"))
     runs = edges.join(heads, ["k", "c"]).withColumn("next", F.coalesce("next", "over"))
     return runs.select(
         F.col("k").alias("key"), F.when(F.col("l") != "", F.col("l")).alias("label"), F.col("s").alias("start"), F.col("next.prior").alias("end"),
