@@ -81,3 +81,32 @@ def test_instants(spark):
     df = spark.sql("select timestamp '2026-07-27 12:00:00' a, timestamp '2026-07-27 12:00:00.5' b")
     got = df.select(clock.instant(F.col("a")), clock.instant(F.col("b")), clock.fixed_instant(F.col("a")), clock.elapsed_ms(F.col("a"), F.col("b")), clock.elapsed_ms(F.col("b"), F.col("a"))).first()
     assert tuple(got) == ("2026-07-27T12:00:00Z", "2026-07-27T12:00:00.500000Z", "2026-07-27T12:00:00.000000Z", 500.0, 0.0)
+
+
+JOB = (
+    "id string, phase string, status string, input_lease_id string, canonical_options_json string, selected_speaker_snapshot binary, snapshot_sha256 string, input_size_bytes long, effective_max_audio_samples long, effective_direct_max_audio_samples long, total_samples long, "
+    "processed_samples long, request_fingerprint string, processor_fingerprint string, attempt_no int, attempt_token string, owner_generation string, crash_recoveries int, cancel_requested boolean, result_lease_id string, error_code string, input_cleanup_pending boolean, created_at long, started_at long, finished_at long"
+)
+NAMES = [x.split()[0] for x in JOB.split(", ")]
+NEW = dict.fromkeys(NAMES) | {"id": "a", "phase": "receiving", "input_lease_id": "l", "processed_samples": 0, "attempt_no": 0, "crash_recoveries": 0, "cancel_requested": False, "input_cleanup_pending": False, "created_at": 10}
+QUEUED = NEW | {"phase": "visible", "status": "queued", "canonical_options_json": "{}", "input_size_bytes": 5, "effective_max_audio_samples": 1000, "effective_direct_max_audio_samples": 100, "request_fingerprint": "a" * 64, "processor_fingerprint": "b" * 64}
+RUNNING = QUEUED | {"status": "running", "attempt_no": 1, "attempt_token": "t", "owner_generation": "g", "started_at": 11}
+DONE = RUNNING | {"status": "succeeded", "attempt_token": None, "owner_generation": None, "finished_at": 12, "total_samples": 50, "processed_samples": 50, "result_lease_id": "r", "input_cleanup_pending": True}
+FAILED = DONE | {"status": "failed", "result_lease_id": None, "error_code": "e"}
+CANCELLED = FAILED | {"status": "cancelled", "error_code": None, "cancel_requested": True}
+BROKEN = [
+    (NEW, set()), (QUEUED, set()), (RUNNING, set()), (DONE, set()), (FAILED, set()), (CANCELLED, set()), (QUEUED | {"status": "cancelled", "finished_at": 11, "input_lease_id": None}, set()), (DONE | {"phase": "deleting", "input_lease_id": None, "input_cleanup_pending": False}, set()),
+    (NEW | {"total_samples": 1}, {"receiving"}), (NEW | {"phase": "deleting", "input_lease_id": None}, {"receiving"}), (NEW | {"phase": "gone"}, {"known_state"}), (NEW | {"phase": "visible"}, {"known_state"}), (QUEUED | {"status": "odd"}, {"known_state"}), (QUEUED | {"started_at": 11}, {"queued"}),
+    (QUEUED | {"total_samples": 5}, {"queued"}), (QUEUED | {"phase": "deleting"}, {"deleted_when_done"}), (QUEUED | {"request_fingerprint": "A" * 64}, {"digests"}), (QUEUED | {"input_size_bytes": None}, {"described"}), (QUEUED | {"effective_direct_max_audio_samples": 1001}, {"caps"}), (QUEUED | {"effective_max_audio_samples": None}, {"caps", "described"}),
+    (RUNNING | {"attempt_token": None}, {"running"}), (RUNNING | {"attempt_token": ""}, {"no_empty_texts"}), (RUNNING | {"started_at": 9}, {"times_in_order"}), (RUNNING | {"crash_recoveries": 2}, {"counts"}), (RUNNING | {"processed_samples": None}, {"counts", "within_caps"}), (DONE | {"processed_samples": 49}, {"succeeded"}),
+    (DONE | {"total_samples": 2000, "processed_samples": 2000}, {"within_caps"}), (DONE | {"input_cleanup_pending": False}, {"cleanup_told"}), (FAILED | {"error_code": None}, {"failed"}), (CANCELLED | {"cancel_requested": False}, {"cancelled"}), (CANCELLED | {"finished_at": 10}, {"times_in_order"}),
+]
+
+
+def test_shapes_of_states(spark):
+    df = spark.createDataFrame([tuple(x[n] for n in NAMES) for x, _ in BROKEN], JOB)
+    rules = ledger.state_rules()
+    got = df.select(*[F.coalesce(rule, F.lit(False)).alias(name) for name, rule in rules.items()]).collect()
+    for row, (_, want) in zip(got, BROKEN):
+        assert {name for name in rules if not row[name]} == want
+    assert all(r["rows"] == 0 for r in ledger.violations(df.where("false"), rules).collect())

@@ -120,7 +120,7 @@ _TAGS = r"'^<\|([^|<>]{1,64})\|><\|([^|<>]{1,64})\|><\|([^|<>]{1,64})\|><\|([^|<
 def _tag(slot: str, names: dict[str, str], others: list[str]) -> str:
     known = " ".join(f"WHEN {slot} = '{k}' THEN '{v}'" for k, v in names.items())
     foreign = ", ".join(f"'{x}'" for x in others)
-    return f"CASE {known} WHEN {slot} NOT IN ({foreign}) AND regexp_full_match({slot}, '[A-Za-z][A-Za-z0-9_]{{0,63}}') THEN 'unknown:sensevoice:{slot}:' || {slot} END"
+    return f"CASE {known} WHEN {slot} NOT IN ({foreign}) AND regexp_full_match({slot}, '{text.TAG_WORD}') THEN '{text.TAG_PREFIX}{slot}:' || {slot} END"
 
 
 @_query(rf"""WITH {_SEG},
@@ -451,6 +451,37 @@ def row_checks(spark: SparkSession, d: str) -> DataFrame:
     return found.unionByName(ledger.violations(_read(spark, d, "segment_records"), ledger.segment_rules()))
 
 
+def _shape(held: list[str], empty: list[str]) -> str:
+    return " AND ".join([f"{x} IS NOT NULL" for x in held] + [f"{x} IS NULL" for x in empty])
+
+
+_L = ledger.STATES
+_STATES = {
+    "known_state": "phase IN ('receiving', 'visible', 'deleting') AND (status IS NULL OR status IN ('queued', 'running', 'succeeded', 'failed', 'cancelled')) AND (phase <> 'visible' OR status IS NOT NULL)",
+    "deleted_when_done": "phase <> 'deleting' OR status IS NULL OR status IN ('succeeded', 'failed', 'cancelled')",
+    "counts": "coalesce(input_size_bytes, 0) >= 0 AND coalesce(total_samples, 0) >= 0 AND processed_samples >= 0 AND attempt_no >= 0 AND crash_recoveries BETWEEN 0 AND attempt_no",
+    "digests": " AND ".join(f"({x} IS NULL OR regexp_full_match({x}, '[0-9a-f]{{64}}'))" for x in ("snapshot_sha256", "request_fingerprint", "processor_fingerprint")),
+    "no_empty_texts": "'' NOT IN (" + ", ".join(f"coalesce({x}, '-')" for x in ("input_lease_id", "canonical_options_json", "attempt_token", "owner_generation", "result_lease_id", "error_code")) + ")",
+    "caps": "(effective_max_audio_samples IS NULL OR effective_max_audio_samples BETWEEN 1 AND 691200000) AND (effective_direct_max_audio_samples IS NULL OR effective_direct_max_audio_samples BETWEEN 1 AND least(480000, coalesce(effective_max_audio_samples, 0)))",
+    "within_caps": "greatest(processed_samples, coalesce(total_samples, 0)) <= coalesce(effective_max_audio_samples, 9000000000000)",
+    "times_in_order": "coalesce(started_at, created_at) >= created_at AND coalesce(finished_at, started_at, created_at) >= coalesce(started_at, created_at)",
+    "receiving": f"NOT (phase = 'receiving' OR (phase = 'deleting' AND status IS NULL)) OR ({_shape(ledger.RECEIVING_SET, ledger.RECEIVING_EMPTY)} AND processed_samples = 0 AND attempt_no = 0 AND crash_recoveries = 0 AND NOT cancel_requested AND NOT input_cleanup_pending)",
+    "described": f"status IS NULL OR ({_shape(ledger.DESCRIBED, [])})",
+    "queued": f"status IS DISTINCT FROM 'queued' OR ({_shape(*_L['queued'])} AND processed_samples = 0 AND NOT cancel_requested AND NOT input_cleanup_pending AND (attempt_no <> 0 OR total_samples IS NULL))",
+    "running": f"status IS DISTINCT FROM 'running' OR ({_shape(*_L['running'])} AND attempt_no >= 1 AND NOT input_cleanup_pending)",
+    "succeeded": f"status IS DISTINCT FROM 'succeeded' OR ({_shape(*_L['succeeded'])} AND attempt_no >= 1 AND processed_samples = total_samples AND NOT cancel_requested)",
+    "failed": f"status IS DISTINCT FROM 'failed' OR ({_shape(*_L['failed'])} AND attempt_no >= 1 AND NOT cancel_requested)",
+    "cancelled": f"status IS DISTINCT FROM 'cancelled' OR ({_shape(*_L['cancelled'])} AND CASE WHEN attempt_no = 0 THEN started_at IS NULL AND NOT cancel_requested ELSE started_at IS NOT NULL AND cancel_requested END)",
+    "cleanup_told": "status IS NULL OR status NOT IN ('succeeded', 'failed', 'cancelled') OR input_cleanup_pending = (input_lease_id IS NOT NULL)",
+}
+
+
+@_query(" UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER (NOT coalesce({v}, false)) AS rows FROM transcription_jobs" for k, v in _STATES.items()))
+def state_checks(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of jobs break each rule on their state's shape."""
+    return ledger.violations(_read(spark, d, "transcription_jobs"), ledger.state_rules())
+
+
 @_query(f"""WITH {_SEG}, x AS (SELECT *, lag(segment_index) OVER o AS pi, lag(end_sample) OVER o AS pe FROM seg WINDOW o AS (PARTITION BY job_id ORDER BY segment_index))
 SELECT job_id, count(*) FILTER (segment_index <> coalesce(pi + 1, 0)) AS gaps, count(*) FILTER (start_sample < pe) AS overlaps FROM x GROUP BY job_id""")
 def segment_order(spark: SparkSession, d: str) -> DataFrame:

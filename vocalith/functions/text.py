@@ -16,6 +16,8 @@ EVENTS = {"Speech": "speech", "BGM": "bgm", "Applause": "applause", "Laughter":
 UNSURE = {"emotion": "EMO_UNKNOWN", "audio_event": "Event_UNK"}
 LANGUAGES = ["zh", "en", "yue", "ja", "ko"]
 CONTROL = [*LANGUAGES, "auto", "nospeech", "withitn", "woitn"]
+# What a tag that is not known must look like, and what its name begins with.
+TAG_WORD, TAG_PREFIX = "[A-Za-z][A-Za-z0-9_]{0,63}", "unknown:sensevoice:"
 # Fixed value: four tags before a text: language, emotion, event, number writing.
 PREFIX = r"\A<\|([^|<>]{1,64})\|><\|([^|<>]{1,64})\|><\|([^|<>]{1,64})\|><\|([^|<>]{1,64})\|>"
 
@@ -53,7 +55,7 @@ def _mapped(tag: Column, names: dict[str, str], others: dict[str, str], slot: st
     foreign = [*others, next(v for k, v in UNSURE.items() if k != slot), *CONTROL]
     return (
         F.when(F.map_contains_key(known, tag), F.try_element_at(known, tag))
-        .when(~tag.isin(foreign) & matches(tag, "[A-Za-z][A-Za-z0-9_]{0,63}"), F.concat(F.lit(f"unknown:sensevoice:{slot}:"), tag))
+        .when(~tag.isin(foreign) & matches(tag, TAG_WORD), F.concat(F.lit(f"{TAG_PREFIX}{slot}:"), tag))
     )
 
 

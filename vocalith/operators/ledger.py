@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clock import elapsed_ms, reserved
@@ -85,6 +87,57 @@ def job_rules() -> dict[str, Column]:
     }
 
 
+# Of each state the columns that hold something and those that hold nothing.
+RECEIVING_SET = ["input_lease_id"]
+RECEIVING_EMPTY = [
+    "status", "canonical_options_json", "selected_speaker_snapshot", "snapshot_sha256", "input_size_bytes", "effective_max_audio_samples", "effective_direct_max_audio_samples", "total_samples", "request_fingerprint",
+    "processor_fingerprint", "attempt_token", "owner_generation", "result_lease_id", "error_code", "started_at", "finished_at",
+]
+DESCRIBED = ["canonical_options_json", "input_size_bytes", "effective_max_audio_samples", "effective_direct_max_audio_samples", "request_fingerprint", "processor_fingerprint"]
+STATES = {
+    "queued": (["input_lease_id"], ["attempt_token", "owner_generation", "result_lease_id", "error_code", "started_at", "finished_at"]),
+    "running": (["input_lease_id", "attempt_token", "owner_generation", "started_at"], ["result_lease_id", "error_code", "finished_at"]),
+    "succeeded": (["started_at", "finished_at", "total_samples", "result_lease_id"], ["attempt_token", "owner_generation", "error_code"]),
+    "failed": (["started_at", "finished_at", "error_code"], ["attempt_token", "owner_generation", "result_lease_id"]),
+    "cancelled": (["finished_at"], ["attempt_token", "owner_generation", "result_lease_id", "error_code"]),
+}
+DONE = ["succeeded", "failed", "cancelled"]
+
+
+def state_rules() -> dict[str, Column]:
+    """Rules on the shape of a job's row: what each state needs and excludes, and how its numbers and times lie to each other. A rule on one state holds for rows of others."""
+    c = F.col
+    every = lambda *conditions: functools.reduce(lambda a, b: a & b, conditions)
+    shape = lambda held, empty: every(*[c(x).isNotNull() for x in held], *[c(x).isNull() for x in empty])
+    given = lambda case, rule: ~F.coalesce(case, F.lit(False)) | rule
+    unless_null = lambda x, rule: x.isNull() | rule
+    zero, no = lambda *names: every(*[c(x) == 0 for x in names]), lambda *names: every(*[~c(x) for x in names])
+    status = lambda x: c("status") == x
+    receiving = (c("phase") == "receiving") | ((c("phase") == "deleting") & c("status").isNull())
+    most, direct = c("effective_max_audio_samples"), c("effective_direct_max_audio_samples")
+    rules = {
+        "known_state": c("phase").isin("receiving", "visible", "deleting") & unless_null(c("status"), c("status").isin(list(STATES))) & given(c("phase") == "visible", c("status").isNotNull()),
+        "deleted_when_done": given((c("phase") == "deleting") & c("status").isNotNull(), c("status").isin(DONE)),
+        "counts": every(*[unless_null(c(x), c(x) >= 0) for x in ("input_size_bytes", "total_samples")], *[c(x) >= 0 for x in ("processed_samples", "attempt_no", "crash_recoveries")]) & (c("crash_recoveries") <= c("attempt_no")),
+        "digests": every(*[unless_null(c(x), matches(c(x), DIGEST)) for x in ("snapshot_sha256", "request_fingerprint", "processor_fingerprint")]),
+        "no_empty_texts": every(*[unless_null(c(x), c(x) != "") for x in ("input_lease_id", "canonical_options_json", "attempt_token", "owner_generation", "result_lease_id", "error_code")]),
+        "caps": unless_null(most, most.between(1, 691_200_000)) & unless_null(direct, most.isNotNull() & direct.between(F.lit(1), F.least(most, F.lit(480_000)))),
+        "within_caps": unless_null(most, (c("processed_samples") <= most) & unless_null(c("total_samples"), c("total_samples") <= most)),
+        "times_in_order": unless_null(c("started_at"), c("started_at") >= c("created_at")) & unless_null(c("finished_at"), c("finished_at") >= F.coalesce("started_at", "created_at")),
+        "receiving": given(receiving, shape(RECEIVING_SET, RECEIVING_EMPTY) & zero("processed_samples", "attempt_no", "crash_recoveries") & no("cancel_requested", "input_cleanup_pending")),
+        "described": given(c("status").isNotNull(), shape(DESCRIBED, [])),
+    }
+    more = {
+        "queued": zero("processed_samples") & no("cancel_requested", "input_cleanup_pending") & ((c("attempt_no") > 0) | c("total_samples").isNull()), "running": (c("attempt_no") >= 1) & no("input_cleanup_pending"),
+        "succeeded": (c("attempt_no") >= 1) & (c("processed_samples") == c("total_samples")) & no("cancel_requested"), "failed": (c("attempt_no") >= 1) & no("cancel_requested"),
+        "cancelled": F.when(c("attempt_no") == 0, c("started_at").isNull() & no("cancel_requested")).otherwise(c("started_at").isNotNull() & c("cancel_requested")),
+    }
+    for name, (held, empty) in STATES.items():
+        rules[name] = given(status(name), shape(held, empty) & more[name])
+    rules["cleanup_told"] = given(c("status").isin(DONE), c("input_cleanup_pending") == c("input_lease_id").isNotNull())
+    return rules
+
+
 def segment_rules() -> dict[str, Column]:
     c = F.col
     return {
