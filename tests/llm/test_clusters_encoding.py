@@ -57,6 +57,13 @@ def test_pairs_at_the_lower_bound_meet_at_every_depth(spark, monkeypatch, shares
         assert sum(x == y for x, y in zip(sorted(got, key=lambda g: g[1]), want)) >= 798
 
 
+def test_crowded_cells_are_cut_without_losing_a_link(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "CROWD_ROWS", 2)
+    monkeypatch.setattr(clusters, "CROWD_SHARE", 10**9)
+    test_pairs_at_the_lower_bound_meet_at_every_depth(spark, monkeypatch, 100_000)
+    test_groups_equal_brute_force(spark, 16_000)
+
+
 def test_a_cell_of_many_heads_equals_all_pairs():
     x = voices([1] * 150 + [3] * 30, noise=0.03).astype(np.float32)
     ids = np.arange(len(x)) * 3

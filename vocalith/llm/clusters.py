@@ -30,6 +30,8 @@ FIRST = 5
 BLOCK = 4096
 #: Rows of one cell of the thinning grid that one task takes, on average.
 SHARE_ROWS = 100_000
+#: A cell of the other grids is crowded if it holds more than so many rows and more than one in so many of all rows; so there are at most as many crowded cells.
+CROWD_ROWS, CROWD_SHARE = 50_000, 10_000
 
 
 def _rotation(dim: int, table: int) -> np.ndarray:
@@ -173,14 +175,14 @@ def similarity_groups(
     spread = thinned.join(F.broadcast(counted), "cell", "left").withColumn("share", F.pmod(F.xxhash64("id"), shares)).drop("count")
     placed = settle(spread.repartition("cell", "share").sortWithinPartitions("cell", "share", "id").select("cell", "id", "v", "members", "share").mapInArrow(gathered, "cell long, id long, head long, v binary, members array<long>"))
     heads = placed.where("id = head").select("id", "v")
-    first = _joined(heads, 1, FIRST, dim, close, 1)
+    first = _joined(heads, heads.count(), 1, FIRST, dim, close, 1)
     # One vector of each group so far goes on: it is like all of its group, so no link is lost.
     left = settle(heads.join(first.where("id <> label").select("id"), "id", "left_anti"))
     n, depth = left.count(), 1
     while depth < max(GRIDS) and n * GRIDS[depth][0] ** depth / (2 * dim) ** depth > cell_rows:
         depth += 1
     grids = math.ceil(math.log(missed) / math.log(1 - GRIDS[depth][1]))
-    second = _joined(left, depth, grids, dim, close, 1 + FIRST)
+    second = _joined(left, n, depth, grids, dim, close, 1 + FIRST)
     labels = first.select("id", F.col("label").alias("one")).join(second.select(F.col("id").alias("one"), F.col("label").alias("two")), "one", "full")
     labels = labels.select(F.coalesce("id", "one").alias("id"), F.coalesce("two", "one").alias("label"))
     whole = placed.select("cell", "head", "members").join(labels, F.col("head") == F.col("id"), "left")
@@ -193,21 +195,25 @@ def similarity_groups(
     return out.groupBy("vector_id").agg(F.min(F.struct("group_id", "cell")).alias("g")).select("g.group_id", "vector_id", "g.cell")
 
 
-def _joined(heads: DataFrame, depth: int, grids: int, dim: int, close: float, base: int) -> DataFrame:
+def _joined(heads: DataFrame, n: int, depth: int, grids: int, dim: int, close: float, base: int) -> DataFrame:
     """(id, label) of the vectors (id, v) that lie in a dense cell of one of the grids: the least id of the dense cells that are adjacent through shared vectors.
 
-    A cell's rows stream through one task; the part of a cell that is like one head is a cell of its own. A vector's
-    dense cells are few: as many as the grids' cells at most.
+    Cells are counted first, without vectors. A cell's rows stream through one task; a crowded cell is cut into blocks by a hash of the id, and each pair of blocks is a cell of its own, so that
+    all of its vectors still meet. The part of a cell that is like one head is a dense cell. A vector's dense cells are few: as many as the grids' cells at most.
     """
     axes = GRIDS[depth][0]
 
-    def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _unpack(batch.column(1), dim)
-            for t in range(base, base + grids) if len(x) else ():
-                cells = _cells(x, t, depth, axes)
-                for k in range(cells.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[:, k]), batch.column(0), batch.column(1)], ["cell", "id", "v"])
+    def quantised(bare: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = _unpack(batch.column(1), dim)
+                for t in range(base, base + grids) if len(x) else ():
+                    cells = _cells(x, t, depth, axes)
+                    for k in range(cells.shape[1]):
+                        columns = [pa.array(cells[:, k])] + ([] if bare else [batch.column(0), batch.column(1)])
+                        yield pa.RecordBatch.from_arrays(columns, ["cell", "id", "v"][: len(columns)])
+
+        return run
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = _Cell(close)
@@ -220,7 +226,12 @@ def _joined(heads: DataFrame, depth: int, grids: int, dim: int, close: float, ba
             on = heads != ids
             yield pa.RecordBatch.from_arrays([pa.array(cell[on]), pa.array(ids[on]), pa.array(heads[on])], ["cell", "id", "head"])
 
-    cells = heads.mapInArrow(quantised, "cell long, id long, v binary")
+    most = max(CROWD_ROWS, n * axes**depth * grids // CROWD_SHARE)
+    crowded = heads.mapInArrow(quantised(True), "cell long").groupBy("cell").count().where(F.col("count") > most).select("cell", F.ceil(F.col("count") / most).alias("blocks"))
+    cells = heads.mapInArrow(quantised(False), "cell long, id long, v binary").join(F.broadcast(crowded), "cell", "left")
+    own, blocks = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))), F.coalesce("blocks", F.lit(1))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.shiftleft("cell", 30) + F.shiftleft(F.least(own, other), 15) + F.greatest(own, other))
+    cells = cells.select(F.explode(pairs).alias("cell"), "id", "v")
     rows = cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(checked, "cell long, id long, head long")
     # Dense cells are named by their heads; (id, head) says that the vector lies in them. Cells that share a vector are adjacent.
     inside = rows.groupBy("id").agg(F.collect_set("head").alias("heads")).select("id", "heads", F.array_min("heads").alias("least"))
