@@ -1,3 +1,4 @@
+import re
 import wave
 
 import numpy as np
@@ -6,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from vocalith.operators import segments
+from twins import same
+from vocalith import catalogue
+from vocalith.operators import pcm, segments
 from vocalith.sources import audio, envelope, jsonl, snapshots
 from vocalith.streaming import markers as streams
 
@@ -161,3 +164,33 @@ def test_segments_once_and_projections(spark):
     assert rows(segments.diarized(df), "speaker") == [("A",), ("B",)]
     assert rows(segments.dense(df), "dense_index") == [(0,), (1,), (2,)]
     assert segments.label_use(df).first()["use"] == "all"
+
+
+@pytest.fixture(scope="module")
+def odd_regions(spark, tmp_path_factory):
+    """A folder with speaker_regions of odd lengths, repeated, void and without a job."""
+    folder = tmp_path_factory.mktemp("regions")
+    data = [("a", s, s + n, label) for s, n in ((0, 1), (0, 9600), (7, 9601), (7, 12_000), (7, 12_001), (5, 15_000), (5, 90_000), (9, 0), (9, -4)) for label in ("A", None)] + [(None, 0, 5, "A"), ("b:1", 2, 30, "B"), ("b", 12, 30, "B")]
+    df = spark.createDataFrame(data, "job_id string, start_sample long, end_sample long, anonymous_speaker string")
+    df.toPandas().to_parquet(folder / "speaker_regions.parquet")
+    return str(folder)
+
+
+def moved(spark, folder, name):
+    """Columns of sounds or samples that the plan of a query has between its steps."""
+    plan = catalogue.queries()[name](spark, folder)._jdf.queryExecution().toString()
+    return sorted({w for w in ("content", "pcm") if re.search(rf"\b{w}#", plan)})
+
+
+def test_window_samples_moves_no_samples(spark, odd_regions):
+    same(spark, odd_regions, catalogue.queries()["window_samples"], catalogue.oracle_sql()["window_samples"])
+    assert moved(spark, odd_regions, "window_samples") == []
+
+
+def test_cut_equals_cut_out(spark):
+    blocks = [("a", 3, [1, 2, 3]), ("a", 6, [4, 5]), ("a", 11, [6])]
+    spans = [(0, 2), (0, 20), (4, 7), (8, 11), (5, 12)]
+    want = pcm.cut_out(spark.createDataFrame([("a", *s) for s in spans], "job_id string, start long, end long"), spark.createDataFrame(blocks, "job_id string, start long, pcm array<smallint>"))
+    for r in want.collect():
+        x, covered = pcm.cut([(s, np.array(x, np.int16)) for _, s, x in blocks], r["start"], r["end"])
+        assert (x.tolist(), covered) == (r["pcm"], r["covered"])
