@@ -1,3 +1,4 @@
+import io
 import re
 import wave
 
@@ -194,3 +195,19 @@ def test_cut_equals_cut_out(spark):
     for r in want.collect():
         x, covered = pcm.cut([(s, np.array(x, np.int16)) for _, s, x in blocks], r["start"], r["end"])
         assert (x.tolist(), covered) == (r["pcm"], r["covered"])
+
+
+def test_wav_blocks_moves_no_samples(spark, odd_regions):
+    same(spark, odd_regions, catalogue.queries()["wav_blocks"], catalogue.oracle_sql()["wav_blocks"])
+    assert moved(spark, odd_regions, "wav_blocks") == []
+
+
+def test_blocks_of_many_files_share_a_batch():
+    data = io.BytesIO()
+    with wave.open(data, "wb") as w:
+        w.setparams((1, 2, 16_000, 0, "NONE", "not compressed"))
+        w.writeframes(np.arange(25, dtype="<i2").tobytes())
+    got = list(audio._batched([("x", data.getvalue()), ("bad", b"RIFFnope"), ("y", data.getvalue()), ("z", data.getvalue())], 10, 40))
+    assert [b.num_rows for b in got] == [5, 4] and list(audio._batched([("bad", b"")], 10)) == []
+    rows = [(r["path"], r["start_sample"], r["pcm"]) for b in got for r in b.to_pylist()]
+    assert rows == [(p, s, list(range(s, min(25, s + 10)))) for p in "xyz" for s in (0, 10, 20)]
